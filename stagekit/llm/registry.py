@@ -1,5 +1,6 @@
 """Queries of this subpackage and the SQL of those that SQL can express."""
 
+from stagekit.llm.ann import op1_ann
 from stagekit.llm.langid import op10_langid
 from stagekit.llm.mixing import OP7_SQL, op7_mixing
 from stagekit.llm.neardup import op3_neardup
@@ -9,6 +10,7 @@ from stagekit.llm.sharding import op9_sharding
 from stagekit.llm.tokencount import op5_token_counts
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op3_neardup": op3_neardup,
     "op4_secrets": op4_secrets,
     "op5_token_counts": op5_token_counts,
