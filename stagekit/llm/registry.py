@@ -2,6 +2,7 @@
 
 from stagekit.llm.ann import op1_ann
 from stagekit.llm.langid import op10_langid
+from stagekit.llm.lmscore import op6_lm_score
 from stagekit.llm.mixing import OP7_SQL, op7_mixing
 from stagekit.llm.neardup import op3_neardup
 from stagekit.llm.quality import op8_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_neardup": op3_neardup,
     "op4_secrets": op4_secrets,
     "op5_token_counts": op5_token_counts,
+    "op6_lm_score": op6_lm_score,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
