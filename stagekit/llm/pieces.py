@@ -46,6 +46,10 @@ class Pieces:
         self.strings = [model.id_to_piece(i) for i in range(n)]
         plain = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(n)]
         self.table = {s: (i, float(model.get_score(i))) for i, s in enumerate(self.strings) if plain[i]}
+        self.scores = [float(model.get_score(i)) for i in range(n)]
+        order = {score: k for k, score in enumerate(sorted({score for _, score in self.table.values()}, reverse=True))}
+        #: Rank of the score and id of each piece in one number.
+        self.codes = {s: (order[score] << 20) + i for s, (i, score) in self.table.items()}
         self.first_byte = next((i for i in range(n) if model.is_byte(i)), None)
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.table))
@@ -111,19 +115,31 @@ def spelled(char: str, pieces: Pieces) -> list[int]:
     return [pieces.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _merge_fold(n: Column, edges: Column) -> Column:
     """Boundaries left after merging; ``edges`` maps start * 64 + end to the rank (smaller merges first)."""
     none = F.lit(1 << 30)
 
-    def step(b: Column, _: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
+        b = state["b"]
         pairs = F.transform(
             F.sequence(F.lit(0), F.size(b) - 3),
             lambda k: F.struct(F.coalesce(F.try_element_at(edges, F.get(b, k) * 64 + F.get(b, k + 2)), none).alias("rank"), k.alias("k")),
         )
-        best = F.when(F.size(b) > 2, F.array_min(pairs))
-        return F.when((F.size(b) > 2) & (best["rank"] < none), F.filter(b, lambda x, i: i != best["k"] + 1)).otherwise(b)
+        merged = _bound(
+            F.array_min(pairs),
+            lambda best: F.when(best["rank"] < none, F.struct(F.filter(b, lambda x, i: i != best["k"] + 1).alias("b"), F.lit(True).alias("open"))).otherwise(
+                F.struct(b.alias("b"), F.lit(False).alias("open"))
+            ),
+        )
+        return F.when(state["open"] & (F.size(b) > 2), merged).otherwise(state)
 
-    return F.when(n == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), F.sequence(F.lit(0), n), step))
+    start = F.struct(F.sequence(F.lit(0), n).alias("b"), F.lit(True).alias("open"))
+    return F.when(n == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda state: state["b"]))
 
 
 def _viterbi_fold(n: Column, by_end: Column, penalty: float) -> Column:
@@ -152,42 +168,46 @@ def _viterbi_fold(n: Column, by_end: Column, penalty: float) -> Column:
 def lattice(units: DataFrame, pieces: Pieces, kind: str = "bpe") -> DataFrame:
     """(unit, n) with units of at most ``LONG`` characters to (unit, n, ids array<int>)."""
     spark = units.sparkSession
-    rows = [(s, i, score) for s, (i, score) in pieces.table.items()]
     # the model's own size
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))
+    table = F.broadcast(spark.createDataFrame(list(pieces.codes.items()), "piece string, code long"))
     size = F.char_length("unit")
-    spans = F.flatten(
-        F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - i)), lambda k: F.struct(i.alias("i"), (i + k).alias("j"))))
-    )
-    cut = units.select("unit", "n", F.explode(spans).alias("s")).select("unit", "n", "s.i", "s.j")
-    cut = cut.withColumn("piece", F.expr("substring(unit, i + 1, j - i)"))
-    edges = cut.join(table, "piece", "left").where("id IS NOT NULL OR j = i + 1")
-    grouped = edges.groupBy("unit").agg(F.max("n").alias("n"), F.collect_list(F.struct("i", "j", "id", "score", "piece")).alias("edges"))
-    size = F.char_length("unit")
-    real = F.filter("edges", lambda e: e["id"].isNotNull())
+    # a span is start * 64 + end, an edge is span * 2^40 + rank * 2^20 + id; a character without a piece has no edge
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - i)), lambda k: i * 65 + k)))
+    cut = units.select("unit", "n", F.explode(spans).alias("span"))
+    cut = cut.withColumn("piece", F.expr("substring(unit, shiftright(span, 6) + 1, (span & 63) - shiftright(span, 6))"))
+    edges = cut.join(table, "piece", "left").where("code IS NOT NULL OR (span & 63) = shiftright(span, 6) + 1")
+    packed = F.shiftleft(F.col("span").cast("long"), 40) + F.col("code")
+    # units are dealt by this key already: no exchange
+    grouped = edges.groupBy("unit", "n").agg(F.collect_list(packed).alias("edges"))
+    span_of = lambda e: F.shiftright(e, 40).cast("int")
+    rank_of = lambda e: F.shiftright(e, 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+    id_of = lambda e: e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
     if kind == "bpe":
-        # ranks: scores fall as ids rise in these models, but the score decides
-        key = F.map_from_entries(F.transform(F.filter(real, lambda e: e["j"] > e["i"] + 1), lambda e: F.struct((e["i"] * 64 + e["j"]).alias("k"), (-e["score"]).cast("int").alias("v"))))
-        bounds = _merge_fold(size, key)
+        long_ones = F.filter("edges", lambda e: span_of(e) % 64 > F.floor(span_of(e) / 64) + 1)
+        ranks = F.map_from_entries(F.transform(long_ones, lambda e: F.struct(span_of(e).alias("k"), rank_of(e).alias("v"))))
+        bounds = _bound(ranks, lambda found: _merge_fold(size, found))
     else:
-        lowest = min(s for _, s in pieces.table.values())
+        scores = F.array(*[F.lit(float(x)) for x in pieces.scores])
+        lowest = min(pieces.scores)
         ends = F.map_from_entries(
-            F.transform(F.sequence(F.lit(1), size), lambda j: F.struct(j.alias("k"), F.transform(F.filter(real, lambda e: e["j"] == j), lambda e: F.struct(e["i"].alias("start"), e["score"].alias("score"))).alias("v")))
-        )
-        bounds = _viterbi_fold(size, ends, lowest - 10.0)
-    folded = grouped.select("unit", "n", "edges", bounds.alias("b"))
-    ids = F.map_from_entries(F.transform("edges", lambda e: F.struct((e["i"] * 64 + e["j"]).alias("k"), F.struct(e["id"].alias("id"), e["piece"].alias("piece")).alias("v"))))
-
-    def named(e: Column) -> Column:
+            F.transform(F.sequence(F.lit(1), size), lambda j: F.struct(j.alias("k"), F.transform(
+                F.filter("edges", lambda e: span_of(e) % 64 == j),
+                lambda e: F.struct(F.floor(span_of(e) / 64).cast("int").alias("start"), F.get(scores, id_of(e)).alias("score")),
+            ).alias("v")))
+        )
+        bounds = _bound(ends, lambda by_end: _viterbi_fold(size, by_end, lowest - 10.0))
+    ids = F.map_from_entries(F.transform("edges", lambda e: F.struct(span_of(e).alias("k"), id_of(e).alias("v"))))
+
+    def named(table: Column, i: Column, j: Column) -> Column:
+        hit = F.try_element_at(table, i * 64 + j)
         if pieces.first_byte is None:
-            return F.array(F.coalesce(e["id"], F.lit(pieces.unknown)))
-        code = F.hex(F.encode(e["piece"], "UTF-8"))
+            return F.array(F.coalesce(hit, F.lit(pieces.unknown)))
+        code = F.hex(F.encode(F.substr(F.col("unit"), i + 1, j - i), "UTF-8"))
         spelt = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substr(code, k, F.lit(2)), 16, 10).cast("int") + pieces.first_byte)
-        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelt)
+        return _bound(hit, lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(spelt))
 
-    out = folded.withColumn("ids", ids)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("b") - 2), lambda k: F.try_element_at(F.col("ids"), F.get("b", k) * 64 + F.get("b", k + 1)))
-    return out.select("unit", "n", F.flatten(F.transform(pairs, named)).alias("ids"))
+    cut_up = lambda table, b: F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda k: named(table, F.get(b, k), F.get(b, k + 1))))
+    return grouped.select("unit", "n", _bound(ids, lambda table: _bound(bounds, lambda b: cut_up(table, b))).alias("ids"))
 
 
 def _units(pattern: re.Pattern):
@@ -347,8 +367,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", kind: str =
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids_digest of all documents."""
+    """doc_id, n_pieces, ids, decoded_crc32 (of the decoded text, UTF-8) and round_trip of all documents."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
+    decoded = decode(encode(docs, path), path)
+    crc = F.crc32(F.col("decoded").cast("binary"))
+    return decoded.select("doc_id", "n_pieces", "ids", crc.alias("decoded_crc32"), (crc == F.col("text_crc32")).alias("round_trip"))
