@@ -29,6 +29,8 @@ DOCS, DOC_CHARS, LANGUAGES, CHARS = 400, 3000, 256, 60_000
 CACHE = 400_000
 LONG = 64
 UNKNOWN = "und"
+#: Bits a character from which no language fits: text in a learned language takes 1.5 to 5, letters at random over 6.
+MOST_BITS = 6.0
 
 
 class SuffixAutomaton:
@@ -186,7 +188,7 @@ SCHEMA = "struct<lang_pred:string,score:double,bits_per_char:double>"
 OUTPUTS = ["lang_pred", "score", "bits_per_char"]
 
 
-def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", outputs: list[str] = OUTPUTS) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1: lead over the next language) and ``bits_per_char``.
 
     Whole texts, row by row. Null text and text without a letter give ``und`` and score 0, as does any
@@ -201,10 +203,20 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
         kinds = (pa.string(), pa.float64(), pa.float64())
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=OUTPUTS)
 
-    docs = without(docs, *OUTPUTS)
-    (found,) = fresh([*docs.columns, *OUTPUTS], "found")
+    docs = without(docs, *outputs)
+    (found,) = fresh([*docs.columns, *outputs], "found")
     judged = docs.withColumn(found, F.arrow_udf(judge, SCHEMA)(F.col(f"`{text_col}`")))
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(found)[n].alias(n) for n in OUTPUTS])
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(found)[n].alias(name) for n, name in zip(OUTPUTS, outputs)])
+
+
+def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
+    """Rows of ``docs``, columns as they are, whose text one of the languages fits.
+
+    Null texts, texts without a letter and texts over ``most_bits`` go; so does every row if nothing was learned.
+    """
+    pred, _, bits = names = fresh(docs.columns, *OUTPUTS)
+    judged = identify(docs, samples, text_col, names)
+    return judged.where((F.col(pred) != UNKNOWN) & (F.col(bits) <= most_bits)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
