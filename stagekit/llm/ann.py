@@ -25,8 +25,9 @@ from stagekit.plans.session import write_table
 
 SAMPLE = 20_000
 TREES = 8
-#: Vectors that a leaf should hold.
-LEAF = 1024
+#: Vectors that a leaf should hold, of large tables. The queue needs leaves to rank, so a tree has
+#: ``LEAVES`` at least; a table of up to ``WHOLE`` vectors is one leaf, compared exactly.
+LEAF, LEAVES, WHOLE = 1024, 64, 4096
 #: Shares of the table in the leaves that a query visits, all trees together (a vector met in two trees
 #: counts twice). Vectors without structure in 64 dimensions need 1.0 for a recall over 0.9; clustered
 #: ones reach that with a tenth of it or less, so this is what to lower on real embeddings.
@@ -201,7 +202,8 @@ def fit_forest(nodes: DataFrame, total: int, trees: int = TREES, seed: int = 1)
     sample = picked.orderBy("node").limit(2 * SAMPLE).select("vec").toArrow().column(0).combine_chunks()
     x = unit(_matrix(sample)) if len(sample) else np.empty((0, 1))
     rng = np.random.default_rng(seed)
-    return [grow(x, LEAF * len(x) / max(1, total), rng) for _ in range(trees)]
+    leaf = total if total <= WHOLE else min(LEAF, total / LEAVES)
+    return [grow(x, leaf * len(x) / max(1, total), rng) for _ in range(trees)]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, seed: int = 1) -> DataFrame:
