@@ -3,14 +3,16 @@
 A text's zstandard ratio (bytes before over bytes after) tells repetition (high) and noise or encoded
 data (low). Both ends of the band depend on length, since short texts hardly compress and long ones
 compress better: ``BANDS`` has them for whole texts. A long text can hide a bad part, so it is also cut
-into chunks of ``CHUNK`` bytes, each with the band of a text of that length, widened by ``CHUNK_SLACK``;
+into chunks of ``CHUNK`` bytes, each with the band of a text of that length, its upper end widened by ``CHUNK_SLACK``;
 over ``BAD_SHARE`` of all bytes in chunks outside rejects the text.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -20,19 +22,28 @@ from stagekit.plans.session import fresh, without
 
 #: (up to so many bytes, least ratio, largest ratio). zstd level 3, no dictionary: text in words takes
 #: 0.6 to 0.9 below 64 bytes for the frame alone, 1.3 to 2 at some hundreds, 1.8 to 2.6 at some
-#: thousands, 2.2 to 3.5 beyond; random letters, hex and base64 stay below 1.35 to 1.9; one phrase
-#: over and over starts at 5.
+#: thousands, 2.2 to 3.5 beyond; one phrase over and over starts at 5. These least ratios hold for
+#: texts mostly outside ASCII.
 BANDS = ((64, 0.0, 1.6), (128, 0.6, 2.0), (256, 0.8, 2.6), (512, 1.05, 3.0), (2048, 1.2, 3.6), (16384, 1.3, 4.5), (1 << 62, 1.35, 6.0))
+#: (bytes, least ratio) of texts in ASCII for the most part, between them along the logarithm of the size.
+#: Base64 reaches 1.12 at 300 bytes, 1.27 at 800, 1.35 at 4,096; random letters 1.68 at 4,096, hex 1.96
+#: at 50,000; prose and code start at 1.37 at 800, 1.77 at 4,096, 1.99 at 8,000.
+LEAST = ((128, 0.8), (200, 1.03), (300, 1.15), (500, 1.27), (800, 1.38), (1500, 1.55), (2048, 1.63), (4096, 1.76), (8000, 1.97), (16000, 2.05), (50000, 2.1))
+#: Hex reaches the ratio of prose below 8,000 bytes: it is told by its characters, so many of those that aren't blank.
+HEX_SHARE, HEX_LETTERS, HEX_LEAST = 0.9, 0.1, 128
 LEVEL = 3
 CHUNK = 4096
 CHUNK_SLACK = 1.25
-BAD_SHARE = 0.4
+BAD_SHARE = 0.2
 
 FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
           ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("ratio", pa.float64()), ("bad_share", pa.float64()), ("kept", pa.bool_())]
 OUTPUTS = [name for name, _ in FIELDS]
 SCHEMA = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean,ratio:double,bad_share:double,kept:boolean>"
 BLANK = " \t\n\x0b\x0c\r"
+BLANK_BYTES = BLANK.encode()
+NOT_ASCII = bytes(range(128, 256))
+_LEAST = np.log([size for size, _ in LEAST]), [low for _, low in LEAST]
 
 
 def repeat_words(words: list[bytes], width: int = 5) -> int:
@@ -63,8 +74,26 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, failed
 
 
-def band(size: int) -> tuple[float, float]:
-    return next((low, high) for most, low, high in BANDS if size <= most)
+def band(data: bytes) -> tuple[float, float]:
+    """Least and largest ratio of a text like ``data``."""
+    size = len(data)
+    low, high = next((low, high) for most, low, high in BANDS if size <= most)
+    if size >= LEAST[0][0] and 2 * len(data.translate(None, NOT_ASCII)) > size:
+        low = float(np.interp(math.log(size), *_LEAST))
+    return low, high
+
+
+def encoded(data: bytes) -> bool:
+    """Whether nearly all characters are hex digits, letters among them."""
+    full = len(data) - sum(map(data.count, BLANK_BYTES))
+    letters = full and sum(map(data.count, b"abcdefABCDEF"))
+    digits = letters and sum(map(data.count, b"0123456789"))
+    return full >= HEX_LEAST and letters >= HEX_LETTERS * full and letters + digits >= HEX_SHARE * full
+
+
+def fits(data: bytes, ratio: float, slack: float = 1.0) -> bool:
+    low, high = band(data)
+    return low <= ratio <= high * slack and not encoded(data)
 
 
 def compression(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
@@ -72,16 +101,14 @@ def compression(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, f
     if not data:
         return 1.0, 0.0, True
     ratio = len(data) / len(packer.compress(data))
-    low, high = band(len(data))
     bad = 0
     if len(data) > CHUNK:
         for at in range(0, len(data), CHUNK):
             part = data[at : at + CHUNK]
-            least, most = band(len(part))
-            if not least / CHUNK_SLACK <= len(part) / len(packer.compress(part)) <= most * CHUNK_SLACK:
+            if not fits(part, len(part) / len(packer.compress(part)), CHUNK_SLACK):
                 bad += len(part)
     share = bad / len(data)
-    return ratio, share, low <= ratio <= high and share <= BAD_SHARE
+    return ratio, share, fits(data, ratio) and share <= BAD_SHARE
 
 
 def _judge(texts: pa.Array) -> pa.Array:

@@ -1,9 +1,15 @@
 """The training-data operators where a review found the work cut short."""
 
+import random
+import string
+
 import numpy as np
 import pytest
+import zstandard
+
+from stagekit.llm import ann, quality
 
-from stagekit.llm import ann
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("n", [2000, 5000])
@@ -20,3 +26,34 @@ def test_ann_recall_without_structure(spark, n):
         score[q] = -2
         hits += len(got[q] & set(np.argsort(-score)[:5].tolist()))
     assert hits / (5 * len(got)) >= 0.9
+
+
+ALPHABETS = {"base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789abcdef", "letters": string.ascii_lowercase, "printable": string.digits + string.ascii_letters + string.punctuation}
+
+
+def _junk(kind, size, blank=" ", seed=0):
+    rng, out = random.Random(f"{kind}{size}{blank}{seed}"), ""
+    while len(out) < size:
+        out += "".join(rng.choices(ALPHABETS[kind], k=76 if blank == "\n" else rng.randint(3, 12))) + blank
+    return out[:size]
+
+
+@pytest.mark.parametrize("kind", ALPHABETS)
+def test_quality_rejects_encoded_and_random_text(spark, kind):
+    # random letters compress like prose up to some thousand bytes
+    sizes = (4096, 8000, 16000, 50000, 100000) if kind == "letters" else (500, 800, 1500, 3000, 8000, 16000, 50000, 100000)
+    rows = [(_junk(kind, n, blank, seed),) for n in sizes for blank in " \n" for seed in range(3)]
+    # prose around junk: the whole looks fine, the chunks don't
+    prose = "\n".join(sorted((r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and n_chars > 1500").collect() if not quality.base_counts(r.text)[-1]), key=len))
+    rows += [(prose[:20000] + _junk(kind, 40000),), (prose[:30000] + _junk(kind, 15000),)]
+    assert len(prose) >= 30000
+    got = quality.quality_rules(spark.createDataFrame(rows, "text string")).where("kept").collect()
+    assert [len(r.text) for r in got] == []
+
+
+def test_quality_keeps_prose():
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    with open("/usr/share/common-licenses/GPL-3", "rb") as f:
+        text = f.read()
+    for size in (300, 500, 800, 1500, 3000, 8000, 16000, len(text)):
+        assert quality.compression(text[5000 : 5000 + size] if size < len(text) else text, packer)[2]
