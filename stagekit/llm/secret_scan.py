@@ -23,7 +23,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: What makes the assign pattern possible at all; cheap to look for.
-HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key", "pwd", "passphrase", "credential", "authorization", "bearer")
+HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "pwd", "passphrase", "credential", "authorization", "bearer")
 #: Contexts of the guess-cost method: more names than the pattern has, any value without spaces.
 CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|credentials?|authorization|bearer)["']?\x20*(?:[:=]|\x20is\x20)\x20*(?:bearer\x20+|basic\x20+)?["']?([^\s"'<>]{8,})""",

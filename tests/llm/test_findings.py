@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from stagekit.llm import ann, quality
+from stagekit.llm import ann, quality, secret_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,15 @@ def test_quality_keeps_prose():
         text = f.read()
     for size in (300, 500, 800, 1500, 3000, 8000, 16000, len(text)):
         assert quality.compression(text[5000 : 5000 + size] if size < len(text) else text, packer)[2]
+
+
+CONTEXT_NAMES = ["password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "X-Api-Key", "credential", "credentials", "authorization", "bearer"]
+
+
+@pytest.mark.parametrize("name", CONTEXT_NAMES)
+def test_every_credential_context_alone(name):
+    value = "kX9!vQ2#zL7pR4"
+    text = f"see {name}: {value} and go on"
+    _, spans = secret_scan.scan(text)
+    assert spans == [("guess", text.index(value), text.index(value) + len(value))]
+    assert value not in secret_scan.redact(text, spans)
