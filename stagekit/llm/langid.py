@@ -27,7 +27,11 @@ from stagekit.plans.session import fresh, without
 #: languages (the most frequent ones); then so many characters of words a language.
 DOCS, DOC_CHARS, LANGUAGES, CHARS = 400, 3000, 256, 60_000
 CACHE = 400_000
+#: Characters of the longest word that is learned or cached in one piece; longer ones, sentences without spaces
+#: among them, are learned in pieces of so many.
 LONG = 64
+#: Labelled characters that the estimate counts with at least: a label of a few words would win with its few bits a phrase.
+LEAST = 256
 UNKNOWN = "und"
 #: Bits a character from which no language fits: text in a learned language takes 1.5 to 5, letters at random over 6.
 MOST_BITS = 6.0
@@ -63,28 +67,29 @@ class SuffixAutomaton:
                     link[q] = link[new] = twin
             last = new
         self.step = {(s << 21) | c: t for s, row in enumerate(goto) for c, t in row.items()}
-        self.bits = math.log2(max(2, len(text)))
+        self.bits = math.log2(max(LEAST, len(text)))
 
     def phrases(self, text: str) -> int:
-        """Longest matches that it takes to get through ``text``; an unknown character is one."""
+        """Longest matches that it takes to get through ``text``; an unknown character counts as two."""
         step, count, state = self.step, 0, 0
         for c in map(ord, text):
             nxt = step.get((state << 21) | c)
             if nxt is None:
-                count += 1
-                # a phrase ends before c, or is c alone if nothing matched so far
+                # a phrase ends before c; if nothing begins with c, it is escaped and spelled
+                count += state != 0
                 nxt = step.get(c, 0) if state else 0
-                if state and not nxt:
-                    count += 1
+                if not nxt:
+                    count += 2
             state = nxt
         return count + (state != 0)
 
 
 def labelled_text(texts: list[str], chars: int = CHARS) -> str:
-    """Words with letters, those in most of the texts first, up to ``chars`` characters."""
+    """Words with letters, those in most of the texts first, up to ``chars`` characters; blank without such words."""
     seen: Counter = Counter()
     for text in texts:
-        seen.update({w for w in text.lower().split() if any(map(str.isalpha, w)) and len(w) <= LONG})
+        parts = {w[i : i + LONG] for w in text.lower().split() for i in range(0, len(w), LONG)}
+        seen.update({w for w in parts if any(map(str.isalpha, w))})
     out, size = [], 1
     for word, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
         if size + len(word) + 1 > chars:
@@ -167,7 +172,7 @@ def _parser(samples: dict[str, str]) -> CrossParser:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """Labelled text by language, from a bounded sample of ``labelled``.
 
-    Documents are taken in the order of a hash of their id. The counts see all rows; the text column is
+    A label whose sampled texts have no word with letters is left out. Documents are taken in the order of a hash of their id. The counts see all rows; the text column is
     read only for rows whose hash is under a limit that leaves about twice ``DOCS`` a language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -181,7 +186,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     texts: dict[str, list[str]] = {}
     for row in first.select("lang", "text").collect():
         texts.setdefault(row["lang"], []).append(row["text"])
-    return {k: labelled_text(sorted(v)) for k, v in texts.items()}
+    learned = {k: labelled_text(sorted(v)) for k, v in texts.items()}
+    return {k: text for k, text in learned.items() if not text.isspace()}
 
 
 SCHEMA = "struct<lang_pred:string,score:double,bits_per_char:double>"

@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 import zstandard
 
-from stagekit.llm import ann, quality, secret_scan
+from pyspark.sql import functions as F
+
+from stagekit.llm import ann, langid, quality, secret_scan
+from stagekit.llm.text import id_fold
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +72,19 @@ def test_every_credential_context_alone(name):
     _, spans = secret_scan.scan(text)
     assert spans == [("guess", text.index(value), text.index(value) + len(value))]
     assert value not in secret_scan.redact(text, spans)
+
+
+def test_languages_without_spaces_or_words(spark):
+    rng = random.Random(3)
+    hanzi = [chr(0x4E00 + k) for k in range(300)]
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL AND doc_id < 200").collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in base]
+    rows += [(1000 + i, "".join(rng.choices(hanzi, k=400)), "zh") for i in range(30)]
+    rows += [(2000 + i, ["", "  ", "12 34 !?", None][i % 4], "no words") for i in range(40)] + [(3000, "Q7 x", "few words")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held_out = id_fold(F.col("doc_id")) == 0
+    samples = langid.fit(d.where(~held_out | (F.col("doc_id") == 3000)))
+    assert {"zh", "few words"} <= set(samples) and "no words" not in samples
+    got = [r for r in langid.identify(d.where(held_out), samples).collect() if any(map(str.isalpha, r.text or ""))]
+    assert sum(r.lang == "zh" for r in got) > 2 and all(r.lang_pred == "zh" for r in got if r.lang == "zh")
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
