@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 
 WIDTH = 5
-#: Permutations; each gives a minimum and a maximum, so twice as many signature slots.
-PERMUTATIONS = 60
-#: Slots a band: 24 bands of 5. A pair of similarity 0.85 misses every band with chance 8e-7.
-ROWS = 5
+#: Similarity in hundredths from which two sets are linked.
+PERCENT = 85
+#: Slots a band, and the chance that a pair of just that similarity misses every band: 24 bands at 0.85, 36 at 0.80.
+ROWS, MISS = 5, 1e-6
+#: Permutations there are; each gives a minimum and a maximum, so twice as many signature slots.
+PERMUTATIONS, MORE = 60, 440
 BLOCK = 8192
 CACHE = 500_000
 
@@ -17,6 +21,8 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _C = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = np.concatenate([_A, _rng.integers(0, 1 << 63, MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+_B = np.concatenate([_B, _rng.integers(0, 1 << 63, MORE, dtype=np.uint64)])
 _known: dict[bytes, int] = {}
 
 
@@ -33,15 +39,24 @@ def shingle_set(text: str | None) -> set:
     return set(zip(*[w[i:] for i in range(WIDTH)]))
 
 
-def linked(a: set, b: set) -> bool:
-    """Similarity of 0.85 or more; nothing is like an empty set."""
+def permutations(percent: int) -> int:
+    """Permutations whose bands miss a pair of this similarity with chance ``MISS`` at most."""
+    bands = math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)) if percent < 100 else 1
+    need = ROWS * math.ceil(bands / 2)
+    if need > len(_A):
+        raise ValueError(f"similarity too low for the bands: {percent}")
+    return need
+
+
+def linked(a: set, b: set, percent: int = PERCENT) -> bool:
+    """Similarity of ``percent`` or more; nothing is like an empty set."""
     if not a or not b:
         return False
     small, large = sorted((a, b), key=len)
-    if 100 * len(small) < 85 * len(large):
+    if 100 * len(small) < percent * len(large):
         return False
     both = len(small & large)
-    return 100 * both >= 85 * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,11 +89,11 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Minimum and maximum under each permutation of a set that isn't empty."""
-    least, most = np.full(PERMUTATIONS, np.iinfo(np.uint64).max), np.zeros(PERMUTATIONS, np.uint64)
+def signature(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Minimum and maximum under each of ``n`` permutations of a set that isn't empty."""
+    least, most = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, np.uint64)
     for at in range(0, len(hashes), BLOCK):
-        seen = hashes[at : at + BLOCK] * _A[:, None] + _B[:, None]
+        seen = hashes[at : at + BLOCK] * _A[:n, None] + _B[:n, None]
         least, most = np.minimum(least, seen.min(axis=1)), np.maximum(most, seen.max(axis=1))
     return np.concatenate([least, most])
 

@@ -6,7 +6,7 @@
    candidate groups: two classes that share any band are in the same group.
 3. Each text with company goes once to the task of its group, which finds the links on the full sets
    and returns a spanning forest of them, never pairs. A group of more than ``GROUP`` classes is
-   divided by set size (linked sets differ by 15 % at most) and then by hash into blocks; a task has
+   divided by set size (linked sets differ by no more than the similarity allows) and then by hash into blocks; a task has
    two blocks. So no task gets more than two blocks' texts, however many copies there are.
 4. The components of the links are the answer.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagekit.llm.components import connected_components
-from stagekit.llm.minmax import bands, fingerprint, linked, shingle_hashes, shingle_set, signature
+from stagekit.llm.minmax import PERCENT, bands, fingerprint, linked, permutations, shingle_hashes, shingle_set, signature
 from stagekit.plans.session import fresh, write_table
 
 #: Classes of a group, or of a block of a larger group.
@@ -30,22 +30,26 @@ SMALL = 12
 COLUMNS = 4096
 
 
-def _sketch(batches):
-    """(doc_id, text) to (doc_id, n_shingles, set_key, bands)."""
-    for batch in batches:
-        ids, sizes, keys, rows = batch.column(0), [], [], []
-        for text in batch.column(1).to_pylist():
-            h = shingle_hashes(text)
-            sizes.append(len(h))
-            keys.append(fingerprint(h) if len(h) else None)
-            rows.append(bands(signature(h)) if len(h) else np.empty(0, np.int64))
-        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *rows]))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
+def _sketch(n: int):
+    """(doc_id, text) to (doc_id, n_shingles, set_key, bands), by ``n`` permutations."""
 
+    def run(batches):
+        for batch in batches:
+            ids, sizes, keys, rows = batch.column(0), [], [], []
+            for text in batch.column(1).to_pylist():
+                h = shingle_hashes(text)
+                sizes.append(len(h))
+                keys.append(fingerprint(h) if len(h) else None)
+                rows.append(bands(signature(h, n)) if len(h) else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *rows]))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return run
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return rows.mapInArrow(_sketch(permutations(percent)), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 class _Forest(dict):
@@ -61,14 +65,14 @@ class _Forest(dict):
         return x != y
 
 
-def forest_of_links(ids: list[int], texts: list[str], sides: list[int] | None = None) -> list[tuple[int, int]]:
+def forest_of_links(ids: list[int], texts: list[str], sides: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links on full sets that join the classes' components, as a spanning forest."""
     found, forest, n = [], _Forest(), len(ids)
     if n <= SMALL:
         sets = [shingle_set(t) for t in texts]
         for i in range(n):
             for j in range(i):
-                if forest.find(i) != forest.find(j) and linked(sets[i], sets[j]) and forest.join(i, j):
+                if forest.find(i) != forest.find(j) and linked(sets[i], sets[j], percent) and forest.join(i, j):
                     found.append((ids[i], ids[j]))
         return found
     hashes = [shingle_hashes(t) for t in texts]
@@ -88,42 +92,47 @@ def forest_of_links(ids: list[int], texts: list[str], sides: list[int] | None =
         x[owner[a:b], place[a:b] - at] = 1
         both += x @ x.T
     both = both.astype(np.int64)
-    near = 100 * both >= 85 * (sizes[:, None] + sizes[None, :] - both)
+    near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     for i, j in zip(*np.nonzero(np.tril(near, -1))):
         if forest.join(int(i), int(j)):
             found.append((ids[i], ids[j]))
     return found
 
 
-def _links(batches):
+def _links(percent: int):
     """Rows (task, node, text) sorted by task to links (u, v)."""
-    task, ids, texts = None, [], []
-
-    def emit():
-        found = forest_of_links(ids, texts) if len(ids) > 1 else []
-        u, v = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    for batch in batches:
-        for t, i, x in zip(*(c.to_pylist() for c in batch.columns)):
-            if t != task:
-                if task is not None:
-                    yield emit()
-                task, ids, texts = t, [], []
-            ids.append(i)
-            texts.append(x)
-    if ids:
-        yield emit()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+    def run(batches):
+        task, ids, texts = None, [], []
+
+        def emit():
+            found = forest_of_links(ids, texts, percent=percent) if len(ids) > 1 else []
+            u, v = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for t, i, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != task:
+                    if task is not None:
+                        yield emit()
+                    task, ids, texts = t, [], []
+                ids.append(i)
+                texts.append(x)
+        if ids:
+            yield emit()
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
+    Sets of a similarity of ``percent`` hundredths or more are linked; bands are as many as that asks for.
     Documents without words have an empty set, stand alone and are kept. Rows that repeat an id and a
     text are equal rows here; an id with different texts is looked at text by text. Null ids are an
     error of the input: such rows come back with component null and kept false.
     """
-    sketched = write_table(sketches(docs, id_col, text_col), "neardup-sketches")
+    sketched = write_table(sketches(docs, id_col, text_col, percent), "neardup-sketches")
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
@@ -136,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = groups.join(classes.select("node", "n").groupBy("node").agg(F.max("n").alias("n")), "node").join(sizes, "component")
     small = members.where(F.col("m") <= GROUP).select("node", F.xxhash64("component").alias("task"))
     # larger groups: classes of set size, then blocks
-    step = F.floor(F.ln(F.col("n").cast("double")) / F.lit(-math.log(0.85))).cast("int")
+    step = F.floor(F.ln(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) or 1.0)).cast("int")
     large = members.where(F.col("m") > GROUP).select("component", "node", step.alias("step"))
     counts = large.groupBy("component", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP // 2)).cast("int").alias("blocks"))
     ahead = counts.select("component", (F.col("step") - 1).alias("step"), F.col("blocks").alias("blocks_above"))
@@ -158,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shown = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
     work = assigned.join(shown, "node").select("task", "node", "text")
     work = work.repartition("task").sortWithinPartitions("task", "node")
-    links = work.mapInArrow(_links, "u long, v long")
+    links = work.mapInArrow(_links(percent), "u long, v long")
     found = write_table(connected_components(links), "neardup-components")
     of_class = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     rows = sketched.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
@@ -166,10 +175,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the row of its smallest id, once if rows repeat."""
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component at this similarity: the row of its smallest id, once if rows repeat."""
     (number, keep) = fresh(docs.columns, "row_number", "keep")
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(keep)).distinct()
+    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col("doc_id").alias(keep)).distinct()
     # semi join on the id; only ids that occur twice need an order, decided by the text's hash
     rows = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col(keep), "left_semi")
     again = docs.groupBy(F.col(f"`{id_col}`").cast("long").alias(keep)).agg(F.count(F.lit(1)).alias(number)).where(F.col(number) > 1).select(keep)
@@ -180,4 +189,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), percent=85)

@@ -9,7 +9,7 @@ import zstandard
 
 from pyspark.sql import functions as F
 
-from stagekit.llm import ann, langid, quality, secret_scan
+from stagekit.llm import ann, langid, neardup, quality, secret_scan
 from stagekit.llm.text import id_fold
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +88,22 @@ def test_languages_without_spaces_or_words(spark):
     got = [r for r in langid.identify(d.where(held_out), samples).collect() if any(map(str.isalpha, r.text or ""))]
     assert sum(r.lang == "zh" for r in got) > 2 and all(r.lang_pred == "zh" for r in got if r.lang == "zh")
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
+
+
+def test_pipeline_links_from_0_80(spark):
+    import corpus_pipeline
+
+    # sets of 100 shingles; pairs just over and just under 0.8, all under 0.85
+    rows, want = [], set()
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(104)]
+        cut = 10 + g % 3  # shingles that the copy does not share, at its end
+        copy = base[: 104 - cut] + [f"g{g}x{k}" for k in range(cut)]
+        a, b = (set(zip(*[w[i:] for i in range(5)])) for w in (base, copy))
+        similarity = len(a & b) / len(a | b)
+        rows += [(2 * g, " ".join(base), "en", "s", 1), (2 * g + 1, " ".join(copy), "en", "s", 1)]
+        want |= {2 * g} if similarity >= 0.8 else {2 * g, 2 * g + 1}
+        assert 0.75 < similarity < 0.85
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, d, SF).collect()} == want and 60 < len(want) < 120
+    assert neardup.near_duplicates(d, percent=85).where("kept").count() == 120
