@@ -70,16 +70,16 @@ class SuffixAutomaton:
         self.bits = math.log2(max(LEAST, len(text)))
 
     def phrases(self, text: str) -> int:
-        """Longest matches that it takes to get through ``text``; an unknown character counts as two."""
+        """Longest matches that it takes to get through ``text``; an unknown character is one."""
         step, count, state = self.step, 0, 0
         for c in map(ord, text):
             nxt = step.get((state << 21) | c)
             if nxt is None:
-                # a phrase ends before c; if nothing begins with c, it is escaped and spelled
-                count += state != 0
+                count += 1
+                # a phrase ends before c, or is c alone if nothing matched so far
                 nxt = step.get(c, 0) if state else 0
-                if not nxt:
-                    count += 2
+                if state and not nxt:
+                    count += 1
             state = nxt
         return count + (state != 0)
 

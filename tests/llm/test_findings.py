@@ -76,10 +76,11 @@ def test_every_credential_context_alone(name):
 
 def test_languages_without_spaces_or_words(spark):
     rng = random.Random(3)
-    hanzi = [chr(0x4E00 + k) for k in range(300)]
+    hanzi = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(2)) for _ in range(400)]
+    often = [1 / (k + 1) for k in range(400)]
     base = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL AND doc_id < 200").collect()
     rows = [(r.doc_id, r.text, r.lang) for r in base]
-    rows += [(1000 + i, "".join(rng.choices(hanzi, k=400)), "zh") for i in range(30)]
+    rows += [(1000 + i, "".join(rng.choices(hanzi, often, k=200)), "zh") for i in range(30)]
     rows += [(2000 + i, ["", "  ", "12 34 !?", None][i % 4], "no words") for i in range(40)] + [(3000, "Q7 x", "few words")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     held_out = id_fold(F.col("doc_id")) == 0
