@@ -2,37 +2,48 @@
 
 Texts are cut into units, before a space mark that follows something else, and around characters that no
 longer piece has; no piece runs over such a cut, so a unit's pieces depend on the unit alone. Over the
-distinct units of the corpus the lattice is relational: substrings of bounded length are exploded,
-joined by equality to the piece table, and the edges are grouped by unit again (the units are already
-partitioned by that key, so this adds no shuffle). A higher-order ``aggregate`` folds each unit:
-
-* ``unigram`` models: Viterbi from left to right, the best score and its last edge at every place;
-* ``bpe`` models (such as piece_bpe_32k.model): the best path by scores is not what these models mean,
-  so the fold merges the adjacent pair whose union is the best-scored edge, leftmost first, until none is.
-
-Characters without a piece become their UTF-8 bytes. The units' pieces go back to the documents by
-broadcast for the ``HEAD`` most frequent units and by a join for all others.
+``HEAD`` most frequent distinct units of the corpus the lattice is relational: substrings of bounded
+length are exploded, joined by equality to the piece table, and the edges are grouped by unit again (the
+units are already partitioned by that key, so this adds no shuffle). A higher-order ``aggregate`` folds
+each unit by Viterbi, from left to right, with the best edge into every place and a way back from the end:
+
+* ``unigram`` models: the best edge has the highest score of the path up to its end;
+* ``bpe`` models (such as piece_bpe_32k.model): an edge counts only where it is stable behind the best
+  edge into its start, which means that no piece over their joint would have been merged first. The
+  encoding is the one path all whose joints are stable, so exactly one edge into each place is left and
+  the ids are those of merging the best pair first. Whether a joint is stable follows from when each
+  suffix of the left and each prefix of the right piece is a symbol while that piece is being merged
+  (``Pieces.spans_of``); this needs a model whose pieces merge in the order of their scores, which
+  ``Pieces`` checks.
+
+Units beyond the head, and units of over ``LONG`` characters, take the same fold in the worker that meets
+them (``viterbi``), in linear time and with nothing kept. Characters without a piece become their UTF-8
+bytes.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagekit.plans.session import without, write_table
+from stagekit.plans.session import fresh, without, write_table
 
-MARK = "▁"
-HEAD = 1_500_000
-#: Longer units are folded by a heap in a worker, as the fold in SQL takes time with the square.
+MARK, CUT = "▁", "\x1f"
+#: Distinct units in the dictionary that every worker holds, at most (some 60 bytes each).
+HEAD = 2_000_000
+#: Longer units are folded by the workers: a fold in SQL copies its state at every place.
 LONG = 48
-FLUSH, CACHE = 300_000, 300_000
+#: Units of a lattice task; distinct units a worker counts before it sends them on; text bytes at a time.
+TASK_UNITS, FLUSH, SLICE = 25_000, 400_000, 4 << 20
+NEVER, ALWAYS = -1, 1 << 30
+EDGE = "struct<end:int,start:int,rank:int,id:int,score:double,right:array<bigint>,left:array<bigint>>"
 
 
 class Pieces:
@@ -43,19 +54,61 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_proto=data)
         n = model.get_piece_size()
-        self.strings = [model.id_to_piece(i) for i in range(n)]
         plain = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(n)]
-        self.table = {s: (i, float(model.get_score(i))) for i, s in enumerate(self.strings) if plain[i]}
-        self.scores = [float(model.get_score(i)) for i in range(n)]
-        order = {score: k for k, score in enumerate(sorted({score for _, score in self.table.values()}, reverse=True))}
-        #: Rank of the score and id of each piece in one number.
-        self.codes = {s: (order[score] << 20) + i for s, (i, score) in self.table.items()}
-        self.first_byte = next((i for i in range(n) if model.is_byte(i)), None)
-        self.unknown = model.unk_id()
-        self.longest = max(map(len, self.table))
-        inside = {c for s in self.table if len(s) > 1 for c in s}
+        strings = [model.id_to_piece(i) for i in range(n)]
+        table = {s: (i, float(model.get_score(i))) for i, s in enumerate(strings) if plain[i]}
+        self._set(strings, table, next((i for i in range(n) if model.is_byte(i)), None), model.unk_id())
+
+    @classmethod
+    def from_table(cls, scores: dict[str, float], unknown: int = 0) -> Pieces:
+        """Pieces of a hand-made table; ids follow its order, from 1."""
+        made = cls.__new__(cls)
+        made._set(["", *scores], {s: (i, x) for i, (s, x) in enumerate(scores.items(), 1)}, None, unknown)
+        return made
+
+    def _set(self, strings, table, first_byte, unknown) -> None:
+        self.strings, self.table, self.first_byte, self.unknown = strings, table, first_byte, unknown
+        order = {score: k for k, score in enumerate(sorted({score for _, score in table.values()}, reverse=True))}
+        #: Pieces of two characters and more by rank, the smaller merging first.
+        self.rank = {s: order[score] for s, (_, score) in table.items() if len(s) > 1}
+        self.longest = max(map(len, table))
+        self.lowest = min(score for _, score in table.values())
+        inside = {c for s in table if len(s) > 1 for c in s}
         self.alone = "".join(c for c in map(chr, range(0x20)) if c not in inside)
 
+    def spans_of(self, piece: str) -> tuple[list[int], list[int]] | None:
+        """When each suffix and each prefix of ``piece`` (by length, from 1) is a symbol during its merging.
+
+        A span of time is birth * 2^31 + death, as ranks of the merges that make and use the symbol, or
+        ``NEVER``. None if the piece is not what its own characters merge to, so that no text has it.
+        """
+        n, cuts = len(piece), list(range(len(piece) + 1))
+        right, left, last = [NEVER] * (n + 1), [NEVER] * (n + 1), -1
+        birth_r = birth_l = 0
+        while len(cuts) > 2:
+            rank, k = min((self.rank.get(piece[cuts[k] : cuts[k + 2]], ALWAYS), k) for k in range(len(cuts) - 2))
+            if rank == ALWAYS:
+                return None
+            if rank < last:
+                raise ValueError(f"piece {piece!r} is not merged in the order of scores")
+            last = rank
+            if k == 0:
+                left[cuts[1]], birth_l = birth_l << 31 | rank, rank
+            if k == len(cuts) - 3:
+                right[n - cuts[-2]], birth_r = birth_r << 31 | rank, rank
+            del cuts[k + 1]
+        right[n], left[n] = birth_r << 31 | ALWAYS, birth_l << 31 | ALWAYS
+        return right[1:], left[1:]
+
+    def rows(self, kind: str) -> list[tuple]:
+        """(piece, rank, id, score, right, left) of all pieces that a text can have."""
+        out = []
+        for s, (i, score) in self.table.items():
+            spans = self.spans_of(s) if kind == "bpe" else ([], [])
+            if spans:
+                out.append((s, self.rank.get(s, NEVER), i, score, *spans))
+        return out
+
     def unit_pattern(self) -> re.Pattern:
         alone = re.escape(self.alone)
         return re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
@@ -78,139 +131,184 @@ def marked(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def merge_heap(unit: str, pieces: Pieces) -> list[int]:
-    """Pieces of one unit by merging the best-scored pair first: the fold for long units, and the tests."""
-    parts, n = list(unit), len(unit)
-    left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    table = pieces.table
-    heap: list = []
-
-    def offer(i: int, j: int) -> None:
-        if i >= 0 and j >= 0 and (hit := table.get(parts[i] + parts[j])):
-            heapq.heappush(heap, (-hit[1], i, j, len(parts[i]) + len(parts[j])))
-
-    for i in range(n - 1):
-        offer(i, i + 1)
-    while heap:
-        _, i, j, size = heapq.heappop(heap)
-        if not parts[i] or not parts[j] or right[i] != j or len(parts[i]) + len(parts[j]) != size:
-            continue
-        parts[i], parts[j] = parts[i] + parts[j], ""
-        right[i] = right[j]
-        if right[i] >= 0:
-            left[right[i]] = i
-        offer(left[i], i)
-        offer(i, right[i])
-    out: list[int] = []
-    for p in parts:
-        if p:
-            hit = table.get(p)
-            out += [hit[0]] if hit else spelled(p, pieces)
-    return out
-
-
 def spelled(char: str, pieces: Pieces) -> list[int]:
     if pieces.first_byte is None:
         return [pieces.unknown]
     return [pieces.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def _merge_fold(n: Column, edges: Column) -> Column:
-    """Boundaries left after merging; ``edges`` maps start * 64 + end to the rank (smaller merges first)."""
-    none = F.lit(1 << 30)
-
-    def step(state: Column, _: Column) -> Column:
-        b = state["b"]
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.size(b) - 3),
-            lambda k: F.struct(F.coalesce(F.try_element_at(edges, F.get(b, k) * 64 + F.get(b, k + 2)), none).alias("rank"), k.alias("k")),
-        )
-        merged = _bound(
-            F.array_min(pairs),
-            lambda best: F.when(best["rank"] < none, F.struct(F.filter(b, lambda x, i: i != best["k"] + 1).alias("b"), F.lit(True).alias("open"))).otherwise(
-                F.struct(b.alias("b"), F.lit(False).alias("open"))
-            ),
+_LOW = (1 << 31) - 1
+_CHAR = ([ALWAYS], [ALWAYS])
+
+
+def viterbi(unit: str, pieces: Pieces, kind: str, spans: dict) -> list[int]:
+    """Ids of one unit by the fold that ``lattice`` does in SQL; ``spans`` is kept between calls."""
+    n, table, rank = len(unit), pieces.table, pieces.rank
+
+    def span(start: int, end: int):
+        s = unit[start:end]
+        if s not in spans:
+            spans[s] = pieces.spans_of(s) if s in table else _CHAR
+        return spans[s]
+
+    def stable(a: int, i: int, j: int) -> bool:
+        """Whether [i, j) stays behind [a, i)."""
+        right, left = span(a, i)[0], span(i, j)[1]
+        for k in range(1, j - i + 1):
+            y = left[k - 1]
+            if y == NEVER:
+                continue
+            for m in range(1, min(i - a, pieces.longest - k) + 1):
+                x = right[m - 1]
+                if x == NEVER:
+                    continue
+                r = rank.get(unit[i - m : i + k])
+                if r is not None and r < x & _LOW and r <= y & _LOW and y >> 31 < x & _LOW and x >> 31 <= y & _LOW:
+                    return False
+        return True
+
+    back, best = [0] * (n + 1), [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        starts = [i for i in range(max(0, j - pieces.longest), j - 1) if unit[i:j] in table] + [j - 1]
+        if kind == "bpe":
+            back[j] = next(i for i in starts if span(i, j) is not None and (i == 0 or stable(back[i], i, j)))
+        else:
+            score = lambda i: table[unit[i:j]][1] if unit[i:j] in table else pieces.lowest - 10.0  # noqa: B023, E731
+            best[j], back[j] = max((best[i] + score(i), i) for i in starts)
+    out: list[list[int]] = []
+    while n:
+        hit = table.get(unit[back[n] : n])
+        out.append([hit[0]] if hit else spelled(unit[back[n] : n], pieces))
+        n = back[n]
+    return [x for part in reversed(out) for x in part]
+
+
+def _fold(unit: Column, n: Column, by_end: Column, pieces: Pieces, kind: str) -> Column:
+    """Ids of the best path; ``by_end`` holds the edges into each place from 1 on."""
+    low = F.lit(_LOW).cast("long")
+    low_of = lambda x: x.bitwiseAND(low)
+
+    def broken(best: Column, edge: Column) -> Column:
+        """Whether a piece over the joint before ``edge`` would have been merged first."""
+        i, before = edge["start"], F.get(best, edge["start"])
+
+        def by(cross: Column, y: Column) -> Column:
+            x = F.get(before["right"], i - cross["start"] - 1)
+            return (
+                (cross["start"] < i) & (cross["start"] >= before["start"]) & (x >= 0) & (cross["rank"] < low_of(x)) & (cross["rank"] <= low_of(y))
+                & (F.shiftright(y, 31) < low_of(x)) & (F.shiftright(x, 31) <= low_of(y))
+            )
+
+        return F.exists(
+            F.transform(edge["left"], lambda y, k: F.struct(y.alias("y"), k.alias("k"))),
+            lambda e: (e["y"] >= 0) & F.coalesce(F.exists(F.get(by_end, i + e["k"]), lambda c: by(c, e["y"])), F.lit(False)),
         )
-        return F.when(state["open"] & (F.size(b) > 2), merged).otherwise(state)
 
-    start = F.struct(F.sequence(F.lit(0), n).alias("b"), F.lit(True).alias("open"))
-    return F.when(n == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda state: state["b"]))
+    start = F.array(F.expr("struct(0 AS end, -1 AS start, -1 AS rank, -1 AS id, 0D AS score, array() AS right, array() AS left)").cast(EDGE))
+
+    def step(best: Column, edges: Column) -> Column:
+        if kind == "bpe":
+            top = F.get(F.filter(edges, lambda e: (e["start"] == 0) | ~broken(best, e)), 0)
+        else:
+            top = F.array_max(F.transform(edges, lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id"))))
+            top = F.struct(F.lit(0).alias("end"), top["start"].alias("start"), F.lit(0).alias("rank"), top["id"].alias("id"), top["score"].alias("score"), F.array().alias("right"), F.array().alias("left")).cast(EDGE)
+        return F.concat(best, F.array(top))
 
+    ways = F.aggregate(by_end, start, step)
 
-def _viterbi_fold(n: Column, by_end: Column, penalty: float) -> Column:
-    """Boundaries of the best path; ``by_end`` maps an end to its edges (start, score)."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("back")))
+    def ids_of(edge: Column) -> Column:
+        if pieces.first_byte is None:
+            return F.array(F.when(edge["id"] < 0, F.lit(pieces.unknown)).otherwise(edge["id"]))
+        code = F.hex(F.encode(F.substr(unit, edge["start"] + 1, F.lit(1)), "UTF-8"))
+        spelt = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substr(code, k, F.lit(2)), 16, 10).cast("int") + pieces.first_byte)
+        return F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(spelt)
 
-    def step(best: Column, end: Column) -> Column:
-        alone = F.struct((F.get(best, end - 1)["score"] + penalty).alias("score"), (end - 1).alias("back"))
-        more = F.transform(
-            F.coalesce(F.try_element_at(by_end, end), F.array().cast("array<struct<start:int,score:double>>")),
-            lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("back")),
-        )
-        top = F.array_max(F.concat(more, F.array(alone)))
-        return F.concat(best, F.array(top))
+    def back(found: Column) -> Column:
+        first = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
+        walk = F.aggregate(
+            F.sequence(F.lit(1), n), first,
+            lambda s, _: F.when(s["at"] == 0, s).otherwise(F.struct(F.get(found, s["at"])["start"].alias("at"), F.concat(ids_of(F.get(found, s["at"])), s["ids"]).alias("ids"))),
+        )
+        return walk["ids"]
 
-    ways = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    back = F.aggregate(
-        F.sequence(F.lit(1), n), F.struct(n.alias("at"), F.array(n).alias("path")),
-        lambda s, _: F.when(s["at"] == 0, s).otherwise(
-            F.struct(F.get(ways, s["at"])["back"].alias("at"), F.concat(F.array(F.get(ways, s["at"])["back"]), s["path"]).alias("path"))
-        ),
-    )
-    return back["path"]
+    return F.get(F.transform(F.array(ways), back), 0)
 
 
 def lattice(units: DataFrame, pieces: Pieces, kind: str = "bpe") -> DataFrame:
-    """(unit, n) with units of at most ``LONG`` characters to (unit, n, ids array<int>)."""
+    """(unit), distinct and not empty, to (unit, ids array<int>)."""
     spark = units.sparkSession
     # the model's own size
-    table = F.broadcast(spark.createDataFrame(list(pieces.codes.items()), "piece string, code long"))
+    table = F.broadcast(spark.createDataFrame(pieces.rows(kind), "piece string, rank int, id int, score double, right array<bigint>, left array<bigint>"))
     size = F.char_length("unit")
-    # a span is start * 64 + end, an edge is span * 2^40 + rank * 2^20 + id; a character without a piece has no edge
+    # a span is start * 64 + end
     spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - i)), lambda k: i * 65 + k)))
-    cut = units.select("unit", "n", F.explode(spans).alias("span"))
+    cut = units.select("unit", F.explode(spans).alias("span"))
     cut = cut.withColumn("piece", F.expr("substring(unit, shiftright(span, 6) + 1, (span & 63) - shiftright(span, 6))"))
-    edges = cut.join(table, "piece", "left").where("code IS NOT NULL OR (span & 63) = shiftright(span, 6) + 1")
-    packed = F.shiftleft(F.col("span").cast("long"), 40) + F.col("code")
+    edges = cut.join(table, "piece", "left").where("id IS NOT NULL OR (span & 63) = shiftright(span, 6) + 1")
+    # a character without a piece is an edge that no merge concerns
+    always = F.array(F.lit(ALWAYS).cast("long"))
+    edge = F.struct(
+        F.col("span").bitwiseAND(F.lit(63)).alias("end"), F.shiftright("span", 6).alias("start"), F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("id", F.lit(-1)).alias("id"),
+        F.coalesce("score", F.lit(pieces.lowest - 10.0)).alias("score"), F.coalesce("right", always).alias("right"), F.coalesce("left", always).alias("left"),
+    ).cast(EDGE)
     # units are dealt by this key already: no exchange
-    grouped = edges.groupBy("unit", "n").agg(F.collect_list(packed).alias("edges"))
-    span_of = lambda e: F.shiftright(e, 40).cast("int")
-    rank_of = lambda e: F.shiftright(e, 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-    id_of = lambda e: e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-    if kind == "bpe":
-        long_ones = F.filter("edges", lambda e: span_of(e) % 64 > F.floor(span_of(e) / 64) + 1)
-        ranks = F.map_from_entries(F.transform(long_ones, lambda e: F.struct(span_of(e).alias("k"), rank_of(e).alias("v"))))
-        bounds = _bound(ranks, lambda found: _merge_fold(size, found))
-    else:
-        scores = F.array(*[F.lit(float(x)) for x in pieces.scores])
-        lowest = min(pieces.scores)
-        ends = F.map_from_entries(
-            F.transform(F.sequence(F.lit(1), size), lambda j: F.struct(j.alias("k"), F.transform(
-                F.filter("edges", lambda e: span_of(e) % 64 == j),
-                lambda e: F.struct(F.floor(span_of(e) / 64).cast("int").alias("start"), F.get(scores, id_of(e)).alias("score")),
-            ).alias("v")))
-        )
-        bounds = _bound(ends, lambda by_end: _viterbi_fold(size, by_end, lowest - 10.0))
-    ids = F.map_from_entries(F.transform("edges", lambda e: F.struct(span_of(e).alias("k"), id_of(e).alias("v"))))
-
-    def named(table: Column, i: Column, j: Column) -> Column:
-        hit = F.try_element_at(table, i * 64 + j)
-        if pieces.first_byte is None:
-            return F.array(F.coalesce(hit, F.lit(pieces.unknown)))
-        code = F.hex(F.encode(F.substr(F.col("unit"), i + 1, j - i), "UTF-8"))
-        spelt = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substr(code, k, F.lit(2)), 16, 10).cast("int") + pieces.first_byte)
-        return _bound(hit, lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(spelt))
-
-    cut_up = lambda table, b: F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda k: named(table, F.get(b, k), F.get(b, k + 1))))
-    return grouped.select("unit", "n", _bound(ids, lambda table: _bound(bounds, lambda b: cut_up(table, b))).alias("ids"))
-
-
-def _units(pattern: re.Pattern):
+    grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    by_end = F.transform(F.sequence(F.lit(1), size), lambda j: F.filter("edges", lambda e: e["end"] == j))
+    ids = F.get(F.transform(F.array(by_end), lambda found: _fold(F.col("unit"), size, found, pieces, kind)), 0)
+    return grouped.select("unit", ids.alias("ids"))
+
+
+def flat_units(texts: pa.Array, pieces: Pieces) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts one after another, and how many each text has."""
+    pattern, newline = pieces.unit_pattern(), "\n" if "\n" in pieces.alone else ""
+    texts = texts.cast(pa.string()).fill_null("")
+    # texts that splitting at single spaces and line ends cuts right; the pattern does the others
+    rare = "".join(c for c in pieces.alone + CUT if c != newline)
+    plain = pc.invert(pc.match_substring_regex(texts, f"^ |  |{MARK}|[{re.escape(rare)}]"))
+    some = texts.filter(pc.and_(plain, pc.not_equal(texts, "")))
+    some = pc.replace_substring(pc.binary_join_element_wise(MARK, some, ""), " ", CUT + MARK)
+    if newline:
+        some = pc.replace_substring(some, newline, CUT + newline + CUT)
+    lists = pc.split_pattern(some, CUT)
+    flat, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    counts = np.zeros(len(texts), np.int64)
+    here = pc.and_(plain, pc.not_equal(texts, "")).to_numpy(zero_copy_only=False)
+    counts[here] = np.diff(np.concatenate([[0], np.cumsum(full)])[bounds])
+    flat = flat.filter(pa.array(full))
+    others = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    if not len(others):
+        return flat, counts
+    found = [pattern.findall(marked(t)) for t in texts.take(pa.array(others)).to_pylist()]
+    first = np.zeros(len(texts), np.int64)
+    first[here] = np.cumsum(counts[here]) - counts[here]
+    counts[others] = [len(f) for f in found]
+    first[others] = len(flat) + np.cumsum(counts[others]) - counts[others]
+    flat = pa.concat_arrays([flat, pa.array([u for f in found for u in f], pa.string())])
+    return flat.take(pa.array(_ranges(first, counts))), counts
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), then the same for all others."""
+    before = np.cumsum(n) - n
+    return np.arange(int(n.sum())) + np.repeat(first - before, n)
+
+
+def _slices(sizes: np.ndarray, most: int):
+    """Runs of rows of about ``most`` in size, a row at least."""
+    at, total = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield at, end
+        at = end
+
+
+def _text_slices(column: pa.Array):
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return _slices(sizes + 1, SLICE)
+
+
+def _count(pieces: Pieces):
     def run(batches):
         seen: Counter = Counter()
 
@@ -221,8 +319,10 @@ def _units(pattern: re.Pattern):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000], pa.string()), pa.array(n[at : at + 50_000], pa.int64())], names=["unit", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(pattern.findall(marked(text)))
+            for at, end in _text_slices(batch.column(0)):
+                found = flat_units(batch.column(0).slice(at, end - at), pieces)[0].value_counts()
+                for u, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                    seen[u] += n
                 if len(seen) > FLUSH:
                     yield from rows()
         yield from rows()
@@ -230,140 +330,131 @@ def _units(pattern: re.Pattern):
     return run
 
 
-def decode(df: DataFrame, model_path: str, ids_col: str = "ids", output: str = "decoded") -> DataFrame:
-    """``df`` with the text that the ids stand for; null ids give null, no ids the empty text."""
-    with open(model_path, "rb") as f:
-        surfaces = df.sparkSession.sparkContext.broadcast(Pieces(f.read()).surfaces())
+def unit_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
+    """(unit, n) of all distinct units of the texts."""
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    return texts.mapInArrow(_count(pieces), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
-    def run(column: pa.Array) -> pa.Array:
-        table = surfaces.value
-        return pa.array([None if r is None else b"".join(map(table.__getitem__, r)).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for r in column.to_pylist()], pa.string())
-
-    df = without(df, output)
-    return df.withColumn(output, F.arrow_udf(run, "string")(F.col(f"`{ids_col}`")))
 
+def _hashes(units: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(u) for u in units), np.uint64, len(units))
 
-def unit_pieces(docs: DataFrame, pieces: Pieces, text_col: str, kind: str) -> DataFrame:
-    """(unit, n, ids) of all distinct units of the texts."""
-    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    units = texts.mapInArrow(_units(pieces.unit_pattern()), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    short = lattice(units.where(F.char_length("unit") <= LONG), pieces, kind)
-    if kind != "bpe":
-        return short  # a unigram path over long units is found by the same fold, in linear time
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    def fold(column: pa.Array) -> pa.Array:
-        return pa.array([merge_heap(u, shared.value) for u in column.to_pylist()], pa.list_(pa.int32()))
+class Dictionary:
+    """Units and their ids, looked up many at a time; a hit compares the strings themselves."""
 
-    long = units.where(F.char_length("unit") > LONG).withColumn("ids", F.arrow_udf(fold, "array<int>")(F.col("unit")))
-    return short.unionByName(long)
+    def __init__(self, units: pa.Array, ids: pa.Array):
+        hashes = _hashes(units.to_pylist())
+        order = np.argsort(hashes, kind="stable")
+        ids = ids.take(pa.array(order))
+        offsets = ids.offsets.to_numpy()
+        self.hashes, self.units = hashes[order], units.take(pa.array(order))
+        self.first, self.ids = offsets - offsets[0], ids.flatten().to_numpy().astype(np.int32)
 
+    def find(self, units: pa.Array) -> np.ndarray:
+        """Places of the units, -1 where they are not here."""
+        if not len(self.hashes) or not len(units):
+            return np.full(len(units), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, _hashes(units.to_pylist())), len(self.hashes) - 1)
+        same = pc.equal(self.units.take(pa.array(at)), units).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", kind: str = "bpe", digest: bool = False, head: int = HEAD) -> DataFrame:
-    """``docs`` without the text, with ``n_pieces`` (long) and ``ids`` (array<int>), or a digest of them.
 
-    Null and empty texts have no pieces. Rows may repeat; input columns named like an output are
-    replaced. ``digest=True`` gives ``ids_digest`` in place of the ids, the sum over all pieces of
-    (place in the marked text + 1) * (id + 1), a sum that needs no second shuffle of whole documents.
-    The places are those of the units' first characters.
-    """
-    spark = docs.sparkSession
-    with open(model_path, "rb") as f:
-        pieces = Pieces(f.read())
-    outputs = ("n_pieces", "ids", "ids_digest", "sp_open", "sp_row", "more_n", "more_digest", "more_ids")
-    keep = [c for c in docs.columns if c != text_col and c.lower() not in outputs]
-    units = write_table(unit_pieces(docs, pieces, text_col, kind), "sp-units")
+def head_ids(units: DataFrame, pieces: Pieces, kind: str, head: int) -> Dictionary:
+    """Lattice ids of the units that occur most often, ``head`` at most: all above the least count that fits."""
     total, least = units.count(), 1
     if total > head:
-        at, many = 1001, 0
+        least, many = 1001, 0
         for r in sorted(units.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), key=lambda r: -r["n"]):
             if many + r["count"] > head:
                 break
-            at, many = r["n"], many + r["count"]
-        least = at
-
-    def hashed(batches):
-        for b in batches:
-            h = np.fromiter((xxhash.xxh64_intdigest(u) for u in b.column(0).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], names=["h", "ids"])
-
-    top = units.where(F.col("n") >= least).select("unit", "ids").mapInArrow(hashed, "h long, ids array<int>").toArrow()
-    h = top["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    lists = top["ids"].combine_chunks().take(pa.array(order))
-    offsets = lists.offsets.to_numpy()
-    known = spark.sparkContext.broadcast((h[order], (offsets - offsets[0]).astype(np.int32), lists.flatten().to_numpy().astype(np.int32)))
-    pattern = pieces.unit_pattern()
+            least, many = r["n"], many + r["count"]
+        total = many
+    top = units.where((F.col("n") >= least) & (F.char_length("unit") <= LONG)).select("unit")
+    found = lattice(top.repartition(max(1, -(-total // TASK_UNITS)), "unit"), pieces, kind).toArrow().combine_chunks()
+    one = lambda name, t: pa.concat_arrays(found[name].chunks) if found[name].num_chunks else pa.array([], t)
+    return Dictionary(one("unit", pa.string()).cast(pa.string()), one("ids", pa.list_(pa.int32())).cast(pa.list_(pa.int32())))
 
-    def run(batches):
-        hashes, offset, flat = known.value
-        index: dict[str, int] = {}
-        spots = np.empty(0, np.int64)
 
-        def meet(new):
-            nonlocal spots
-            x = np.fromiter((xxhash.xxh64_intdigest(u) for u in new), np.uint64, len(new))
-            at = np.minimum(np.searchsorted(hashes, x), max(0, len(hashes) - 1))
-            spots = np.concatenate([spots, np.where(hashes[at] == x, at, -1) if len(hashes) else np.full(len(x), -1)])
-            index.update(zip(new, range(len(index), len(index) + len(new))))
+def encode(docs: DataFrame, model: str | Pieces, text_col: str = "text", kind: str = "bpe", head: int = HEAD) -> DataFrame:
+    """``docs`` without the text, with ``n_pieces`` (long) and ``ids`` (array<int>).
+
+    Null and empty texts have no pieces, an empty table gives an empty one. Rows may repeat, ids may be
+    null; input columns named like an output are replaced. Ties between edges into a place can only be
+    met by ``unigram`` models; the later start wins.
+    """
+    spark = docs.sparkSession
+    pieces = model if isinstance(model, Pieces) else load(model)
+    keep = [c for c in docs.columns if c != text_col and c.lower() not in ("n_pieces", "ids")]
+    units = write_table(unit_counts(docs, pieces, text_col), "sp-units")
+    known = spark.sparkContext.broadcast(head_ids(units, pieces, kind, head))
 
+    def run(batches):
+        words, spans = known.value, {}
         for batch in batches:
-            count, sums, ids_out, waits = [], [], [], []
-            if len(index) > CACHE:
-                index.clear()
-                spots = np.empty(0, np.int64)
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                found = pattern.findall(marked(text))
-                new = list(dict.fromkeys(u for u in found if u not in index))
-                if new:
-                    meet(new)
-                spot = spots[np.fromiter(map(index.__getitem__, found), np.int64, len(found))]
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                starts = np.cumsum(sizes) - sizes
-                have = spot >= 0
-                n = np.where(have, offset[np.maximum(spot, 0) + 1] - offset[np.maximum(spot, 0)], 1 if not digest else 0) if len(hashes) else np.full(len(found), int(not digest))
-                first = np.cumsum(n) - n
-                which = np.repeat(np.arange(len(found)), n)
-                within = np.arange(len(which)) - first[which]
-                open_ = np.flatnonzero(~have)
-                ids = np.zeros(len(which), np.int64)
-                sure = have[which]
-                ids[sure] = flat[offset[spot[which[sure]]] + within[sure]]
-                if digest:
-                    sums.append(int(((starts[which] + 1) * (ids + 1)).sum()))
-                else:
-                    ids[~sure] = -1 - np.arange(len(open_))
-                    ids_out.append(ids.astype(np.int32))
-                count.append(int(n[have].sum()))
-                waits.append([{"unit": found[i], "k": k, "start": int(starts[i])} for k, i in enumerate(open_.tolist())])
-            body = pa.array(sums, pa.int64()) if digest else pa.array(ids_out, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(count, pa.int64()), body, pa.array(waits, pa.list_(pa.struct([("unit", pa.string()), ("k", pa.int32()), ("start", pa.int64())])))],
-                names=[*batch.schema.names[:-1], "n_pieces", "ids_digest" if digest else "ids", "sp_open"],
-            )
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text_col))
-    body = "ids_digest long" if digest else "ids array<int>"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"n_pieces long, {body}, sp_open array<struct<unit:string,k:int,start:bigint>>"])
-    out = rows.mapInArrow(run, schema)
-    if least > 1:
-        out = write_table(out.withColumn("sp_row", F.monotonically_increasing_id()), "sp-encoded")
-        tail = units.where(F.col("n") < least).select("unit", F.col("ids").alias("more_ids"))
-        waiting = out.select("sp_row", F.explode("sp_open").alias("o")).select("sp_row", "o.unit", "o.k", "o.start").join(tail, "unit")
-        more = [F.sum(F.size("more_ids")).alias("more_n")]
-        if digest:
-            each = F.aggregate("more_ids", F.lit(0).cast("long"), lambda a, x: a + x + 1)
-            more.append(F.sum((F.col("start") + 1) * each).alias("more_digest"))
-        else:
-            more.append(F.array_sort(F.collect_list(F.struct("k", "more_ids"))).alias("more_ids"))
-        out = out.join(waiting.groupBy("sp_row").agg(*more), "sp_row", "left")
-        out = out.withColumn("n_pieces", F.col("n_pieces") + F.coalesce("more_n", F.lit(0)))
-        if digest:
-            out = out.withColumn("ids_digest", F.col("ids_digest") + F.coalesce("more_digest", F.lit(0)))
-        else:
-            fill = F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(F.get("more_ids", -x - 1)["more_ids"])))
-            out = out.withColumn("ids", F.when(F.col("more_n").isNull(), F.col("ids")).otherwise(fill))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n_pieces", "ids_digest" if digest else "ids")
+            text = batch.column(batch.num_columns - 1)
+            for at, end in _text_slices(text):
+                flat, counts = flat_units(text.slice(at, end - at), pieces)
+                coded = flat.dictionary_encode()
+                place = words.find(coded.dictionary)
+                n = np.zeros(len(place), np.int64)
+                hit = place >= 0
+                n[hit] = words.first[place[hit] + 1] - words.first[place[hit]]
+                if len(spans) > FLUSH:
+                    spans.clear()
+                own = [viterbi(u, pieces, kind, spans) for u in coded.dictionary.filter(pa.array(~hit)).to_pylist()]
+                n[~hit] = [len(x) for x in own]
+                # ids of this slice's distinct units: those of the dictionary, then those folded here
+                local = np.concatenate([words.ids[_ranges(words.first[place[hit]], n[hit])], np.array([i for x in own for i in x], np.int32)]).astype(np.int32)
+                first = np.zeros(len(place), np.int64)
+                first[hit] = np.cumsum(n[hit]) - n[hit]
+                first[~hit] = int(n[hit].sum()) + np.cumsum(n[~hit]) - n[~hit]
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                ids = local[_ranges(first[codes], n[codes])]
+                ends = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(counts)])]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                cols = [c.slice(at, end - at) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(ends), pa.int64()), lists], names=[*batch.schema.names[:-1], "n_pieces", "ids"])
+
+    text_name = fresh([*keep, "n_pieces", "ids"], "text")[0]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text_name))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_pieces long, ids array<int>"])
+    return rows.mapInArrow(run, schema)
+
+
+def decode(df: DataFrame, model: str | Pieces, ids_col: str = "ids", output: str = "decoded") -> DataFrame:
+    """``df`` with the text that the ids stand for; null ids give null, no ids the empty text.
+
+    Rows may repeat; a column named like the output is replaced. Bytes that are no UTF-8 become U+FFFD.
+    """
+    pieces = model if isinstance(model, Pieces) else load(model)
+    surfaces = df.sparkSession.sparkContext.broadcast(pieces.surfaces())
+
+    def text_of(joined: pa.Array) -> pa.Array:
+        try:
+            return joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([None if x is None else x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+
+    def run(column: pa.Array) -> pa.Array:
+        table, out = pa.array(surfaces.value, pa.binary()), []
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        for at, end in _slices(sizes + 1, SLICE):
+            part = column.slice(at, end - at)
+            bounds = np.concatenate([[0], np.cumsum(sizes[at:end])])
+            parts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), table.take(part.flatten()))
+            text = pc.replace_substring(text_of(pc.binary_join(parts, b"")), MARK, " ")
+            text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+            out.append(pc.if_else(pc.is_valid(part), text, pa.scalar(None, pa.string())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    df = without(df, output)
+    return df.withColumn(output, F.arrow_udf(run, "string")(F.col(f"`{ids_col}`")))
+
+
+def load(path: str) -> Pieces:
+    with open(path, "rb") as f:
+        return Pieces(f.read())
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
