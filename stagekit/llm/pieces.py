@@ -17,33 +17,33 @@ each unit by Viterbi, from left to right, with the best edge into every place an
   ``Pieces`` checks.
 
 Units beyond the head, and units of over ``LONG`` characters, take the same fold in the worker that meets
-them (``viterbi``), in linear time and with nothing kept. Characters without a piece become their UTF-8
+them (``Folder``), in linear time. Characters without a piece become their UTF-8
 bytes.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagekit.llm.lookup import SLICE, Lookup, ranges, slices, text_slices
 from stagekit.plans.session import fresh, without, write_table
 
 MARK, CUT = "▁", "\x1f"
 #: Distinct units in the dictionary that every worker holds, at most (some 60 bytes each).
-HEAD = 2_000_000
+HEAD = 1_000_000
 #: Longer units are folded by the workers: a fold in SQL copies its state at every place.
 LONG = 48
-#: Units of a lattice task; distinct units a worker counts before it sends them on; text bytes at a time.
-TASK_UNITS, FLUSH, SLICE = 25_000, 400_000, 4 << 20
-NEVER, ALWAYS = -1, 1 << 30
-EDGE = "struct<end:int,start:int,rank:int,id:int,score:double,right:array<bigint>,left:array<bigint>>"
+#: Units of a lattice task; distinct units a worker counts before it sends them on.
+TASK_UNITS, FLUSH = 8_000, 400_000
+#: Ranks of merges take 20 bits; ``ALWAYS`` is behind all of them.
+NEVER, ALWAYS = -1, (1 << 20) - 1
+EDGE = "struct<end:int,start:int,rank:int,id:int,score:double,right:array<int>,left:array<bigint>>"
 
 
 class Pieces:
@@ -76,15 +76,14 @@ class Pieces:
         inside = {c for s in table if len(s) > 1 for c in s}
         self.alone = "".join(c for c in map(chr, range(0x20)) if c not in inside)
 
-    def spans_of(self, piece: str) -> tuple[list[int], list[int]] | None:
-        """When each suffix and each prefix of ``piece`` (by length, from 1) is a symbol during its merging.
+    def spans_of(self, piece: str) -> tuple[list[tuple], list[tuple]] | None:
+        """When the suffixes and the prefixes of ``piece`` are symbols during its merging: (length, birth, death).
 
-        A span of time is birth * 2^31 + death, as ranks of the merges that make and use the symbol, or
-        ``NEVER``. None if the piece is not what its own characters merge to, so that no text has it.
+        Times are the ranks of the merges that make and use a symbol. None if the piece is not what its
+        own characters merge to, so that no text has it.
         """
-        n, cuts = len(piece), list(range(len(piece) + 1))
-        right, left, last = [NEVER] * (n + 1), [NEVER] * (n + 1), -1
-        birth_r = birth_l = 0
+        n, cuts, last = len(piece), list(range(len(piece) + 1)), NEVER
+        right, left, birth_r, birth_l = [], [], 0, 0
         while len(cuts) > 2:
             rank, k = min((self.rank.get(piece[cuts[k] : cuts[k + 2]], ALWAYS), k) for k in range(len(cuts) - 2))
             if rank == ALWAYS:
@@ -93,22 +92,35 @@ class Pieces:
                 raise ValueError(f"piece {piece!r} is not merged in the order of scores")
             last = rank
             if k == 0:
-                left[cuts[1]], birth_l = birth_l << 31 | rank, rank
+                left.append((cuts[1], birth_l, rank))
+                birth_l = rank
             if k == len(cuts) - 3:
-                right[n - cuts[-2]], birth_r = birth_r << 31 | rank, rank
+                right.append((n - cuts[-2], birth_r, rank))
+                birth_r = rank
             del cuts[k + 1]
-        right[n], left[n] = birth_r << 31 | ALWAYS, birth_l << 31 | ALWAYS
-        return right[1:], left[1:]
+        return [*right, (n, birth_r, ALWAYS)], [*left, (n, birth_l, ALWAYS)]
 
     def rows(self, kind: str) -> list[tuple]:
-        """(piece, rank, id, score, right, left) of all pieces that a text can have."""
+        """(piece, rank, id, score, right, left) of all pieces that a text can have.
+
+        ``right`` holds birth * 2^20 + death by suffix length (``NEVER`` for no symbol) in two ints,
+        ``left`` holds length * 2^40 + birth * 2^20 + death of the prefixes that are symbols.
+        """
         out = []
         for s, (i, score) in self.table.items():
             spans = self.spans_of(s) if kind == "bpe" else ([], [])
             if spans:
-                out.append((s, self.rank.get(s, NEVER), i, score, *spans))
+                births, deaths = [NEVER] * len(s), [NEVER] * len(s)
+                for size, birth, death in spans[0]:
+                    births[size - 1], deaths[size - 1] = birth, death
+                left = [size << 40 | birth << 20 | death for size, birth, death in spans[1]]
+                out.append((s, self.rank.get(s, NEVER), i, score, [x for pair in zip(births, deaths) for x in pair], left))
         return out
 
+    def beginnings(self) -> set[str]:
+        """Everything that some piece begins with."""
+        return {s[:k] for s in self.table for k in range(1, len(s) + 1)}
+
     def unit_pattern(self) -> re.Pattern:
         alone = re.escape(self.alone)
         return re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
@@ -137,71 +149,96 @@ def spelled(char: str, pieces: Pieces) -> list[int]:
     return [pieces.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
 
 
-_LOW = (1 << 31) - 1
-_CHAR = ([ALWAYS], [ALWAYS])
-
-
-def viterbi(unit: str, pieces: Pieces, kind: str, spans: dict) -> list[int]:
-    """Ids of one unit by the fold that ``lattice`` does in SQL; ``spans`` is kept between calls."""
-    n, table, rank = len(unit), pieces.table, pieces.rank
-
-    def span(start: int, end: int):
-        s = unit[start:end]
-        if s not in spans:
-            spans[s] = pieces.spans_of(s) if s in table else _CHAR
-        return spans[s]
-
-    def stable(a: int, i: int, j: int) -> bool:
-        """Whether [i, j) stays behind [a, i)."""
-        right, left = span(a, i)[0], span(i, j)[1]
-        for k in range(1, j - i + 1):
-            y = left[k - 1]
-            if y == NEVER:
-                continue
-            for m in range(1, min(i - a, pieces.longest - k) + 1):
-                x = right[m - 1]
-                if x == NEVER:
-                    continue
-                r = rank.get(unit[i - m : i + k])
-                if r is not None and r < x & _LOW and r <= y & _LOW and y >> 31 < x & _LOW and x >> 31 <= y & _LOW:
+class Folder:
+    """The fold that ``lattice`` does in SQL, for one unit at a time in a worker."""
+
+    def __init__(self, pieces: Pieces, kind: str):
+        self.pieces, self.kind, self.begins = pieces, kind, pieces.beginnings()
+        self.ids_of = {s: i for s, (i, _) in pieces.table.items()}
+        self.spans, self.joints = {}, {}
+
+    def _span(self, piece: str):
+        if piece not in self.spans:  # as many as there are pieces
+            self.spans[piece] = self.pieces.spans_of(piece)
+        return self.spans[piece]
+
+    def _stable(self, left: str, right: str) -> bool:
+        """Whether the two pieces stay apart, the right one being what its characters merge to."""
+        n, both, rank, found = len(left), left + right, self.pieces.rank, self._span(right)
+        if found is None:
+            return False
+        for k, birth, death in found[1]:
+            for m, born, dead in self._span(left)[0]:
+                r = rank.get(both[n - m : n + k])
+                if r is not None and r < dead and r <= death and birth < dead and born <= death:
                     return False
         return True
 
-    back, best = [0] * (n + 1), [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        starts = [i for i in range(max(0, j - pieces.longest), j - 1) if unit[i:j] in table] + [j - 1]
-        if kind == "bpe":
-            back[j] = next(i for i in starts if span(i, j) is not None and (i == 0 or stable(back[i], i, j)))
+    def ids(self, unit: str) -> list[int]:
+        n, ids_of, begins, joints = len(unit), self.ids_of, self.begins, self.joints
+        into: list[list[tuple]] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            into[i + 1].append((i, ids_of.get(unit[i], -1)))
+            for j in range(i + 2, n + 1):
+                s = unit[i:j]
+                if s in begins:
+                    if s in ids_of:
+                        into[j].append((i, ids_of[s]))
+                else:
+                    break
+        back: list[tuple] = [(0, -1)] * (n + 1)
+        if self.kind == "bpe":
+            if len(joints) > 300_000:
+                joints.clear()
+            for j in range(1, n + 1):
+                for edge in into[j]:
+                    i, b = edge
+                    if i == 0:
+                        fine = b < 0 or self._span(unit[:j]) is not None
+                    else:
+                        a = back[i][1]
+                        key = a << 32 | b
+                        fine = a < 0 or b < 0 or joints.get(key)
+                        if fine is None:
+                            fine = joints[key] = self._stable(unit[back[i][0] : i], unit[i:j])
+                    if fine:
+                        back[j] = edge
+                        break
         else:
-            score = lambda i: table[unit[i:j]][1] if unit[i:j] in table else pieces.lowest - 10.0  # noqa: B023, E731
-            best[j], back[j] = max((best[i] + score(i), i) for i in starts)
-    out: list[list[int]] = []
-    while n:
-        hit = table.get(unit[back[n] : n])
-        out.append([hit[0]] if hit else spelled(unit[back[n] : n], pieces))
-        n = back[n]
-    return [x for part in reversed(out) for x in part]
+            best, table, low = [0.0] * (n + 1), self.pieces.table, self.pieces.lowest - 10.0
+            for j in range(1, n + 1):
+                best[j], *edge = max((best[i] + (table[unit[i:j]][1] if b >= 0 else low), i, b) for i, b in into[j])
+                back[j] = tuple(edge)
+        out: list[list[int]] = []
+        while n:
+            start, i = back[n]
+            out.append([i] if i >= 0 else spelled(unit[start:n], self.pieces))
+            n = start
+        return [x for part in reversed(out) for x in part]
+
+
+def _let(value: Column, use) -> Column:
+    """Whether ``use(value)`` holds, with the value computed once."""
+    return F.exists(F.array(value), use)
 
 
 def _fold(unit: Column, n: Column, by_end: Column, pieces: Pieces, kind: str) -> Column:
     """Ids of the best path; ``by_end`` holds the edges into each place from 1 on."""
-    low = F.lit(_LOW).cast("long")
-    low_of = lambda x: x.bitwiseAND(low)
+    low = F.lit(ALWAYS).cast("long")
+    first_of, last_of = (lambda y: F.shiftright(y, 20).bitwiseAND(low)), (lambda y: y.bitwiseAND(low))
 
     def broken(best: Column, edge: Column) -> Column:
         """Whether a piece over the joint before ``edge`` would have been merged first."""
-        i, before = edge["start"], F.get(best, edge["start"])
-
-        def by(cross: Column, y: Column) -> Column:
-            x = F.get(before["right"], i - cross["start"] - 1)
-            return (
-                (cross["start"] < i) & (cross["start"] >= before["start"]) & (x >= 0) & (cross["rank"] < low_of(x)) & (cross["rank"] <= low_of(y))
-                & (F.shiftright(y, 31) < low_of(x)) & (F.shiftright(x, 31) <= low_of(y))
-            )
-
-        return F.exists(
-            F.transform(edge["left"], lambda y, k: F.struct(y.alias("y"), k.alias("k"))),
-            lambda e: (e["y"] >= 0) & F.coalesce(F.exists(F.get(by_end, i + e["k"]), lambda c: by(c, e["y"])), F.lit(False)),
+
+        def by(before: Column, cross: Column, y: Column) -> Column:
+            at = (edge["start"] - cross["start"] - 1) * 2
+            over = (cross["start"] < edge["start"]) & (cross["start"] >= before["start"]) & (cross["rank"] <= last_of(y))
+            birth = F.get(before["right"], at)
+            return over & _let(F.get(before["right"], at + 1), lambda death: (cross["rank"] < death) & (first_of(y) < death)) & (birth <= last_of(y))
+
+        return _let(
+            F.get(best, edge["start"]),
+            lambda before: F.exists(edge["left"], lambda y: F.exists(F.get(by_end, edge["start"] + F.shiftright(y, 40).cast("int") - 1), lambda cross: by(before, cross, y))),
         )
 
     start = F.array(F.expr("struct(0 AS end, -1 AS start, -1 AS rank, -1 AS id, 0D AS score, array() AS right, array() AS left)").cast(EDGE))
@@ -237,22 +274,24 @@ def _fold(unit: Column, n: Column, by_end: Column, pieces: Pieces, kind: str) ->
 def lattice(units: DataFrame, pieces: Pieces, kind: str = "bpe") -> DataFrame:
     """(unit), distinct and not empty, to (unit, ids array<int>)."""
     spark = units.sparkSession
-    # the model's own size
-    table = F.broadcast(spark.createDataFrame(pieces.rows(kind), "piece string, rank int, id int, score double, right array<bigint>, left array<bigint>"))
+    # the model's own size; the join is on a hash, which one number makes cheap, and compares the piece itself after it
+    columns = "piece string, rank int, id int, score double, right array<int>, left array<bigint>"
+    table = spark.createDataFrame(pieces.rows(kind), columns)
+    table = F.broadcast(table.select(F.xxhash64("piece").alias("hash"), F.col("piece").alias("named"), "rank", "id", "score", "right", "left"))
     size = F.char_length("unit")
-    # a span is start * 64 + end
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - i)), lambda k: i * 65 + k)))
-    cut = units.select("unit", F.explode(spans).alias("span"))
-    cut = cut.withColumn("piece", F.expr("substring(unit, shiftright(span, 6) + 1, (span & 63) - shiftright(span, 6))"))
-    edges = cut.join(table, "piece", "left").where("id IS NOT NULL OR (span & 63) = shiftright(span, 6) + 1")
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    cut = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + pieces.longest))).alias("end"))
+    cut = cut.withColumn("piece", F.expr("substring(unit, start + 1, end - start)")).withColumn("hash", F.xxhash64("piece"))
+    edges = cut.join(table, "hash", "left").where("named = piece OR end = start + 1")
     # a character without a piece is an edge that no merge concerns
-    always = F.array(F.lit(ALWAYS).cast("long"))
+    hit = F.col("named") == F.col("piece")
     edge = F.struct(
-        F.col("span").bitwiseAND(F.lit(63)).alias("end"), F.shiftright("span", 6).alias("start"), F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("id", F.lit(-1)).alias("id"),
-        F.coalesce("score", F.lit(pieces.lowest - 10.0)).alias("score"), F.coalesce("right", always).alias("right"), F.coalesce("left", always).alias("left"),
+        "end", "start", F.when(hit, F.col("rank")).otherwise(NEVER).alias("rank"), F.when(hit, F.col("id")).otherwise(-1).alias("id"),
+        F.when(hit, F.col("score")).otherwise(pieces.lowest - 10.0).alias("score"), F.when(hit, F.col("right")).otherwise(F.array(F.lit(0), F.lit(ALWAYS))).alias("right"),
+        F.when(hit, F.col("left")).otherwise(F.array(F.lit((1 << 40) + ALWAYS).cast("long"))).alias("left"),
     ).cast(EDGE)
     # units are dealt by this key already: no exchange
-    grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    grouped = edges.select("unit", edge.alias("edge")).sortWithinPartitions("unit").groupBy("unit").agg(F.collect_list("edge").alias("edges"))
     by_end = F.transform(F.sequence(F.lit(1), size), lambda j: F.filter("edges", lambda e: e["end"] == j))
     ids = F.get(F.transform(F.array(by_end), lambda found: _fold(F.col("unit"), size, found, pieces, kind)), 0)
     return grouped.select("unit", ids.alias("ids"))
@@ -285,47 +324,29 @@ def flat_units(texts: pa.Array, pieces: Pieces) -> tuple[pa.Array, np.ndarray]:
     counts[others] = [len(f) for f in found]
     first[others] = len(flat) + np.cumsum(counts[others]) - counts[others]
     flat = pa.concat_arrays([flat, pa.array([u for f in found for u in f], pa.string())])
-    return flat.take(pa.array(_ranges(first, counts))), counts
-
-
-def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... (n[0] of them), then the same for all others."""
-    before = np.cumsum(n) - n
-    return np.arange(int(n.sum())) + np.repeat(first - before, n)
-
-
-def _slices(sizes: np.ndarray, most: int):
-    """Runs of rows of about ``most`` in size, a row at least."""
-    at, total = 0, np.cumsum(sizes)
-    while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
-        yield at, end
-        at = end
-
-
-def _text_slices(column: pa.Array):
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    return _slices(sizes + 1, SLICE)
+    return flat.take(pa.array(ranges(first, counts))), counts
 
 
 def _count(pieces: Pieces):
     def run(batches):
-        seen: Counter = Counter()
+        seen, n = [], 0
 
-        def rows():
-            keys, n = list(seen), list(seen.values())
-            seen.clear()
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000], pa.string()), pa.array(n[at : at + 50_000], pa.int64())], names=["unit", "n"])
+        def merged() -> pa.Table:
+            return pa.Table.from_batches(seen).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])
 
         for batch in batches:
-            for at, end in _text_slices(batch.column(0)):
+            for at, end in text_slices(batch.column(0)):
                 found = flat_units(batch.column(0).slice(at, end - at), pieces)[0].value_counts()
-                for u, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
-                    seen[u] += n
-                if len(seen) > FLUSH:
-                    yield from rows()
-        yield from rows()
+                seen.append(pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["unit", "n"]))
+                n += len(found)
+                if n > 2 * FLUSH:
+                    table = merged()
+                    seen, n = table.to_batches(), len(table)
+                    if n > FLUSH:
+                        yield from seen
+                        seen, n = [], 0
+        if seen:
+            yield from merged().to_batches()
 
     return run
 
@@ -336,29 +357,15 @@ def unit_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
     return texts.mapInArrow(_count(pieces), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _hashes(units: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(u) for u in units), np.uint64, len(units))
-
-
 class Dictionary:
-    """Units and their ids, looked up many at a time; a hit compares the strings themselves."""
+    """Units and their ids."""
 
     def __init__(self, units: pa.Array, ids: pa.Array):
-        hashes = _hashes(units.to_pylist())
-        order = np.argsort(hashes, kind="stable")
-        ids = ids.take(pa.array(order))
+        self.lookup = Lookup(units)
+        ids = ids.take(pa.array(self.lookup.order))
         offsets = ids.offsets.to_numpy()
-        self.hashes, self.units = hashes[order], units.take(pa.array(order))
         self.first, self.ids = offsets - offsets[0], ids.flatten().to_numpy().astype(np.int32)
 
-    def find(self, units: pa.Array) -> np.ndarray:
-        """Places of the units, -1 where they are not here."""
-        if not len(self.hashes) or not len(units):
-            return np.full(len(units), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, _hashes(units.to_pylist())), len(self.hashes) - 1)
-        same = pc.equal(self.units.take(pa.array(at)), units).to_numpy(zero_copy_only=False)
-        return np.where(same, at, -1)
-
 
 def head_ids(units: DataFrame, pieces: Pieces, kind: str, head: int) -> Dictionary:
     """Lattice ids of the units that occur most often, ``head`` at most: all above the least count that fits."""
@@ -390,27 +397,25 @@ def encode(docs: DataFrame, model: str | Pieces, text_col: str = "text", kind: s
     known = spark.sparkContext.broadcast(head_ids(units, pieces, kind, head))
 
     def run(batches):
-        words, spans = known.value, {}
+        words, folder = known.value, Folder(pieces, kind)
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
-            for at, end in _text_slices(text):
+            for at, end in text_slices(text):
                 flat, counts = flat_units(text.slice(at, end - at), pieces)
                 coded = flat.dictionary_encode()
-                place = words.find(coded.dictionary)
+                place = words.lookup.find(coded.dictionary)
                 n = np.zeros(len(place), np.int64)
                 hit = place >= 0
                 n[hit] = words.first[place[hit] + 1] - words.first[place[hit]]
-                if len(spans) > FLUSH:
-                    spans.clear()
-                own = [viterbi(u, pieces, kind, spans) for u in coded.dictionary.filter(pa.array(~hit)).to_pylist()]
+                own = [folder.ids(u) for u in coded.dictionary.filter(pa.array(~hit)).to_pylist()]
                 n[~hit] = [len(x) for x in own]
                 # ids of this slice's distinct units: those of the dictionary, then those folded here
-                local = np.concatenate([words.ids[_ranges(words.first[place[hit]], n[hit])], np.array([i for x in own for i in x], np.int32)]).astype(np.int32)
+                local = np.concatenate([words.ids[ranges(words.first[place[hit]], n[hit])], np.array([i for x in own for i in x], np.int32)]).astype(np.int32)
                 first = np.zeros(len(place), np.int64)
                 first[hit] = np.cumsum(n[hit]) - n[hit]
                 first[~hit] = int(n[hit].sum()) + np.cumsum(n[~hit]) - n[~hit]
                 codes = coded.indices.to_numpy(zero_copy_only=False)
-                ids = local[_ranges(first[codes], n[codes])]
+                ids = local[ranges(first[codes], n[codes])]
                 ends = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(counts)])]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 cols = [c.slice(at, end - at) for c in batch.columns[:-1]]
@@ -439,7 +444,7 @@ def decode(df: DataFrame, model: str | Pieces, ids_col: str = "ids", output: str
     def run(column: pa.Array) -> pa.Array:
         table, out = pa.array(surfaces.value, pa.binary()), []
         sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        for at, end in _slices(sizes + 1, SLICE):
+        for at, end in slices(sizes + 1, SLICE):
             part = column.slice(at, end - at)
             bounds = np.concatenate([[0], np.cumsum(sizes[at:end])])
             parts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), table.take(part.flatten()))
