@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that a worker cuts up at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -26,8 +26,11 @@ def slices(sizes: np.ndarray, most: int):
 
 
 def text_slices(column: pa.Array, most: int = SLICE):
+    """``slices`` of a column of texts; between them Arrow gives back the memory that it keeps for itself."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    return slices(sizes + 1, most)
+    for at, end in slices(sizes + 1, most):
+        yield at, end
+        pa.default_memory_pool().release_unused()
 
 
 _WIDE = 64

@@ -40,7 +40,7 @@ HEAD = 1_000_000
 #: Longer units are folded by the workers: a fold in SQL copies its state at every place.
 LONG = 48
 #: Units of a lattice task; distinct units a worker counts before it sends them on.
-TASK_UNITS, FLUSH = 8_000, 400_000
+TASK_UNITS, FLUSH = 4_000, 250_000
 #: Ranks of merges take 20 bits; ``ALWAYS`` is behind all of them.
 NEVER, ALWAYS = -1, (1 << 20) - 1
 EDGE = "struct<end:int,start:int,rank:int,id:int,score:double,right:array<int>,left:array<bigint>>"
