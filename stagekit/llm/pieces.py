@@ -383,21 +383,24 @@ def head_ids(units: DataFrame, pieces: Pieces, kind: str, head: int) -> Dictiona
     return Dictionary(one("unit", pa.string()).cast(pa.string()), one("ids", pa.list_(pa.int32())).cast(pa.list_(pa.int32())))
 
 
-def encode(docs: DataFrame, model: str | Pieces, text_col: str = "text", kind: str = "bpe", head: int = HEAD) -> DataFrame:
+def encode(docs: DataFrame, model: str | Pieces, text_col: str = "text", kind: str = "bpe", head: int = HEAD, decoded: str | None = None) -> DataFrame:
     """``docs`` without the text, with ``n_pieces`` (long) and ``ids`` (array<int>).
 
-    Null and empty texts have no pieces, an empty table gives an empty one. Rows may repeat, ids may be
+    ``decoded`` names a column for what ``decode`` makes of the ids, by the same worker: a second one for
+    each task would take as much memory again. Null and empty texts have no pieces, an empty table gives an empty one. Rows may repeat, ids may be
     null; input columns named like an output are replaced. Ties between edges into a place can only be
     met by ``unigram`` models; the later start wins.
     """
     spark = docs.sparkSession
     pieces = model if isinstance(model, Pieces) else load(model)
-    keep = [c for c in docs.columns if c != text_col and c.lower() not in ("n_pieces", "ids")]
+    outputs = ["n_pieces", "ids", *([decoded] if decoded else [])]
+    keep = [c for c in docs.columns if c != text_col and c.lower() not in [o.lower() for o in outputs]]
     units = write_table(unit_counts(docs, pieces, text_col), "sp-units")
     known = spark.sparkContext.broadcast(head_ids(units, pieces, kind, head))
 
     def run(batches):
         words, folder = known.value, Folder(pieces, kind)
+        surfaces = pa.array(pieces.surfaces(), pa.binary())
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
             for at, end in text_slices(text):
@@ -419,14 +422,33 @@ def encode(docs: DataFrame, model: str | Pieces, text_col: str = "text", kind: s
                 ends = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(counts)])]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 cols = [c.slice(at, end - at) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(ends), pa.int64()), lists], names=[*batch.schema.names[:-1], "n_pieces", "ids"])
+                made = [pa.array(np.diff(ends), pa.int64()), lists, *([texts_of(lists, surfaces)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*cols, *made], names=[*batch.schema.names[:-1], *outputs])
 
-    text_name = fresh([*keep, "n_pieces", "ids"], "text")[0]
+    text_name = fresh([*keep, *outputs], "text")[0]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text_name))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_pieces long, ids array<int>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_pieces long, ids array<int>", *([f"`{decoded}` string"] if decoded else [])])
     return rows.mapInArrow(run, schema)
 
 
+def texts_of(ids: pa.Array, surfaces: pa.Array) -> pa.Array:
+    """The text that each list of ids stands for; null for null."""
+    out = []
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    for at, end in slices(sizes + 1, SLICE):
+        part = ids.slice(at, end - at)
+        bounds = np.concatenate([[0], np.cumsum(sizes[at:end])])
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), surfaces.take(part.flatten())), b"")
+        try:
+            text = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+        text = pc.replace_substring(text, MARK, " ")
+        text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+        out.append(pc.if_else(pc.is_valid(part), text, pa.scalar(None, pa.string())))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def decode(df: DataFrame, model: str | Pieces, ids_col: str = "ids", output: str = "decoded") -> DataFrame:
     """``df`` with the text that the ids stand for; null ids give null, no ids the empty text.
 
@@ -435,23 +457,8 @@ def decode(df: DataFrame, model: str | Pieces, ids_col: str = "ids", output: str
     pieces = model if isinstance(model, Pieces) else load(model)
     surfaces = df.sparkSession.sparkContext.broadcast(pieces.surfaces())
 
-    def text_of(joined: pa.Array) -> pa.Array:
-        try:
-            return joined.cast(pa.string())
-        except pa.ArrowInvalid:
-            return pa.array([None if x is None else x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
-
     def run(column: pa.Array) -> pa.Array:
-        table, out = pa.array(surfaces.value, pa.binary()), []
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        for at, end in slices(sizes + 1, SLICE):
-            part = column.slice(at, end - at)
-            bounds = np.concatenate([[0], np.cumsum(sizes[at:end])])
-            parts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), table.take(part.flatten()))
-            text = pc.replace_substring(text_of(pc.binary_join(parts, b"")), MARK, " ")
-            text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
-            out.append(pc.if_else(pc.is_valid(part), text, pa.scalar(None, pa.string())))
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+        return texts_of(column, pa.array(surfaces.value, pa.binary()))
 
     df = without(df, output)
     return df.withColumn(output, F.arrow_udf(run, "string")(F.col(f"`{ids_col}`")))
@@ -468,6 +475,6 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
-    decoded = decode(encode(docs, path), path)
+    decoded = encode(docs, path, decoded="decoded")
     crc = F.crc32(F.col("decoded").cast("binary"))
     return decoded.select("doc_id", "n_pieces", "ids", crc.alias("decoded_crc32"), (crc == F.col("text_crc32")).alias("round_trip"))
