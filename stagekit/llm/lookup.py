@@ -33,6 +33,27 @@ def text_slices(column: pa.Array, most: int = SLICE):
         pa.default_memory_pool().release_unused()
 
 
+def counted(runs, name: str, number: str, most: int):
+    """Batches of the distinct strings in ``runs`` and how often they occur; a string comes again after ``most`` others."""
+    seen, n = [], 0
+
+    def merged() -> pa.Table:
+        return pa.Table.from_batches(seen).group_by(name).aggregate([(number, "sum")]).rename_columns([name, number])
+
+    for run in runs:
+        found = run.value_counts()
+        seen.append(pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=[name, number]))
+        n += len(found)
+        if n > 2 * most:
+            table = merged()
+            seen, n = table.to_batches(), len(table)
+            if n > most:
+                yield from seen
+                seen, n = [], 0
+    if seen:
+        yield from merged().to_batches()
+
+
 _WIDE = 64
 _PARTS = np.random.default_rng(1).integers(0, 2**64, _WIDE * 256, np.uint64)
 

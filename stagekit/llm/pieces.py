@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagekit.llm.lookup import SLICE, Lookup, ranges, slices, text_slices
+from stagekit.llm.lookup import SLICE, Lookup, counted, ranges, slices, text_slices
 from stagekit.plans.session import fresh, without, write_table
 
 MARK, CUT = "▁", "\x1f"
@@ -329,24 +329,7 @@ def flat_units(texts: pa.Array, pieces: Pieces) -> tuple[pa.Array, np.ndarray]:
 
 def _count(pieces: Pieces):
     def run(batches):
-        seen, n = [], 0
-
-        def merged() -> pa.Table:
-            return pa.Table.from_batches(seen).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])
-
-        for batch in batches:
-            for at, end in text_slices(batch.column(0)):
-                found = flat_units(batch.column(0).slice(at, end - at), pieces)[0].value_counts()
-                seen.append(pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["unit", "n"]))
-                n += len(found)
-                if n > 2 * FLUSH:
-                    table = merged()
-                    seen, n = table.to_batches(), len(table)
-                    if n > FLUSH:
-                        yield from seen
-                        seen, n = [], 0
-        if seen:
-            yield from merged().to_batches()
+        yield from counted((flat_units(b.column(0).slice(at, end - at), pieces)[0] for b in batches for at, end in text_slices(b.column(0))), "unit", "n", FLUSH)
 
     return run
 
