@@ -1,18 +1,21 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a suffix automaton of labelled text. A text is parsed against it from left to right:
-the longest piece that occurs in the labelled text is one phrase, then the next begins. A language
-that fits needs few phrases; ``phrases * log2(labelled length) / characters`` estimates the cross
-entropy in bits a character, which makes automata of different sizes comparable, and the least wins.
-
-Phrases don't run over white space, so a word's phrases depend on the word alone and are counted once
-per word and worker, not once per occurrence. The labelled text of a language is a list of words with
-spaces around, the words of most documents first, up to ``CHARS`` characters.
+Each language has a suffix automaton of labelled running text. A text is parsed against it from left to
+right: the longest piece that occurs in the labelled text is one phrase, then the next begins. A language
+that fits needs few phrases; ``phrases * log2(labelled length) / characters`` estimates the cross entropy
+in bits a character, which makes automata of different sizes comparable, and the least wins.
+
+Phrases run over white space. Whole texts are parsed, in blocks of ``BLOCK`` characters that each begin
+with a new phrase: so all blocks of many texts, against all languages, go through dense transition tables
+side by side, a character at a time. Text is lower-case letters, and one space for everything else; the
+``FREQUENT`` letters of the labelled texts are symbols, all others share ``BUCKETS`` by code point, so that
+a script of thousands of letters keeps a table of bounded size.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -20,30 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagekit.llm.lookup import text_slices
 from stagekit.llm.text import id_fold
 from stagekit.plans.session import fresh, without
 
-#: The labelled sample: so many documents a language, so many characters of each, and so many
-#: languages (the most frequent ones); then so many characters of words a language.
-DOCS, DOC_CHARS, LANGUAGES, CHARS = 400, 3000, 256, 60_000
-CACHE = 400_000
-#: Characters of the longest word that is learned or cached in one piece; longer ones, sentences without spaces
-#: among them, are learned in pieces of so many.
-LONG = 64
+#: The labelled sample: documents of a language at most, characters of a document's passage, of a language (fewer
+#: than 2^15, as states are 16-bit numbers), and of all languages together.
+DOCS, PASSAGE, CHARS, ALL_CHARS = 400, 300, 32_000, 4_000_000
+FREQUENT, BUCKETS = 47, 16
+SYMBOLS = 1 + FREQUENT + BUCKETS
+BLOCK = 256
 #: Labelled characters that the estimate counts with at least: a label of a few words would win with its few bits a phrase.
 LEAST = 256
 UNKNOWN = "und"
-#: Bits a character from which no language fits: text in a learned language takes 1.5 to 5, letters at random over 6.
-MOST_BITS = 6.0
+#: Bits a character from which no language fits; short texts, which tell little, count as so many characters more.
+MOST_BITS, MORE = 5.5, 16
+OTHERS = re.compile(r"[\W\d_]+")
+
+
+def normal(text: str | None) -> str:
+    """Lower-case letters, with one space for whatever lies between them."""
+    return OTHERS.sub(" ", (text or "").lower()).strip()
 
 
 class SuffixAutomaton:
-    """All substrings of a text, as one dictionary of transitions (state * 2**21 + code point)."""
+    """All substrings of a sequence of symbols, as a dense table (state, symbol) to state; 0 is the start, and no way on."""
 
-    def __init__(self, text: str):
+    def __init__(self, symbols: list[int]):
         goto: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
-        for c in map(ord, text):
+        for c in symbols:
             new = len(goto)
             goto.append({})
             length.append(length[last] + 1)
@@ -66,98 +75,78 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.step = {(s << 21) | c: t for s, row in enumerate(goto) for c, t in row.items()}
-        self.bits = math.log2(max(LEAST, len(text)))
-
-    def phrases(self, text: str) -> int:
-        """Longest matches that it takes to get through ``text``; an unknown character is one."""
-        step, count, state = self.step, 0, 0
-        for c in map(ord, text):
-            nxt = step.get((state << 21) | c)
-            if nxt is None:
-                count += 1
-                # a phrase ends before c, or is c alone if nothing matched so far
-                nxt = step.get(c, 0) if state else 0
-                if state and not nxt:
-                    count += 1
-            state = nxt
-        return count + (state != 0)
-
-
-def labelled_text(texts: list[str], chars: int = CHARS) -> str:
-    """Words with letters, those in most of the texts first, up to ``chars`` characters; blank without such words."""
-    seen: Counter = Counter()
-    for text in texts:
-        parts = {w[i : i + LONG] for w in text.lower().split() for i in range(0, len(w), LONG)}
-        seen.update({w for w in parts if any(map(str.isalpha, w))})
-    out, size = [], 1
-    for word, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-        if size + len(word) + 1 > chars:
-            break
-        out.append(word)
-        size += len(word) + 1
-    return " " + " ".join(out) + " "
+        self.table = np.zeros((len(goto), SYMBOLS), np.uint16)
+        for s, row in enumerate(goto):
+            for c, t in row.items():
+                self.table[s, c] = t
 
 
 class CrossParser:
-    """Automata of all languages with a bounded cache of the words met."""
+    """Automata of all languages in one table, and the symbols they read."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        self.automata = [SuffixAutomaton(samples[k]) for k in self.langs]
-        self.bits = np.array([a.bits for a in self.automata])
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.langs) + 1), np.uint8)
-
-    def count(self, word: str) -> list[int]:
-        """Phrases for each language, then characters; nothing for a word without letters."""
-        if not any(map(str.isalpha, word)):
-            return [0] * (len(self.langs) + 1)
-        framed = f" {word} "
-        return [a.phrases(framed) for a in self.automata] + [len(word) + 1]
-
-    def _learn(self, word: str) -> int:
-        at = self.index[word] = len(self.index)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.count(word)
-        return at
-
-    def entropies(self, text: str) -> np.ndarray | None:
-        """Bits a character for each language; None without letters."""
-        if len(self.index) > CACHE:
-            self._forget()
-        get, learn = self.index.get, self._learn
-        total = np.zeros(len(self.langs) + 1, np.int64)
-        at = []
-        for word in text.lower().split():
-            i = get(word)
-            if i is None:
-                if len(word) > LONG:
-                    total += self.count(word)
-                    continue
-                i = learn(word)
-            at.append(i)
-        if at:
-            total += self.table[at].sum(axis=0, dtype=np.int64)
-        if not total[-1] or not self.langs:
-            return None
-        return total[:-1] * self.bits / total[-1]
-
-    def predict(self, text: str | None) -> tuple[str, float, float | None]:
+        seen = Counter(c for k in self.langs for c in samples[k])
+        self.symbol = np.arange(0x110000, dtype=np.uint32) % BUCKETS
+        self.symbol = (self.symbol + 1 + FREQUENT).astype(np.uint8)
+        for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]):
+            self.symbol[ord(c)] = i + 1
+        tables = [SuffixAutomaton(self.symbols(samples[k]).tolist()).table for k in self.langs]
+        self.first = (np.cumsum([0, *map(len, tables)])[:-1] * SYMBOLS).astype(np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.uint16)
+        self.bits = np.array([math.log2(max(LEAST, len(samples[k]))) for k in self.langs])
+
+    def symbols(self, text: str) -> np.ndarray:
+        return self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages) phrases of normal texts; the sum over a text's blocks."""
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        flat = self.symbols("".join(texts))
+        many = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(texts)), many)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * BLOCK
+        first = np.repeat(np.cumsum(sizes) - sizes, many) + place
+        length = np.minimum(np.repeat(sizes, many) - place, BLOCK)
+        order = np.argsort(-length, kind="stable")  # the longest first: those that go on are at the front
+        first, length, owner = first[order], length[order], owner[order]
+        state = np.zeros((len(self.langs), len(owner)), np.int32)
+        count = np.zeros((len(self.langs), len(owner)), np.int32)
+        base = self.first[:, None]
+        for at in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -at, side="left"))
+            c = flat[first[:n] + at].astype(np.int32)
+            before = state[:, :n]
+            after = self.table[before * SYMBOLS + (c + base)]
+            stuck = after == 0
+            root = self.table[c + base]
+            # a phrase ends before a character that does not go on, and one that no phrase begins with is one itself
+            count[:, :n] += (stuck & (before != 0)).view(np.int8) + (stuck & (root == 0)).view(np.int8)
+            state[:, :n] = np.where(stuck, root, after)
+        count += state != 0
+        for i in range(len(self.langs)):
+            out[:, i] = np.bincount(owner, count[i], len(texts))
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
         """Language, score and the winner's bits a character."""
-        found = self.entropies(text) if text else None
-        if found is None:
-            return UNKNOWN, 0.0, None
-        best = int(found.argmin())
-        rest = np.delete(found, best)
-        score = 1.0 if not rest.size else 1.0 - float(found[best]) / max(float(rest.min()), 1e-9)
-        return self.langs[best], min(1.0, max(0.0, score)), float(found[best])
-
-
+        plain = [normal(t) if t else "" for t in texts]
+        if not self.langs:
+            return [(UNKNOWN, 0.0, None)] * len(texts)
+        sizes = np.fromiter(map(len, plain), np.int64, len(plain))
+        bits = self.phrases(plain) * self.bits / np.maximum(sizes, 1)[:, None]
+        best = bits.argmin(axis=1)
+        least = bits[np.arange(len(plain)), best]
+        if len(self.langs) > 1:
+            second = np.partition(bits, 1, axis=1)[:, 1]
+            score = np.clip(1 - least / np.maximum(second, 1e-9), 0, 1)
+        else:
+            score = np.ones(len(plain))
+        return [(self.langs[b], float(s), float(x)) if n else (UNKNOWN, 0.0, None) for n, b, s, x in zip(sizes, best, score, least)]
+
+
+#: The parser of the samples that this worker met last.
 _parsers: dict[int, CrossParser] = {}
 
 
@@ -170,24 +159,29 @@ def _parser(samples: dict[str, str]) -> CrossParser:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Labelled text by language, from a bounded sample of ``labelled``.
+    """Labelled text by language, from a bounded sample of ``labelled``: every label that has a text with a letter.
 
-    A label whose sampled texts have no word with letters is left out. Documents are taken in the order of a hash of their id. The counts see all rows; the text column is
-    read only for rows whose hash is under a limit that leaves about twice ``DOCS`` a language.
+    ``DOCS`` documents a language, in the order of a hash of their id, show a passage of ``PASSAGE``
+    characters each, from a place that the hash chooses, up to ``CHARS`` characters (less with so many
+    languages that ``ALL_CHARS`` are shared out). The counts see all rows; the text column is read only
+    for rows whose hash is under a limit that leaves about twice ``DOCS`` a language. Null labels and null
+    texts are left out; an empty table gives no language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    # at most LANGUAGES rows
+    counts = rows.groupBy("lang").count()
+    # one row a language; the planner broadcasts it while it is small
     limits = counts.select(F.col("lang").alias("l"), (F.lit(2.0 * DOCS * (1 << 40)) / F.col("count")).alias("most"))
-    near = rows.join(F.broadcast(limits), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("most")))
-    near = near.select("lang", "h", F.substring("text", 1, DOC_CHARS).alias("text"))
+    near = rows.join(limits, (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("most")))
+    place = F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("text") - PASSAGE + 1)).cast("int")
+    near = near.select("lang", "h", F.substr("text", place + 1, F.lit(PASSAGE)).alias("text"))
     first = near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= DOCS)
     texts: dict[str, list[str]] = {}
-    for row in first.select("lang", "text").collect():
-        texts.setdefault(row["lang"], []).append(row["text"])
-    learned = {k: labelled_text(sorted(v)) for k, v in texts.items()}
-    return {k: text for k, text in learned.items() if not text.isspace()}
+    for row in first.select("lang", "i", "text").orderBy("lang", "i").toLocalIterator():
+        texts.setdefault(row["lang"], []).append(normal(row["text"]))
+    chars = min(CHARS, ALL_CHARS // max(1, len(texts)))
+    learned = {k: " ".join(filter(None, v))[:chars] for k, v in texts.items()}
+    return {k: text for k, text in learned.items() if text}
 
 
 SCHEMA = "struct<lang_pred:string,score:double,bits_per_char:double>"
@@ -198,13 +192,15 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", o
     """``docs`` with ``lang_pred``, ``score`` (0 to 1: lead over the next language) and ``bits_per_char``.
 
     Whole texts, row by row. Null text and text without a letter give ``und`` and score 0, as does any
-    text if nothing was learned. Input columns named like an output are replaced.
+    text if nothing was learned; of languages that fit alike the first by name wins. Repeated rows get the
+    same answer each. Input columns named like an output are replaced; an empty table stays so.
     """
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def judge(texts: pa.Array) -> pa.Array:
-        parser = _parser(shared.value)
-        rows = [parser.predict(t) for t in texts.to_pylist()]
+        parser, rows = _parser(shared.value), []
+        for at, end in text_slices(texts, 1 << 20):
+            rows += parser.predict(texts.slice(at, end - at).to_pylist())
         cols = list(zip(*rows)) if rows else [[], [], []]
         kinds = (pa.string(), pa.float64(), pa.float64())
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=OUTPUTS)
@@ -218,11 +214,13 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", o
 def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
     """Rows of ``docs``, columns as they are, whose text one of the languages fits.
 
-    Null texts, texts without a letter and texts over ``most_bits`` go; so does every row if nothing was learned.
+    Null texts, texts without a letter and texts over ``most_bits`` go; so does every row if nothing was
+    learned. Repeated rows share their fate; an empty table stays so.
     """
     pred, _, bits = names = fresh(docs.columns, *OUTPUTS)
     judged = identify(docs, samples, text_col, names)
-    return judged.where((F.col(pred) != UNKNOWN) & (F.col(bits) <= most_bits)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    size = F.char_length(F.col(f"`{text_col}`"))
+    return judged.where((F.col(pred) != UNKNOWN) & (F.col(bits) * size <= most_bits * (size + MORE))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
