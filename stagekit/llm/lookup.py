@@ -33,6 +33,16 @@ def text_slices(column: pa.Array, most: int = SLICE):
         pa.default_memory_pool().release_unused()
 
 
+def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts with A-Z lowered, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    flat = lists.flatten()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    full = pc.not_equal(flat, "")
+    counts = np.diff(np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[bounds])
+    return flat.filter(full), counts
+
+
 def counted(runs, name: str, number: str, most: int):
     """Batches of the distinct strings in ``runs`` and how often they occur; a string comes again after ``most`` others."""
     seen, n = [], 0
