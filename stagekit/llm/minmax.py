@@ -1,12 +1,15 @@
-"""Shingle sets and min-max signatures of one text (numpy only)."""
+"""Shingle sets and min-max signatures of one text (numpy and Arrow)."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+from stagekit.llm.lookup import flat_words, hashes_of
+
 WIDTH = 5
 #: Similarity in hundredths from which two sets are linked.
 PERCENT = 85
@@ -15,7 +18,6 @@ ROWS, MISS = 5, 1e-6
 #: Permutations there are; each gives a minimum and a maximum, so twice as many signature slots.
 PERMUTATIONS, MORE = 60, 440
 BLOCK = 8192
-CACHE = 500_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,7 +25,6 @@ _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _C = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = np.concatenate([_A, _rng.integers(0, 1 << 63, MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
 _B = np.concatenate([_B, _rng.integers(0, 1 << 63, MORE, dtype=np.uint64)])
-_known: dict[bytes, int] = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -65,28 +66,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingle set."""
-    w = words(text)
-    if not w:
-        return np.empty(0, np.uint64)
-    if len(w) < WIDTH:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=len(w))], np.uint64)
-    if len(_known) > CACHE:
-        _known.clear()
-    ids = []
-    for x in w:
-        h = _known.get(x)
-        if h is None:
-            h = _known[x] = xxhash.xxh64_intdigest(x)
-        ids.append(h)
-    ids = np.array(ids, np.uint64)
-    n = len(ids) - WIDTH + 1
-    h = np.zeros(n, np.uint64)
+def shingle_hash_lists(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingle set, for all texts at once."""
+    flat, counts = flat_words(texts)
+    coded = flat.dictionary_encode()
+    ids = hashes_of(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    padded = np.concatenate([ids, np.zeros(WIDTH, np.uint64)])
+    h, first = np.zeros(len(ids), np.uint64), np.cumsum(counts) - counts
+    short = np.repeat(np.where(counts < WIDTH, counts, WIDTH), counts)  # words of the run that begins here
     for i in range(WIDTH):
-        h += ids[i : i + n] * _C[i]
+        h += np.where(i < short, padded[i : i + len(ids)], np.uint64(WIDTH - i)) * _C[i]
         h ^= h >> np.uint64(29)
-    return np.unique(mix(h))
+    h = mix(h)
+    return [np.unique(h[f : f + (n - WIDTH + 1 if n >= WIDTH else min(n, 1))]) for f, n in zip(first.tolist(), counts.tolist())]
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    return shingle_hash_lists(pa.array([text], pa.string()))[0]
 
 
 def signature(hashes: np.ndarray, n: int) -> np.ndarray:

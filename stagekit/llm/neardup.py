@@ -17,11 +17,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagekit.llm.components import connected_components
-from stagekit.llm.minmax import PERCENT, bands, fingerprint, linked, permutations, shingle_hashes, shingle_set, signature
+from stagekit.llm.lookup import text_slices
+from stagekit.llm.minmax import PERCENT, bands, fingerprint, linked, permutations, shingle_hash_lists, shingle_set, signature
 from stagekit.plans.session import fresh, write_table
 
 #: Classes of a group, or of a block of a larger group.
@@ -35,14 +36,13 @@ def _sketch(n: int):
 
     def run(batches):
         for batch in batches:
-            ids, sizes, keys, rows = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle_hashes(text)
-                sizes.append(len(h))
-                keys.append(fingerprint(h) if len(h) else None)
-                rows.append(bands(signature(h, n)) if len(h) else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *rows]))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
+            for at, end in text_slices(batch.column(1)):
+                sets = shingle_hash_lists(batch.column(1).slice(at, end - at))
+                keys = [fingerprint(h) if len(h) else None for h in sets]
+                rows = [bands(signature(h, n)) if len(h) else np.empty(0, np.int64) for h in sets]
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *rows]))
+                ids = batch.column(0).slice(at, end - at).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
 
     return run
 
@@ -75,7 +75,7 @@ def forest_of_links(ids: list[int], texts: list[str], sides: list[int] | None =
                 if forest.find(i) != forest.find(j) and linked(sets[i], sets[j], percent) and forest.join(i, j):
                     found.append((ids[i], ids[j]))
         return found
-    hashes = [shingle_hashes(t) for t in texts]
+    hashes = shingle_hash_lists(pa.array(texts, pa.string()))
     sizes = np.array([len(h) for h in hashes], np.int64)
     every = np.concatenate(hashes)
     owner = np.repeat(np.arange(n), sizes)
@@ -128,9 +128,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Sets of a similarity of ``percent`` hundredths or more are linked; bands are as many as that asks for.
-    Documents without words have an empty set, stand alone and are kept. Rows that repeat an id and a
-    text are equal rows here; an id with different texts is looked at text by text. Null ids are an
-    error of the input: such rows come back with component null and kept false.
+    Documents without words have an empty set, stand alone and are kept. An id is one document: rows
+    that repeat it are joined, whatever their texts. Null ids are an error of the input: such rows come
+    back with component null and kept false (``drop_near_duplicates`` has an answer for both). An empty
+    table gives no rows.
     """
     sketched = write_table(sketches(docs, id_col, text_col, percent), "neardup-sketches")
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
@@ -176,15 +177,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component at this similarity: the row of its smallest id, once if rows repeat."""
-    (number, keep) = fresh(docs.columns, "row_number", "keep")
-    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col("doc_id").alias(keep)).distinct()
-    # semi join on the id; only ids that occur twice need an order, decided by the text's hash
-    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col(keep), "left_semi")
-    again = docs.groupBy(F.col(f"`{id_col}`").cast("long").alias(keep)).agg(F.count(F.lit(1)).alias(number)).where(F.col(number) > 1).select(keep)
-    once = rows.join(again, F.col(f"`{id_col}`").cast("long") == F.col(keep), "left_anti")
-    twice = rows.join(again, F.col(f"`{id_col}`").cast("long") == F.col(keep), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(twice)
+    """``docs`` with one row of each component at this similarity: that of its smallest id.
+
+    Rows whose id is null or occurs again stand behind the others, each text by itself: they stay if no
+    other row of their component does, the one of them that comes first by a hash of its text; of equal
+    rows one stays. A text without words is like no other. An empty table stays so.
+    """
+    number, own, again = fresh(docs.columns, "row_number", "own", "again")
+    key = F.col(f"`{id_col}`").cast("long")
+    many = docs.groupBy(key.alias(own)).agg(F.count(F.lit(1)).alias(number)).where((F.col(number) > 1) | F.col(own).isNull()).select(own)
+    many = write_table(many, "neardup-repeated")
+    marked = docs.join(many.withColumn(again, F.lit(True)), key.eqNullSafe(F.col(own)), "left").drop(own)
+    # behind all ids, which of a text is always the same
+    behind = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), key), F.lit(1 << 61))
+    marked = marked.withColumn(own, F.when(F.col(again), behind).otherwise(key))
+    (kept_id,) = fresh(marked.columns, "kept_id")
+    kept = near_duplicates(marked.select(own, text_col), own, text_col, percent).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    rows = marked.join(kept, F.col(own) == F.col(kept_id), "left_semi")
+    first = Window.partitionBy(own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    repeated = rows.where(F.col(again)).withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number)
+    return rows.where(F.col(again).isNull()).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
