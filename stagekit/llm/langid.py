@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stagekit.llm.lookup import text_slices
 from stagekit.llm.text import id_fold
-from stagekit.plans.session import fresh, without
+from stagekit.plans.session import fresh, without, write_table
 
 #: The labelled sample: documents of a language at most, characters of a document's passage, of a language (fewer
 #: than 2^15, as states are 16-bit numbers), and of all languages together.
@@ -33,6 +33,8 @@ DOCS, PASSAGE, CHARS, ALL_CHARS = 400, 300, 32_000, 4_000_000
 FREQUENT, BUCKETS = 47, 16
 SYMBOLS = 1 + FREQUENT + BUCKETS
 BLOCK = 256
+#: Labels up to which their table is broadcast.
+FEW = 100_000
 #: Labelled characters that the estimate counts with at least: a label of a few words would win with its few bits a phrase.
 LEAST = 256
 UNKNOWN = "und"
@@ -168,13 +170,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     texts are left out; an empty table gives no language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
-    counts = rows.groupBy("lang").count()
-    # one row a language; the planner broadcasts it while it is small
+    hashed, text = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)), F.col(text_col)
+    place = F.pmod(hashed, F.greatest(F.lit(1), F.char_length(text) - PASSAGE + 1)).cast("int")
+    rows = rows.select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.substr(text, place + 1, F.lit(PASSAGE)).alias("text"))
+    counts = write_table(rows.groupBy("lang").count(), "langid-counts")
     limits = counts.select(F.col("lang").alias("l"), (F.lit(2.0 * DOCS * (1 << 40)) / F.col("count")).alias("most"))
-    near = rows.join(limits, (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("most")))
-    place = F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("text") - PASSAGE + 1)).cast("int")
-    near = near.select("lang", "h", F.substr("text", place + 1, F.lit(PASSAGE)).alias("text"))
+    if counts.count() <= FEW:
+        limits = F.broadcast(limits)
+    near = rows.join(limits, (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("most"))).select("lang", "h", "text")
     first = near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= DOCS)
     texts: dict[str, list[str]] = {}
     for row in first.select("lang", "i", "text").orderBy("lang", "i").toLocalIterator():
