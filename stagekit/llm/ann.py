@@ -3,9 +3,11 @@
 Trees are fitted on a bounded sample: a node's direction is the difference of two of its points, the
 threshold is the median of the sample on it. Every vector is put in one leaf of each tree. A query walks
 all trees through one priority queue, ordered by how far it lies on the wrong side of the thresholds
-passed, and visits the leaves that come first until their shares of the table add up to ``SHARE``. A leaf's task compares its queries with its
-vectors exactly (cosine in double precision) and hands on the best few of each query; the best of all
-leaves are the answer.
+passed, and visits the leaves that come first until their shares of the table add up to a limit. The limit
+is the least that finds ``AIM`` of the true neighbours within the sample: a hundredth of the table where
+vectors lie in clusters, all of it where they have no structure. A task compares a block of a leaf's
+queries with a block of its vectors exactly (cosine in double precision) and hands on the best few of each
+query; the best of all leaves are the answer. Blocks have a bound, so no leaf is too large for a task.
 
 Equal vectors are one node: it carries its smallest k+1 ids, which are all that a list of k nearest with
 ties to smaller ids can ever show. So a vector that a third of the rows share costs no more than any other.
@@ -28,11 +30,10 @@ TREES = 8
 #: Vectors that a leaf should hold, of large tables. The queue needs leaves to rank, so a tree has
 #: ``LEAVES`` at least; a table of up to ``WHOLE`` vectors is one leaf, compared exactly.
 LEAF, LEAVES, WHOLE = 1024, 64, 4096
-#: Shares of the table in the leaves that a query visits, all trees together (a vector met in two trees
-#: counts twice). Vectors without structure in 64 dimensions need 1.0 for a recall over 0.9; clustered
-#: ones reach that with a tenth of it or less, so this is what to lower on real embeddings.
-SHARE = 1.0
-BLOCK = 4096
+#: Share of the sample's true neighbours that the fitted limit finds, by so many of its vectors as queries.
+AIM, PROBES = 0.95, 300
+#: Vectors and queries of a task's block, and queries and vectors that are compared at once.
+ROWS, ASKS, BLOCK_ASKS, BLOCK = 16_384, 4_096, 512, 4_096
 
 
 @dataclass
@@ -121,11 +122,42 @@ def valid(vec: str, dimension: int | None = None) -> F.Column:
     return fine if dimension is None else fine & (F.size(c) == dimension)
 
 
-def _place(trees, query: bool, share: float = SHARE):
-    """(node, vec) to rows (leaf, kind, node, vec) of all its leaves."""
+def needed_share(trees: list[Tree], x: np.ndarray, k: int, seed: int = 1) -> float:
+    """The least limit of ``visit`` that finds ``AIM`` of the ``k`` nearest within ``x``, for vectors of ``x`` as queries."""
+    if len(x) <= k + 1 or not len(trees[0].limit):
+        return 1.0
+    probes = np.random.default_rng(seed).choice(len(x), min(PROBES, len(x)), replace=False)
+    near = x[probes] @ x.T
+    near[np.arange(len(probes)), probes] = -2
+    true = np.argpartition(-near, k, axis=1)[:, :k]
+    leaves = np.stack([(t << 32) + tree.leaves(x) for t, tree in enumerate(trees)])
+    shares = {(t << 32) + i: float(s) for t, tree in enumerate(trees) for i, s in enumerate(tree.share)}
+    needs = []
+    for probe, rows in zip(probes, true):
+        order = visit(trees, x[probe], float("inf"))
+        before = np.concatenate([[0.0], np.cumsum([shares[key] for key in order])])
+        place = {key: before[i] for i, key in enumerate(order)}
+        needs += [min(place[key] for key in column) for column in leaves[:, rows].T.tolist()]
+    return float(np.sort(needs)[int(np.ceil(AIM * len(needs))) - 1]) + 1e-9
+
+
+def _task(leaf: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """One number for a leaf, a block of its vectors and a block of its queries."""
+    h = leaf.astype(np.uint64)
+    for part in (rows, cols):
+        h = (h + part.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def _place(trees, query: bool, share: float, total: int, asks: int):
+    """(node, vec) to rows (task, kind, node, vec) of all its leaves; a leaf has blocks of vectors and of queries."""
 
     def run(batches):
         forest = trees.value
+        parts = [np.maximum(1, np.ceil(tree.share * total / ROWS).astype(np.int64)) for tree in forest]
+        first = np.cumsum([0, *map(len, parts)])
+        halves = int(np.ceil(min(1.0, share) * asks / ASKS)) or 1  # blocks of queries, as many for each leaf
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -138,21 +170,30 @@ def _place(trees, query: bool, share: float = SHARE):
             else:
                 leaf = np.concatenate([(t << 32) + tree.leaves(u) for t, tree in enumerate(forest)])
                 which = np.tile(np.arange(len(x)), len(forest))
+            many = np.concatenate(parts)[first[leaf >> 32] + (leaf & 0xFFFFFFFF)]
+            mixed = (node[which].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            # a vector is in one block of its leaf, shown to all blocks of queries there, and the other way round
+            times = many if query else np.full(len(leaf), halves)
+            own = mixed % halves if query else mixed % many
+            other = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            leaf, which, own = np.repeat(leaf, times), np.repeat(which, times), np.repeat(own, times)
+            rows, cols = (other, own) if query else (own, other)
+            task = _task(leaf, rows, cols)
             for at in range(0, len(leaf), 1 << 16):
                 w = which[at : at + (1 << 16)]
                 kind = np.full(len(w), 0 if query else 1, np.int8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf[at : at + (1 << 16)]), pa.array(kind), pa.array(node[w]), _binary(x[w])], names=["leaf", "kind", "node", "vec"]
+                    [pa.array(task[at : at + (1 << 16)]), pa.array(kind), pa.array(node[w]), _binary(x[w])], names=["task", "kind", "node", "vec"]
                 )
 
     return run
 
 
-PLACED = "leaf long, kind byte, node long, vec binary"
+PLACED = "task long, kind byte, node long, vec binary"
 
 
 def _best(k: int):
-    """Rows sorted by (leaf, kind) to the k best (query, node, score) of each query in each leaf."""
+    """Rows sorted by (task, kind) to the k best (query, node, score) of each query in each task."""
 
     def emit(qid, best_s, best_n):
         q = np.repeat(qid, best_s.shape[1])
@@ -161,17 +202,17 @@ def _best(k: int):
         return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(n[keep]), pa.array(s[keep])], names=["query", "node", "score"])
 
     def run(batches):
-        leaf, qid, q, norm, s, n = None, [], [], None, None, None
+        task, qid, q, norm, s, n = None, [], [], None, None, None
         for batch in batches:
             keys = batch.column(0).to_numpy()
             kinds, nodes, raw = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])])) if len(keys) else []
             for a, b in zip(edges, [*edges[1:], len(keys)]):
-                if keys[a] != leaf:
+                if keys[a] != task:
                     if s is not None:
                         yield emit(np.array(qid), s, n)
-                    leaf, qid, q, s = keys[a], [], [], None
-                x = np.array([np.frombuffer(v, np.float64) for v in raw.slice(a, b - a).to_pylist()])
+                    task, qid, q, s = keys[a], [], [], None
+                x = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
                 if kinds[a] == 0:
                     qid += nodes[a:b].tolist()
                     q.append(x)
@@ -184,33 +225,38 @@ def _best(k: int):
                     s, n = np.full((len(qid), k), -3.0), np.zeros((len(qid), k), np.int64)
                 for i in range(0, len(x), BLOCK):
                     part, ids = x[i : i + BLOCK], nodes[a:b][i : i + BLOCK]
-                    score = np.einsum("qd,nd->qn", q[0], part) / (norm[:, None] * np.sqrt(np.einsum("nd,nd->n", part, part))[None, :])
-                    s2 = np.concatenate([s, score], axis=1)
-                    n2 = np.concatenate([n, np.broadcast_to(ids, score.shape)], axis=1)
-                    order = np.lexsort((n2, -s2), axis=1)[:, :k]
-                    s, n = np.take_along_axis(s2, order, 1), np.take_along_axis(n2, order, 1)
+                    size = np.sqrt(np.einsum("nd,nd->n", part, part))
+                    for j in range(0, len(qid), BLOCK_ASKS):
+                        here = slice(j, j + BLOCK_ASKS)
+                        score = np.einsum("qd,nd->qn", q[0][here], part) / (norm[here, None] * size[None, :])
+                        s2 = np.concatenate([s[here], score], axis=1)
+                        n2 = np.concatenate([n[here], np.broadcast_to(ids, score.shape)], axis=1)
+                        order = np.lexsort((n2, -s2), axis=1)[:, :k]
+                        s[here], n[here] = np.take_along_axis(s2, order, 1), np.take_along_axis(n2, order, 1)
         if s is not None:
             yield emit(np.array(qid), s, n)
 
     return run
 
 
-def fit_forest(nodes: DataFrame, total: int, trees: int = TREES, seed: int = 1) -> list[Tree]:
-    """Trees from at most about ``SAMPLE`` vectors (those of the smallest hashes) of ``nodes`` (node, vec)."""
+def fit_forest(nodes: DataFrame, total: int, k: int, trees: int = TREES, seed: int = 1) -> tuple[list[Tree], float]:
+    """Trees from at most about ``SAMPLE`` vectors (those of the smallest hashes) of ``nodes`` (node, vec), and the limit they need."""
     share = min(1.0, SAMPLE / max(1, total))
     picked = nodes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     sample = picked.orderBy("node").limit(2 * SAMPLE).select("vec").toArrow().column(0).combine_chunks()
     x = unit(_matrix(sample)) if len(sample) else np.empty((0, 1))
     rng = np.random.default_rng(seed)
     leaf = total if total <= WHOLE else min(LEAF, total / LEAVES)
-    return [grow(x, leaf * len(x) / max(1, total), rng) for _ in range(trees)]
+    grown = [grow(x, leaf * len(x) / max(1, total), rng) for _ in range(trees if total > WHOLE else 1)]
+    return grown, needed_share(grown, x, k, seed)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, seed: int = 1) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", share: float | None = None, seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest that the forest finds for each query.
 
     ``queries`` has rows of ``vectors``. Vectors that are null, zero, or hold a null or non-finite
-    component take no part on either side, nor do those of another length than most have. A row is no
+    component take no part on either side, nor do those of another length than most have, which have no
+    cosine with the others. ``share`` sets the limit of the leaves visited in place of the fitted one. A row is no
     candidate of a query with its own id. With fewer candidates than ``k`` all that are found come back.
     Ties go to the smaller id; repeated rows count once; an empty table gives no rows.
     """
@@ -225,11 +271,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     nodes = few.groupBy("vec").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("ids"))
     nodes = write_table(nodes, "ann-nodes")
     total = nodes.count()
-    trees = spark.sparkContext.broadcast(fit_forest(nodes.select("node", "vec"), total, seed=seed))
+    grown, need = fit_forest(nodes.select("node", "vec"), total, k, seed=seed)
+    trees, share = spark.sparkContext.broadcast(grown), need if share is None else share
     asks = write_table(asked.distinct().join(nodes.select("vec", "node"), "vec").select("id", "node", "vec"), "ann-queries")
     q = asks.select("node", "vec").dropDuplicates(["node"])
-    placed = nodes.select("node", "vec").mapInArrow(_place(trees, False), PLACED).unionByName(q.mapInArrow(_place(trees, True, share), PLACED))
-    parts = placed.repartition("leaf").sortWithinPartitions("leaf", "kind")
+    n_asks = q.count()
+    place = lambda query: _place(trees, query, share, total, n_asks)
+    placed = nodes.select("node", "vec").mapInArrow(place(False), PLACED).unionByName(q.mapInArrow(place(True), PLACED))
+    parts = placed.repartition("task").sortWithinPartitions("task", "kind")
     found = parts.mapInArrow(_best(k + 1), "query long, node long, score double")
     found = found.groupBy("query", "node").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query").orderBy(F.desc("score"), "node")
