@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's rate is its target over its size, both in words. A document first gets the whole copies
-that are certain (the integer part of its expected copies); what is missing from the target is drawn
-from the rest: each document has the rank ``odds(random) / odds(inclusion)`` and documents are taken
-in rank order until the source's target is met. All of it is one pass of small aggregates: per source
-sums, then sums per (source, bin of the rank), then the exact order within the one bin per source in
-which the target is met. Texts never move: a document's fate follows from its own columns and its
+A document's expected copies are its weight times the rate of its source, ``max_copies`` at most; the
+rate is the one at which the expected words of the source are its target, so what capped documents
+cannot take goes to the others. A document first gets the whole copies that are certain (the integer
+part); what is missing from the target is drawn from the rest: each document has the rank
+``odds(random) / odds(inclusion)`` and documents are taken in rank order until the source's target is
+met. All of it is small aggregates: sums per (source, weight), of which a source has ``OCTAVE`` an
+octave at most, then per (source, bin of the rank), then the exact order within the one bin per source
+in which the target is met. Texts never move: a document's fate follows from its own columns and its
 source's threshold.
 """
 
@@ -20,6 +22,8 @@ from stagekit.plans.session import fresh, without, write_table
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Bins of the logarithm of the rank: so many a unit, over +-40.
 BIN_WIDTH = 1 / 256
+#: Weights are rounded down to so many steps a doubling.
+OCTAVE = 64
 
 
 def uniform(*key: Column, seed: int = 0) -> Column:
@@ -64,7 +68,8 @@ def pareto_mix(
 
     ``key`` names the columns that tell documents apart; rows equal in all of them share a rank (see
     ``number_repeats``). ``weight_col`` makes the expected copies of a document proportional to it
-    within its source (null, NaN and negative: 0); without it all documents of a source are alike.
+    within its source (null, NaN and negative: 0, rounded down to a 64th of an octave); without it all
+    documents of a source are alike.
     Sizes are longs, null counting as 0; a source without words has target 0 and its documents no
     copies; null is a source of its own. Reruns agree. Input columns named like an output are replaced.
     """
@@ -74,20 +79,31 @@ def pareto_mix(
     weight = F.lit(1.0)
     if weight_col:
         weight = F.col(f"`{weight_col}`").cast("double")
-        weight = F.when(F.isnan(weight) | weight.isNull() | (weight < 0), 0.0).otherwise(weight)
+        steps = F.floor(F.log2(weight) * OCTAVE + 1e-9)
+        weight = F.when(F.isnan(weight) | weight.isNull() | (weight <= 0), 0.0).when(weight == float("inf"), 0.0).otherwise(F.pow(F.lit(2.0), steps / OCTAVE))
     narrow = docs.select(
         F.col(f"`{source_col}`").alias("source"), size.alias("size"), weight.alias("weight"),
         uniform(*[F.col(f"`{k}`") for k in key], seed=seed).alias("u"),
     )
     narrow = write_table(narrow, "mix-narrow")
-    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"))
-    targets = source_targets(sums.select("source", "source_size"), weights, max_copies)
-    # one row a source; the planner broadcasts it only while its written size is under the threshold
-    targets = write_table(
-        targets.join(sums.select(F.col("source").alias("s2"), "weighed"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-        .withColumn("rate", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).otherwise(0.0)),
-        "mix-targets",
+    by_weight = write_table(narrow.groupBy("source", "weight").agg(F.sum("size").alias("size")), "mix-weights")
+    sums = by_weight.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sums, weights, max_copies)
+    # rate: heaviest weights first, capped ones before; the largest rate at which no other is over the cap
+    t = targets.select(F.col("source").alias("t_source"), "target")
+    levels = by_weight.where("weight > 0").join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    down = Window.partitionBy("source").orderBy(F.desc("weight"))
+    capped = F.coalesce(F.sum("size").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum(F.col("size") * F.col("weight")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    levels = levels.withColumn("rate", F.try_divide(F.col("target") - capped * max_copies, open_))
+    rates = levels.groupBy("source").agg(
+        F.max(F.when(F.col("rate") * F.col("weight") <= max_copies, F.col("rate"))).alias("rate"), F.min("weight").alias("least")
     )
+    # where all are capped, the lightest is too
+    rates = rates.select(F.col("source").alias("s2"), F.coalesce("rate", max_copies / F.col("least")).alias("rate"))
+    # one row a source; the planner broadcasts it only while its written size is under the threshold
+    targets = targets.join(rates, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    targets = write_table(targets, "mix-targets")
 
     def ranked(df: DataFrame, weight: Column) -> DataFrame:
         expected = F.least(F.col("rate") * weight, F.lit(float(max_copies)))
@@ -138,11 +154,16 @@ def pareto_mix(
     return whole.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", taken.cast("int").alias("copies"))
 
 
+def length_weight(size: Column) -> Column:
+    """1, 2, 4 or 8 by length: from 32, 128 and 512 words on."""
+    return F.when(size >= 512, 8.0).when(size >= 128, 4.0).when(size >= 32, 2.0).otherwise(1.0)
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of all documents."""
+    """doc_id, size, source_size, target, taken of all documents; longer ones are drawn with higher odds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    rows = write_table(number_repeats(docs), "mix-docs")
-    mixed = pareto_mix(rows, ["doc_id", "copy_index"], seed=7)
+    rows = write_table(number_repeats(docs), "mix-docs").withColumn("weight", length_weight(F.col("size")))
+    mixed = pareto_mix(rows, ["doc_id", "copy_index"], seed=7, weight_col="weight")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -156,12 +177,17 @@ w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORD
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= cap / w THEN level END) OVER () * w, 0)) AS target FROM l),
-r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+x AS (SELECT *, CASE WHEN size >= 512 THEN 8.0::DOUBLE WHEN size >= 128 THEN 4.0 WHEN size >= 32 THEN 2.0 ELSE 1.0 END AS weight FROM d),
+g AS (SELECT x.source, weight, target, sum(size)::BIGINT AS size FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+h AS (SELECT *, (target - 3 * coalesce(sum(size) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / nullif(sum(size * weight) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rate FROM g),
+q AS (SELECT source, coalesce(max(CASE WHEN rate * weight <= 3 THEN rate END), 3 / min(weight)) AS rate FROM h GROUP BY source),
+r AS (SELECT x.*, source_size, target, least(rate * weight, 3.0) AS expected,
         ((('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || i), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, floor(least(rate, 3.0)) AS certain, least(rate, 3.0) - floor(least(rate, 3.0)) AS p,
-        target - sum(size * floor(least(rate, 3.0))) OVER (PARTITION BY source) AS need,
-        sum(size) OVER (PARTITION BY source ORDER BY u ROWS UNBOUNDED PRECEDING) AS total FROM r)
+      FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source JOIN q ON x.source IS NOT DISTINCT FROM q.source),
+o AS (SELECT *, floor(expected) AS certain, expected - floor(expected) AS p FROM r),
+e AS (SELECT *, target - sum(size * certain) OVER (PARTITION BY source) AS need,
+        sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN ln(u / (1 - u)) - ln(p / (1 - p)) END NULLS LAST ROWS UNBOUNDED PRECEDING) AS total FROM o)
 SELECT doc_id, size, source_size, target,
        (size * (certain + CASE WHEN p > 0 AND total - size / 2.0 <= need THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM e
