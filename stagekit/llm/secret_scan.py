@@ -3,8 +3,10 @@
 The second part prices a value the way a password cracker meets it: the cheapest way to cut it into
 words (rank in a list, capital letters priced), dates, repeats, keyboard walks, and brute-force spans
 (characters at the price of their alphabet), each piece besides costing ``PIECE``. Prices are base-10
-logarithms, so the cheapest cutting is a shortest path found in one pass over the value. A value is
-a secret from ``GUESSES`` on; ``password=changeme`` and ``token: required`` stay far below.
+logarithms, so the cheapest cutting is a shortest path over the places of the value, which the dynamic
+program finds exactly. A value is a secret from ``GUESSES`` on; ``password=changeme`` and ``token:
+required`` stay far below. The word list is a short one of words frequent in passwords and settings, and
+behind it the ``CORPUS_WORDS`` most frequent words of the corpus.
 """
 
 from __future__ import annotations
@@ -13,10 +15,13 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stagekit.llm.lookup import counted, flat_words, text_slices
 from stagekit.plans.session import fresh, without
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -49,8 +54,8 @@ WORDS = (
     "manager office company business customer product order price total sales team group project work home school student teacher doctor please enter forgot reset "
     "redacted hidden masked removed xxx abc xyz foo bar baz lorem ipsum insert replace todo fixme variable environment env var getenv process"
 ).split()
-RANK = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, RANK))
+#: Words of the corpus in the list: that many, of so many ASCII letters, seen so often at least.
+CORPUS_WORDS, LETTERS, TIMES = 20_000, (3, 24), 10
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
 STEPS = {a + b for row in ROWS for a, b in zip(row, row[1:])}
@@ -67,45 +72,78 @@ def _alphabet(c: str) -> float:
     return math.log10(33) if c.isascii() else 2.0
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for ``value``; linear in its length."""
-    n = len(value)
-    low = value.lower()
-    if len(low) != n:  # lower case of another length: no use for places
-        low = value
-    plain = low.translate(LEET)
-    walk, same = [1] * n, [1] * n  # lengths of the runs that end here
-    for i in range(1, n):
-        if low[i - 1 : i + 1] in STEPS:
-            walk[i] = walk[i - 1] + 1
-        if low[i] == low[i - 1]:
-            same[i] = same[i - 1] + 1
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if low[i].isdigit() and (m := DATE.match(low, i)):
-            dates.setdefault(m.end(), []).append(i)
-    best = [0.0] * (n + 1)
-    brute = math.inf  # cheapest cutting whose last piece is an open brute-force span
-    for j in range(1, n + 1):
-        brute = min(brute, best[j - 1] + PIECE) + _alphabet(value[j - 1])
-        cost = brute
-        for i in range(max(0, j - LONGEST), j - 2):
-            rank = RANK.get(low[i:j])
-            if rank is None and (rank := RANK.get(plain[i:j])) is not None:
-                rank += 0.5
-            if rank is not None:
-                part = value[i:j]
-                upper = sum(map(str.isupper, part))
-                case = 0.0 if not upper else 0.3 if upper in (1, j - i) else 0.3 * min(upper, j - i - upper) + 0.3
-                cost = min(cost, best[i] + PIECE + rank + case)
-        for i in dates.get(j, ()):
-            cost = min(cost, best[i] + PIECE + (2.1 if j - i == 4 else 4.6))
-        if (k := walk[j - 1]) >= 3:
-            cost = min(cost, best[j - k] + PIECE + 1.7 + math.log10(k))
-        if (k := same[j - 1]) >= 3:
-            cost = min(cost, best[j - k] + PIECE + _alphabet(value[j - 1]) + math.log10(k))
-        best[j] = cost
-    return best[n]
+class Guesser:
+    """Prices of values by a ranked word list: ``WORDS``, then those of the corpus in their order."""
+
+    def __init__(self, corpus: list[str] = ()):
+        self.rank = {w: math.log10(i + 2) for i, w in reversed(list(enumerate([*WORDS, *corpus])))}
+        self.longest = max(map(len, self.rank))
+
+    def _word(self, value: str, low: str, plain: str, i: int, j: int) -> float | None:
+        rank = self.rank.get(low[i:j])
+        if rank is None:
+            rank = self.rank.get(plain[i:j])
+            if rank is None:
+                return None
+            rank += 0.5
+        upper = sum(map(str.isupper, value[i:j]))
+        return rank + (0.0 if not upper else 0.3 if upper in (1, j - i) else 0.3 * min(upper, j - i - upper) + 0.3)
+
+    def cost(self, value: str) -> float:
+        """log10 of the guesses for ``value``: the least over all cuttings."""
+        n, low = len(value), value.lower()
+        if len(low) != n:  # lower case of another length: no use for places
+            low = value
+        plain = low.translate(LEET)
+        walk, same = [1] * n, [1] * n  # lengths of the runs that end here
+        for i in range(1, n):
+            if low[i - 1 : i + 1] in STEPS:
+                walk[i] = walk[i - 1] + 1
+            if low[i] == low[i - 1]:
+                same[i] = same[i - 1] + 1
+        best, price = [0.0] * (n + 1), [_alphabet(c) for c in value]
+        brute = math.inf  # cheapest cutting whose last piece is an open brute-force span
+        for j in range(1, n + 1):
+            brute = min(brute, best[j - 1] + PIECE) + price[j - 1]
+            cost = brute
+            for i in range(max(0, j - self.longest), j - 2):
+                word = self._word(value, low, plain, i, j)
+                if word is not None:
+                    cost = min(cost, best[i] + PIECE + word)
+            if low[j - 1].isdigit():
+                for i in range(max(0, j - 10), j - 3):
+                    if DATE.fullmatch(low, i, j):
+                        cost = min(cost, best[i] + PIECE + (2.1 if j - i == 4 else 4.6))
+            # every walk and repeat that ends here, not the longest alone: a word may end inside
+            for run, base in ((walk[j - 1], 1.7), (same[j - 1], price[j - 1])):
+                if 3 <= run <= 64:
+                    cost = min(cost, min(best[j - k] + _LOG[k] for k in range(3, run + 1)) + PIECE + base)
+                elif run > 64:
+                    ahead = np.array(best[j - run : j - 2][::-1]) + np.log10(np.arange(3, run + 1))
+                    cost = min(cost, float(ahead.min()) + PIECE + base)
+            best[j] = cost
+        return best[n]
+
+
+_LOG = [math.log10(max(1, k)) for k in range(65)]
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
+    """The most frequent words of whole texts, by count and then by name; ``most`` of them come to the driver."""
+    shape = "^[a-z]{%d,%d}$" % LETTERS
+
+    def run(batches):
+        def words():
+            for b in batches:
+                for at, end in text_slices(b.column(0)):
+                    coded = flat_words(b.column(0).slice(at, end - at))[0].dictionary_encode()
+                    fine = pc.match_substring_regex(coded.dictionary, shape)
+                    yield coded.dictionary.take(coded.indices.filter(fine.take(coded.indices)))
+
+        yield from counted(words(), "word", "n", 200_000)
+
+    counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.where(F.col("n") >= TIMES).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def base_spans(text: str, lowered: str | None = None) -> list[tuple[str, int, int]]:
@@ -120,7 +158,7 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[str, int, in
     return found
 
 
-def guess_spans(text: str, lowered: str | None = None, least: float = GUESSES) -> list[tuple[str, int, int]]:
+def guess_spans(text: str, guesser: Guesser, lowered: str | None = None, least: float = GUESSES) -> list[tuple[str, int, int]]:
     """Values in a credential's place that cost at least ``least`` guesses (log10)."""
     lowered = text.lower() if lowered is None else lowered
     if not any(h in lowered for h in HINTS):
@@ -128,18 +166,18 @@ def guess_spans(text: str, lowered: str | None = None, least: float = GUESSES) -
     found = []
     for m in CONTEXT.finditer(text):
         value = m.group(1).rstrip(".,;:!?)]}")
-        if len(value) >= 8 and guess_cost(value) >= least:
+        if len(value) >= 8 and guesser.cost(value) >= least:
             found.append(("guess", m.start(1), m.start(1) + len(value)))
     return found
 
 
-def scan(text: str | None) -> tuple[list, list]:
+def scan(text: str | None, guesser: Guesser) -> tuple[list, list]:
     """Base spans and all spans, each by start, then kind."""
     text = text or ""
     lowered = text.lower()
     order = lambda s: (s[1], KINDS.index(s[0]))
     base = sorted(base_spans(text, lowered), key=order)
-    more = [g for g in guess_spans(text, lowered) if not any(a < g[2] and g[1] < b for _, a, b in base)]
+    more = [g for g in guess_spans(text, guesser, lowered) if not any(a < g[2] and g[1] < b for _, a, b in base)]
     return base, sorted(base + more, key=order)
 
 
@@ -162,35 +200,45 @@ OUTPUTS = [name for name, _ in FIELDS]
 SCHEMA = "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string>"
 
 
-def _scan(texts: pa.Array) -> pa.Array:
-    rows = []
-    for text in texts.to_pylist():
-        base, every = scan(text)
-        kinds = [k for k, _, _ in base]
-        rows.append((*map(kinds.count, KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-    columns = zip(*rows) if rows else [[] for _ in FIELDS]
-    return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, FIELDS)], names=OUTPUTS)
+def _guesser(docs: DataFrame, words: list[str] | None, text_col: str):
+    """The word list on its way to the workers: ``words``, or those of ``docs``."""
+    words = corpus_words(docs, text_col) if words is None else words[:CORPUS_WORDS]
+    return docs.sparkSession.sparkContext.broadcast(Guesser(words))
 
 
-def _redacted(texts: pa.Array) -> pa.Array:
-    return pa.array([t and redact(t, scan(t)[1]) for t in texts.to_pylist()], pa.string())
-
-
-def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def secret_scan(docs: DataFrame, text_col: str = "text", words: list[str] | None = None) -> DataFrame:
     """``docs`` with counts per base kind, ``base_sha256`` and ``spans`` (``kind:start:end``, code points).
 
-    Row by row, no shuffle. A null or empty text has no span. The guess-cost method adds spans of kind
-    ``guess`` where no base span lies and never takes one away. Input columns named like an output are replaced.
+    One pass counts the corpus's words (unless ``words`` names them, the most frequent first), one scans
+    row by row. A null or empty text has no span, repeated rows have the same ones, an empty table stays
+    so. The guess-cost method adds spans of kind ``guess`` where no base span lies and never takes one
+    away. Input columns named like an output are replaced.
     """
+    guesser = _guesser(docs, words, text_col)
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts.to_pylist():
+            base, every = scan(text, guesser.value)
+            kinds = [k for k, _, _ in base]
+            rows.append((*map(kinds.count, KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
+        columns = zip(*rows) if rows else [[] for _ in FIELDS]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, FIELDS)], names=OUTPUTS)
+
     docs = without(docs, *OUTPUTS)
     (found,) = fresh([*docs.columns, *OUTPUTS], "found")
-    scanned = docs.withColumn(found, F.arrow_udf(_scan, SCHEMA)(F.col(f"`{text_col}`")))
+    scanned = docs.withColumn(found, F.arrow_udf(run, SCHEMA)(F.col(f"`{text_col}`")))
     return scanned.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(found)[n].alias(n) for n in OUTPUTS])
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``secret_scan`` in the text replaced by ``[secret]``; null stays null."""
-    return docs.withColumn(text_col, F.arrow_udf(_redacted, "string")(F.col(f"`{text_col}`")))
+def redact_secrets(docs: DataFrame, text_col: str = "text", words: list[str] | None = None) -> DataFrame:
+    """``docs`` with every span of ``secret_scan`` in the text replaced by ``[secret]``; null stays null, empty empty."""
+    guesser = _guesser(docs, words, text_col)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([t and redact(t, scan(t, guesser.value)[1]) for t in texts.to_pylist()], pa.string())
+
+    return docs.withColumn(text_col, F.arrow_udf(run, "string")(F.col(f"`{text_col}`")))
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
