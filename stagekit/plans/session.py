@@ -10,12 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of an Arrow batch, where the session does not say: texts are long, and batches of Spark's default of
+#: 10,000 of them keep hundreds of megabytes beside the heap of an executor.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where only the driver has it on its path.
+    """Let Python workers import this package where only the driver has it on its path, and take small batches.
 
     On a cluster the package is installed or sent with ``--py-files``; this only adds the
     driver's own directory to the workers' search path, which does no harm where it is missing.
+    A batch size that the session sets itself stays.
     """
+    key, rows = BATCH_ROWS
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, rows)
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if PACKAGE_PARENT not in path.split(os.pathsep):
@@ -24,17 +33,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none gets a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = "/tmp/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    return "/tmp/checkpoints"
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
