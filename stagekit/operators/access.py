@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagekit.base import Fitted
 from stagekit.plans.session import write_table
 
 
@@ -79,7 +80,6 @@ def fit_access_anomaly(df: DataFrame, tenant_col: str = "tenant", user_col: str
 
     Likelihoods are scaled to [low, high] by tenant; explicit feedback adds unseen pairs of score
     ``negative``. All tenants are fitted at once: an index belongs to one tenant, so they don't mix.
-    Returns the function that scores a DataFrame.
     """
     from pyspark.ml.recommendation import ALS
 
@@ -93,7 +93,7 @@ def fit_access_anomaly(df: DataFrame, tenant_col: str = "tenant", user_col: str
     train = scaled
     if not implicit:
         train = train.unionByName(complement_access(scaled, tenant_col, "_ui", "_ri", complement_factor, seed).withColumn("_x", F.lit(negative)))
-    ids = lambda c: F.col(c).cast("int")
+    ids = lambda c: F.coalesce(F.col(c).try_cast("int"), F.raise_error(F.lit("more than 2^31 - 1 ids")).cast("int"))
     als = ALS(userCol="_ui", itemCol="_ri", ratingCol="_x", rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=implicit, alpha=alpha, nonnegative=True, coldStartStrategy="drop", seed=seed)
     model = als.fit(train.withColumns({"_ui": ids("_ui"), "_ri": ids("_ri")}))
     vec = F.transform("features", lambda x: x.cast("double"))
@@ -107,4 +107,4 @@ def fit_access_anomaly(df: DataFrame, tenant_col: str = "tenant", user_col: str
     resources = resources.withColumn("_b", pair(res_col)).join(right, "_b").drop("_b")
     users, resources = write_table(users, "access-users"), write_table(resources, "access-resources")
     history = keys.select(tenant_col, user_col, res_col)
-    return lambda d: score_access(d, users, resources, history, tenant_col, user_col, res_col)
+    return Fitted(score_access, {"users": users, "resources": resources, "history": history}, tenant_col=tenant_col, user_col=user_col, res_col=res_col)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 
+from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagekit.plans.session import fresh, write_table
+
+log = logging.getLogger(__name__)
+
 
 def _present(df: DataFrame, cols: list[str]) -> None:
     missing = [c for c in cols if c not in df.columns]
@@ -64,27 +70,38 @@ def repartition_to(df: DataFrame, n: int, disable: bool = False) -> DataFrame:
 
 
 def consolidate(df: DataFrame, n: int = 1) -> DataFrame:
-    """Funnel all partitions into ``n`` working ones, without a shuffle."""
+    """Funnel all partitions into ``n`` working ones, without a shuffle: each takes whole neighbours."""
     return df.coalesce(n)
 
 
-def stratified_repartition(df: DataFrame, label_col: str, n: int, mode: str = "mixed") -> DataFrame:
-    """Rows of every label in each of ``n`` partitions.
+def stratified_repartition(df: DataFrame, label_col: str, n: int, mode: str = "mixed", seed: int = 0) -> DataFrame:
+    """Rows of every label in each of ``n`` partitions, for labels with ``n`` rows or more.
 
-    ``original`` keeps the rows as they are. ``equal`` repeats the rows of rarer labels until each label
-    has as many as the most frequent one, to within one repetition; ``mixed`` does so for labels with
-    fewer than ``n`` rows only. Whole repetitions are laid out by ``explode``; nothing is drawn at random.
+    ``original`` keeps the rows as they are. ``equal`` draws every label up to the count of the most
+    frequent one, ``mixed`` up to the mean count of a label, whole repetitions for the whole part of the
+    quotient and a share drawn by a hash of the row for the rest; no row goes. A number dealt within the
+    label, modulo ``n``, is the partition. A null label is a label.
     """
     if mode not in ("mixed", "equal", "original"):
         raise ValueError(f"unknown mode {mode}")
-    label = F.col(label_col)
+    label_, count_, times_, copy_, place_ = fresh(df.columns, "label", "count", "times", "copy", "place")
+    names, label = [F.col(f"`{c}`") for c in df.columns], F.col(f"`{label_col}`")
     if mode != "original":
-        counts = df.groupBy(label.alias("_label")).agg(F.count(F.lit(1)).alias("_c"))
-        most = F.max("_c").over(Window.partitionBy()) if mode == "equal" else F.lit(n)
-        times = counts.select("_label", F.greatest(F.lit(1), F.ceil(most / F.col("_c"))).cast("int").alias("_times"))
-        df = df.join(times, label.eqNullSafe(F.col("_label"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_label", "_times", "_copy")
-    # a round robin deals each label's rows over all partitions without gathering a label in one task
-    return df.repartition(n)
+        counts = df.groupBy(label.alias(label_)).agg(F.count(F.lit(1)).alias(count_))
+        aim = counts.agg((F.max(count_) if mode == "equal" else F.avg(count_)).alias(times_)).first()[0]  # one number
+        times = counts.select(label_, F.greatest(F.lit(1.0), F.lit(float(aim or 0)) / F.col(count_)).alias(times_))
+        whole = F.floor(times_)
+        share = F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.col(times_) - whole
+        df = df.join(times, label.eqNullSafe(F.col(label_))).withColumn(copy_, F.explode(F.sequence(F.lit(1), (whole + share.cast("int")).cast("int")))).select(*names)
+    # numbers within a label, without gathering a label in one task: blocks of a hash, and their offsets
+    block = F.pmod(F.xxhash64(*names), F.lit(64))
+    within = Window.partitionBy(label, count_).orderBy(*[c for c, f in zip(names, df.schema.fields) if f.dataType.typeName() != "map"])
+    dealt = df.withColumn(count_, block).withColumn(place_, F.row_number().over(within))
+    sizes = df.groupBy(label.alias(label_), block.alias(times_)).agg(F.count(F.lit(1)).alias(copy_))
+    ahead = sizes.select(label_, times_, F.coalesce(F.sum(copy_).over(Window.partitionBy(label_).orderBy(times_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(copy_))
+    placed = dealt.join(ahead, label.eqNullSafe(F.col(label_)) & (F.col(count_) == F.col(times_)))
+    placed = placed.withColumn(place_, F.pmod(F.col(place_) + F.col(copy_), F.lit(n)).cast("int"))
+    return placed.repartitionById(n, place_).select(*names)
 
 
 def cacher(df: DataFrame, disable: bool = False) -> DataFrame:
@@ -100,6 +117,34 @@ def timed(stage: Callable[[DataFrame], DataFrame], df: DataFrame, materialize: b
     return out, time.perf_counter() - began
 
 
+class Timer(Estimator):
+    """A stage whose fitting and transforming are logged with their seconds; ``seconds`` keeps them."""
+
+    def __init__(self, stage, materialize: bool = True):
+        super().__init__()
+        self.stage, self.materialize, self.seconds = stage, materialize, {}
+
+    def _fit(self, df: DataFrame) -> TimerModel:
+        inner = self.stage
+        if isinstance(inner, Estimator):
+            inner, self.seconds["fit"] = timed(lambda d: inner.fit(d), df)
+            log.info("%s fitted in %.3f s", type(self.stage).__name__, self.seconds["fit"])
+        return TimerModel(inner, self.materialize)
+
+
+class TimerModel(Model):
+    """The timed stage after fitting."""
+
+    def __init__(self, stage, materialize: bool = True):
+        super().__init__()
+        self.stage, self.materialize, self.seconds = stage, materialize, {}
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out, self.seconds["transform"] = timed(self.stage.transform, df, self.materialize and not df.isStreaming)
+        log.info("%s transformed in %.3f s", type(self.stage).__name__, self.seconds["transform"])
+        return out
+
+
 def zip_with_index(df: DataFrame, output_col: str = "id", start: int = 0, partition_by: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Gapless numbers: per group in the given order, or over all rows.
 
@@ -108,13 +153,15 @@ def zip_with_index(df: DataFrame, output_col: str = "id", start: int = 0, partit
     order = [F.col(c) for c in (order_by or df.columns)]
     if partition_by:
         return df.withColumn(output_col, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order)) - 1 + start)
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    dealt = dealt.persist()
-    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
-    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    part, row, rows, first, ahead = fresh([*df.columns, output_col], "part", "row", "rows", "first", "ahead")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id())
+    # a written table: were a block computed again after a loss, its range could be another
+    dealt = write_table(dealt, "zip-with-index")
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(rows), F.min(row).alias(first))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # one row a partition
-    offsets = F.broadcast(counts.select("_p", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead")))
-    return dealt.join(offsets, "_p").withColumn(output_col, F.col("_m") - F.col("_first") + F.col("_ahead") + start).drop("_p", "_m", "_first", "_ahead")
+    offsets = F.broadcast(counts.select(part, first, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(ahead)))
+    return dealt.join(offsets, part).withColumn(output_col, F.col(row) - F.col(first) + F.col(ahead) + start).drop(part, row, rows, first, ahead)
 
 
 def fixed_minibatch(df: DataFrame, batch_size: int, order_by: list[str] | None = None) -> DataFrame:
@@ -131,17 +178,27 @@ def fixed_minibatch(df: DataFrame, batch_size: int, order_by: list[str] | None =
 
 
 def dynamic_minibatch(df: DataFrame, max_batch_size: int = 1 << 31) -> DataFrame:
-    """Batches of whatever a partition has, up to the given size."""
+    """One batch of all that a partition has, or several of the given size; the size bounds the memory of a batch."""
     names = df.columns
     schema = ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in df.schema.fields)
 
     def run(batches):
         import pandas as pd
 
+        held: list = []
+
+        def out(n):
+            frame = pd.concat(held) if len(held) > 1 else held[0]
+            held[:] = [frame.iloc[n:]] if len(frame) > n else []
+            return pd.DataFrame({c: [frame[c].iloc[:n].tolist()] for c in names})
+
         for frame in batches:
-            for at in range(0, len(frame), max_batch_size):
-                part = frame.iloc[at : at + max_batch_size]
-                yield pd.DataFrame({c: [part[c].tolist()] for c in names})
+            if len(frame):
+                held.append(frame)
+            while sum(map(len, held)) >= max_batch_size:
+                yield out(max_batch_size)
+        if held:
+            yield out(max_batch_size)
 
     return df.mapInPandas(run, schema)
 
@@ -185,6 +242,11 @@ def assemble_fast(df: DataFrame, input_cols: list[str], output_col: str) -> Data
     return VectorAssembler(inputCols=input_cols, outputCol=output_col, handleInvalid="keep").transform(df)
 
 
+def vector_values(vector: Column) -> Column:
+    """A vector as an array; null for null, which Spark's own function does not take."""
+    return F.when(vector.isNotNull(), vector_to_array(vector))
+
+
 def value_at(vector: Column, i: int) -> Column:
     return F.get(vector_to_array(vector), i)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagekit.plans.session import write_table
+
 
 def confusion_matrix(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
     return df.groupBy(F.col(label_col).alias("label"), F.col(prediction_col).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
@@ -39,19 +41,34 @@ def multiclass_statistics(df: DataFrame, label_col: str = "label", prediction_co
     )
 
 
+def _by_score(df: DataFrame, label_col: str, score_col: str) -> DataFrame:
+    """(score, p, n, p_upto, n_upto): positives and negatives at each distinct score, and with all lower ones.
+
+    Scores lie in range blocks, so that no task sees all of them: sums run within a block, on top of the
+    sums of the blocks below, of which there is one row each.
+    """
+    one = F.when(F.col(label_col) == 1, 1).otherwise(0)
+    found = df.groupBy(F.col(score_col).alias("score")).agg(F.sum(one).alias("p"), F.sum(1 - one).alias("n"))
+    dealt = write_table(found.repartitionByRange("score").withColumn("block", F.spark_partition_id()), "scores")
+    blocks = dealt.groupBy("block").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"), F.min("score").alias("first"))
+    below = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.select("block", F.coalesce(F.sum("bp").over(below), F.lit(0)).alias("ap"), F.coalesce(F.sum("bn").over(below), F.lit(0)).alias("an"))
+    within = Window.partitionBy("block").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.join(F.broadcast(ahead), "block")  # one row a block
+    return rows.select("score", "p", "n", (F.sum("p").over(within) + F.col("ap")).alias("p_upto"), (F.sum("n").over(within) + F.col("an")).alias("n_upto"))
+
+
 def roc_points(df: DataFrame, label_col: str = "label", score_col: str = "score") -> DataFrame:
-    """(score, tpr, fpr) at every distinct score, largest first; running sums need two levels for large tables."""
-    by_score = df.groupBy(F.col(score_col).alias("score")).agg(F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label_col) == 1, 0).otherwise(1)).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    return by_score.select("score", F.try_divide(F.sum("p").over(down), F.sum("p").over(whole)).alias("tpr"), F.try_divide(F.sum("n").over(down), F.sum("n").over(whole)).alias("fpr"))
+    """(score, tpr, fpr) at every distinct score: the shares of positives and negatives of that score and higher."""
+    rows = _by_score(df, label_col, score_col)
+    whole = rows.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    over = lambda x, every: F.try_divide(F.col(every) - F.col(f"{x}_upto") + F.col(x), F.col(every))
+    return rows.crossJoin(F.broadcast(whole)).select("score", over("p", "all_p").alias("tpr"), over("n", "all_n").alias("fpr"))  # one row
 
 
 def auc(df: DataFrame, label_col: str = "label", score_col: str = "score") -> DataFrame:
-    """Exact area under the curve from mid-ranks of distinct scores."""
-    by_score = df.groupBy(F.col(score_col).alias("score")).agg(F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label_col) == 1, 0).otherwise(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by_score.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    """Exact area under the curve from mid-ranks of distinct scores; null without both labels."""
+    won = _by_score(df, label_col, score_col).withColumn("won", F.col("p") * (F.col("n_upto") - F.col("n") / 2.0))
     return won.agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
@@ -77,3 +94,45 @@ def bandit_estimates(df: DataFrame, reward_col: str, logged_col: str, target_col
     """Inverse propensity estimates: ips, and snips normalised by the weights."""
     w = F.col(target_col) / F.col(logged_col)
     return df.agg((F.sum(F.col(reward_col) * w) / F.count(F.lit(1))).alias("ips"), F.try_divide(F.sum(F.col(reward_col) * w), F.sum(w)).alias("snips"))
+
+
+def group_regression(df: DataFrame, keys: list[str], label_col: str, feature_col: str) -> DataFrame:
+    """Slope, intercept and r squared of a line by group, as one aggregate."""
+    y, x = F.col(f"`{label_col}`").cast("double"), F.col(f"`{feature_col}`").cast("double")
+    return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"))
+
+
+def group_least_squares(df: DataFrame, keys: list[str], label_col: str, feature_cols: list[str], weight_col: str | None = None) -> DataFrame:
+    """Weighted least squares by group over normal equations: sums are added in the cluster, a row a group is solved.
+
+    Gives ``coefficients`` in the order of the features and ``intercept``; a group may have any number of rows.
+    """
+    w = F.col(f"`{weight_col}`").cast("double") if weight_col else F.lit(1.0)
+    x = [F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in feature_cols]]
+    y, m = F.col(f"`{label_col}`").cast("double"), len(x)
+    cells = [F.sum(w * x[i] * x[j]).alias(f"a{i}_{j}") for i in range(m) for j in range(i, m)] + [F.sum(w * x[i] * y).alias(f"b{i}") for i in range(m)]
+    sums = df.groupBy(*keys).agg(*cells)
+    upper = F.array(*[F.col(f"a{min(i, j)}_{max(i, j)}") for i in range(m) for j in range(m)])
+
+    def solve(grams, targets):
+        import numpy as np
+        import pyarrow as pa
+
+        out = []
+        for g, t in zip(grams.to_pylist(), targets.to_pylist()):
+            fine = g is not None and None not in g and None not in t
+            out.append(np.linalg.lstsq(np.array(g).reshape(m, m), np.array(t), rcond=None)[0].tolist() if fine else None)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    found = F.arrow_udf(solve, "array<double>")(upper, F.array(*[F.col(f"b{i}") for i in range(m)]))
+    return sums.select(*keys, found.alias("found")).select(*keys, F.slice("found", 2, m).alias("coefficients"), F.get("found", 0).alias("intercept"))
+
+
+def vector_moments(df: DataFrame, vector_col: str) -> DataFrame:
+    """(slot, mean, std) of a vector column in one pass."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    s = df.select(Summarizer.metrics("mean", "std").summary(F.col(f"`{vector_col}`")).alias("s"))
+    both = F.arrays_zip(vector_to_array(F.col("s")["mean"]).alias("mean"), vector_to_array(F.col("s")["std"]).alias("std"))
+    return s.select(F.posexplode(both).alias("slot", "m")).select("slot", "m.mean", "m.std")

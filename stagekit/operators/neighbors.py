@@ -1,30 +1,39 @@
-"""Exact nearest neighbours by largest inner product, in blocks, with an optional label condition."""
+"""Exact nearest neighbours by largest inner product: blocks over a cluster, and a ball tree for one machine; with an optional label condition."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of the index; a task holds one block against a batch of queries.
-BLOCK_ROWS = 20_000
+from stagekit.base import Fitted
+from stagekit.plans.session import fresh, write_table
+
+#: Blocks of the index and of the queries; a task holds one of each.
+BLOCK_ROWS, BLOCK_ASKS = 20_000, 2_000
+#: Rows of a ball tree, which one machine holds.
+TREE_ROWS = 2_000_000
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "features", query_id_col: str = "query_id", label_col: str | None = None, conditioner_col: str | None = None) -> DataFrame:
     """(query_id, rank, id, distance[, label]): the ``k`` rows of largest inner product, ties to the larger id.
 
-    The index is dealt into blocks; each block's task is a matrix product with the queries that came to
-    it and hands on ``k`` rows a query; a window ranks what the blocks found. Neither side is collected.
+    Index and queries are dealt into blocks; a task is a matrix product of one of each and hands on ``k``
+    rows a query; a window ranks what the blocks found. Neither side is collected.
     With ``conditioner_col`` (an array of labels) only rows with one of these labels count.
     """
     labelled = label_col is not None
-    n = index.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
+    blocks, halves = max(1, -(-index.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_ASKS))
     rows = index.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), (F.col(label_col).cast("string") if labelled else F.lit("")).alias("label"), F.array().cast("array<string>").alias("wanted"), F.lit(1).alias("kind"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # block of the index * blocks of queries + block of the queries
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(halves - 1))))
+    rows = rows.withColumn("block", F.col("block") + F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int") * halves)
     asked = queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.lit("").alias("label"), (F.col(conditioner_col).cast("array<string>") if conditioner_col else F.array().cast("array<string>")).alias("wanted"), F.lit(0).alias("kind"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("block", F.col("block") * halves + F.pmod(F.xxhash64("id"), F.lit(halves)).cast("int"))
     both = rows.unionByName(asked).where(F.col("vec").isNotNull())
 
     def search(key, batches):
@@ -62,7 +71,7 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", ve
             )
 
     schema = "query_id long, id long, distance double, label string"
-    parts = both.repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    parts = both.repartition(blocks * halves, "block").sortWithinPartitions("block", "kind")
     found = parts.groupBy("block").applyInArrow(_sorted(search), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("distance"), F.desc("id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -79,3 +88,104 @@ def _sorted(search):
         return pa.Table.from_batches(parts) if parts else empty
 
     return run
+
+
+def fit_knn(index: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "features", value_col: str | None = None, label_col: str | None = None) -> Fitted:
+    """The index as a stage: ``neighbors`` of each query row, nearest first, as (value, distance[, label])."""
+    cols = {"id": F.col(f"`{id_col}`").cast("long"), "features": F.col(f"`{vec_col}`").cast("array<double>"), "value": F.col(f"`{value_col or id_col}`")}
+    if label_col:
+        cols["label"] = F.col(f"`{label_col}`").cast("string")
+    kept = index.select(*[c.alias(n) for n, c in cols.items()])
+    return Fitted(find_neighbors, {"index": kept}, k=k, labelled=label_col is not None)
+
+
+def find_neighbors(df: DataFrame, index: DataFrame, k: int, labelled: bool, vec_col: str = "features", output_col: str = "neighbors", conditioner_col: str | None = None) -> DataFrame:
+    name, found = fresh(df.columns, "query_number", output_col)
+    rows = write_table(df.withColumn(name, F.monotonically_increasing_id()), "knn-queries")
+    asked = rows if vec_col == "features" else rows.withColumn("features", F.col(f"`{vec_col}`"))
+    hits = knn(index, asked, k, "id", "features", name, "label" if labelled else None, conditioner_col)
+    named = hits.join(index.select("id", "value"), "id")
+    parts = ["rank", "value", "distance", *(["label"] if labelled else [])]
+    lists = named.groupBy(F.col("query_id").alias(name)).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias(found))
+    lists = lists.withColumn(found, F.transform(found, lambda x: F.struct(*[x[p].alias(p) for p in parts[1:]])))
+    return rows.join(lists, name, "left").drop(name)
+
+
+class BallTree:
+    """Points in nested balls: the largest inner products without looking at balls that cannot hold them."""
+
+    def __init__(self, points: np.ndarray, values: list, leaf: int = 50, labels: list | None = None):
+        self.points, self.values, self.labels = np.asarray(points, float), list(values), None if labels is None else np.array(labels, object)
+        if len(self.points) > TREE_ROWS:
+            raise ValueError(f"more than {TREE_ROWS} points: use knn over a DataFrame")
+        self.nodes: list[tuple] = []  # centre, radius, rows or children, labels below
+        self._build(np.arange(len(self.points)), leaf)
+
+    def _build(self, rows: np.ndarray, leaf: int) -> int:
+        me, x = len(self.nodes), self.points[rows]
+        centre = x.mean(axis=0) if len(x) else np.zeros(self.points.shape[1])
+        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max()) if len(x) else 0.0
+        below = None if self.labels is None else set(self.labels[rows])
+        self.nodes.append(())
+        if len(rows) <= leaf or radius == 0:
+            self.nodes[me] = (centre, radius, rows, None, below)
+            return me
+        far = x[((x - x[0]) ** 2).sum(axis=1).argmax()]
+        other = x[((x - far) ** 2).sum(axis=1).argmax()]
+        cast = x @ (other - far)
+        side = cast <= np.median(cast)
+        if side.all():
+            side = np.arange(len(rows)) < len(rows) // 2
+        self.nodes[me] = (centre, radius, None, (self._build(rows[side], leaf), self._build(rows[~side], leaf)), below)
+        return me
+
+    def find(self, query: np.ndarray, k: int = 1, conditioner: set | None = None) -> list[tuple]:
+        """(value, inner product[, label]) of the best ``k``, of rows with one of the labels if there is a condition."""
+        import heapq
+
+        q, best = np.asarray(query, float), []
+        size = float(np.linalg.norm(q))
+        bound = lambda n: float(q @ self.nodes[n][0]) + size * self.nodes[n][1]
+        open_ = [(-bound(0), 0)] if len(self.points) else []
+        while open_:
+            most, n = heapq.heappop(open_)
+            if len(best) == k and -most <= best[0][0]:
+                break
+            _, _, rows, children, below = self.nodes[n]
+            if conditioner is not None and below is not None and not below & conditioner:
+                continue
+            if children:
+                for c in children:
+                    heapq.heappush(open_, (-bound(c), c))
+                continue
+            for i, s in zip(rows.tolist(), (self.points[rows] @ q).tolist()):
+                if conditioner is not None and self.labels[i] not in conditioner:
+                    continue
+                heapq.heappush(best, (s, i)) if len(best) < k else heapq.heappushpop(best, (s, i))
+        found = sorted(best, reverse=True)
+        return [(self.values[i], s) if self.labels is None else (self.values[i], s, self.labels[i]) for s, i in found]
+
+    def save(self, path: str) -> None:
+        with open(path, "wb") as f:
+            pickle.dump(self, f)
+
+    @classmethod
+    def load(cls, path: str) -> BallTree:
+        with open(path, "rb") as f:
+            return pickle.load(f)
+
+
+class ConditionalBallTree(BallTree):
+    """A ball tree whose points have labels."""
+
+    def __init__(self, points: np.ndarray, values: list, labels: list, leaf: int = 50):
+        super().__init__(points, values, leaf, labels)
+
+
+def fit_ball_tree(index: DataFrame, vec_col: str = "features", value_col: str = "id", label_col: str | None = None, leaf: int = 50) -> BallTree:
+    """A tree of a table that fits one machine, ``TREE_ROWS`` rows at most, on the driver."""
+    if index.limit(TREE_ROWS + 1).count() > TREE_ROWS:
+        raise ValueError(f"more than {TREE_ROWS} points: use knn over a DataFrame")
+    rows = index.select(F.col(f"`{vec_col}`").cast("array<double>").alias("v"), F.col(f"`{value_col}`").alias("x"), (F.col(f"`{label_col}`") if label_col else F.lit(None)).alias("l")).where("v IS NOT NULL").collect()
+    points = np.array([r.v for r in rows], float) if rows else np.empty((0, 1))
+    return BallTree(points, [r.x for r in rows], leaf, [r.l for r in rows] if label_col else None)

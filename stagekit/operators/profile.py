@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagekit.base import Fitted
+from stagekit.plans.session import fresh
+
 QUANTILES = {"P0_5": 0.005, "P1": 0.01, "P5": 0.05, "1st_Quartile": 0.25, "Median": 0.5, "3rd_Quartile": 0.75, "P95": 0.95, "P99": 0.99, "P99_5": 0.995}
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
-Fitted = Callable[[DataFrame], DataFrame]
 
 
 def _is_nan(df: DataFrame, c: str) -> Column:
@@ -69,10 +69,11 @@ def clean_missing(df: DataFrame, cols: list[str], mode: str = "Mean", custom=Non
     else:
         raise ValueError(f"unknown mode {mode}")
 
-    def transform(d: DataFrame) -> DataFrame:
-        return d.withColumns({o: F.coalesce(F.when(~_is_nan(d, c), F.col(c)), F.lit(fill[c])) for c, o in zip(cols, outs)})
+    return Fitted(fill_missing, fill=fill, cols=cols, outs=outs)
+
 
-    return transform
+def fill_missing(d: DataFrame, fill: dict, cols: list[str], outs: list[str]) -> DataFrame:
+    return d.withColumns({o: F.coalesce(F.when(~_is_nan(d, c), F.col(c)), F.lit(fill[c])) for c, o in zip(cols, outs)})
 
 
 def convert(df: DataFrame, cols: list[str], to: str, date_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
@@ -103,23 +104,46 @@ def convert(df: DataFrame, cols: list[str], to: str, date_format: str = "yyyy-MM
     return df
 
 
+#: Levels up to which an index is one expression and the column's metadata names them.
+LEVELS = 10_000
+
+
 def value_indexer(df: DataFrame, input_col: str, output_col: str) -> Fitted:
-    """Levels in ascending order to 0-based ints, null and unknown values behind them; levels go to the column's metadata."""
-    fine = F.when(~_is_nan(df, input_col), F.col(input_col))
-    found = df.select(fine.alias("v")).distinct().orderBy(F.asc_nulls_first("v")).collect()  # levels of a category
-    has_null = any(r.v is None for r in found)
-    levels = [r.v for r in found if r.v is not None]
-    kind = df.schema[input_col].dataType
+    """Levels in ascending order to 0-based ints, null and unknown values behind them; levels go to the column's metadata.
 
-    def transform(d: DataFrame) -> DataFrame:
-        unknown = len(levels) + (1 if has_null else 0)
-        x = F.when(~_is_nan(d, input_col), F.col(input_col))
-        table = F.create_map(*[v for i, x in enumerate(levels) for v in (F.lit(x).cast(kind), F.lit(i))]) if levels else None
-        index = F.coalesce(F.try_element_at(table, x), F.lit(unknown)) if levels else F.lit(unknown)
-        meta = {"levels": [str(v) if not isinstance(v, (int, float, bool, str)) else v for v in levels], "level_type": kind.simpleString(), "has_null": has_null}
-        return d.withColumn(output_col, F.when(x.isNull(), len(levels)).otherwise(index).alias(output_col, metadata=meta)).withMetadata(output_col, meta)
+    Beyond ``LEVELS`` levels the index is a join with the table of levels, and the metadata has none.
+    """
+    from stagekit.operators.columns import zip_with_index
 
-    return transform
+    fine = F.when(~_is_nan(df, input_col), F.col(input_col))
+    found = df.select(fine.alias("v")).distinct()
+    kind = df.schema[input_col].dataType.simpleString()
+    first = found.limit(LEVELS + 2).collect()
+    if len(first) <= LEVELS + 1:
+        levels = sorted(r.v for r in first if r.v is not None)
+        names = [v if isinstance(v, (int, float, bool, str)) else str(v) for v in levels]
+        return Fitted(index_levels, input_col=input_col, output_col=output_col, levels=names, kind=kind, has_null=any(r.v is None for r in first))
+    table = zip_with_index(found.where("v IS NOT NULL"), "i", order_by=["v"]).withColumn("i", F.col("i").cast("int"))
+    has_null = found.where("v IS NULL").count() > 0
+    return Fitted(index_by_join, {"levels": table}, input_col=input_col, output_col=output_col, n=table.count(), has_null=has_null)
+
+
+def index_levels(d: DataFrame, input_col: str, output_col: str, levels: list, kind: str, has_null: bool) -> DataFrame:
+    x = F.when(~_is_nan(d, input_col), F.col(input_col))
+    index = F.lit(len(levels) + has_null)
+    if levels:
+        table = F.create_map(*[v for i, level in enumerate(levels) for v in (F.lit(level).cast(kind), F.lit(i))])
+        index = F.coalesce(F.try_element_at(table, x), index)
+    meta = {"levels": levels, "level_type": kind, "has_null": has_null}
+    return d.withColumn(output_col, F.when(x.isNull(), len(levels)).otherwise(index)).withMetadata(output_col, meta)
+
+
+def index_by_join(d: DataFrame, levels: DataFrame, input_col: str, output_col: str, n: int, has_null: bool) -> DataFrame:
+    key, place = fresh([*d.columns, output_col], "v", "i")
+    x = F.when(~_is_nan(d, input_col), F.col(input_col))
+    joined = d.withColumn(key, x).join(levels.select(F.col("v").alias(key), F.col("i").alias(place)), key, "left")
+    index = F.when(F.col(key).isNull(), n).otherwise(F.coalesce(place, F.lit(n + has_null)))
+    return joined.withColumn(output_col, index).drop(key, place)
 
 
 def index_to_value(df: DataFrame, input_col: str, output_col: str) -> DataFrame:
@@ -135,19 +159,30 @@ def index_to_value(df: DataFrame, input_col: str, output_col: str) -> DataFrame:
 
 def count_selector(df: DataFrame, input_col: str, output_col: str) -> Fitted:
     """Keep the slots of a vector that are non-zero in any row."""
+    slots = df.select(F.posexplode(vector_to_array(input_col)).alias("i", "v")).where("v <> 0").select("i").distinct()
+    return Fitted(select_slots, input_col=input_col, output_col=output_col, indices=sorted(r.i for r in slots.collect()))  # as many as the vector has slots
+
+
+def select_slots(d: DataFrame, input_col: str, output_col: str, indices: list[int]) -> DataFrame:
     from pyspark.ml.feature import VectorSlicer
 
-    slots = df.select(F.posexplode(vector_to_array(input_col)).alias("i", "v")).where("v <> 0").select("i").distinct()
-    kept = sorted(r.i for r in slots.collect())  # as many as the vector has slots
-    return VectorSlicer(inputCol=input_col, outputCol=output_col, indices=kept).transform
+    return VectorSlicer(inputCol=input_col, outputCol=output_col, indices=indices).transform(d)
+
+
+def class_balancer(df: DataFrame, input_col: str, output_col: str = "weight", broadcast: bool | None = None) -> Fitted:
+    """Weight of each class: largest count over its count. Rows with a null label go.
+
+    The planner decides how to join from the size of the weights; ``broadcast`` forces it either way.
+    """
+    most = fresh([input_col, output_col], "most", "n")
+    counts = df.groupBy(F.col(input_col)).agg(F.count(F.lit(1)).alias(most[1]))
+    top = counts.agg(F.max(most[1]).alias(most[0]))
+    weights = counts.join(F.broadcast(top)).select(input_col, (F.col(most[0]) / F.col(most[1])).alias(output_col))  # one row
+    return Fitted(join_weights, {"weights": weights}, input_col=input_col, hint={None: None, True: "broadcast", False: "merge"}[broadcast])
 
 
-def class_balancer(df: DataFrame, input_col: str, output_col: str = "weight", broadcast: bool = True) -> Fitted:
-    """Weight of each class: largest count over its count. Rows with a null label go."""
-    counts = df.groupBy(F.col(input_col)).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.agg(F.max("_n").alias("_most"))
-    weights = counts.join(F.broadcast(top)).select(input_col, (F.col("_most") / F.col("_n")).alias(output_col))
-    return lambda d: d.join(weights.hint("broadcast") if broadcast else weights, input_col)
+def join_weights(d: DataFrame, weights: DataFrame, input_col: str, hint: str | None) -> DataFrame:
+    return d.join(weights.hint(hint) if hint else weights, input_col)
 
 
 def ensemble_by_key(df: DataFrame, keys: list[str], cols: list[str], new_cols: list[str] | None = None, collapse: bool = True) -> DataFrame:
@@ -170,13 +205,13 @@ def id_indexer(df: DataFrame, input_col: str, output_col: str, partition_col: st
         from stagekit.operators.columns import zip_with_index
 
         vocabulary = zip_with_index(seen, output_col, start=1, order_by=keys)
-    vocabulary = vocabulary.withColumn(output_col, F.col(output_col).cast("int"))
+    # ids are ints, as long as there are no more of them
+    vocabulary = vocabulary.withColumn(output_col, F.coalesce(F.col(output_col).try_cast("int"), F.raise_error(F.lit("more than 2^31 - 1 ids")).cast("int")))
+    return Fitted(look_up_ids, {"vocabulary": vocabulary}, keys=keys, input_col=input_col, output_col=output_col)
 
-    def transform(d: DataFrame) -> DataFrame:
-        return d.join(vocabulary, keys, "left").withColumn(output_col, F.coalesce(output_col, F.lit(0))).drop(input_col)
 
-    transform.vocabulary = vocabulary
-    return transform
+def look_up_ids(d: DataFrame, vocabulary: DataFrame, keys: list[str], input_col: str, output_col: str) -> DataFrame:
+    return d.join(vocabulary, keys, "left").withColumn(output_col, F.coalesce(output_col, F.lit(0))).drop(input_col)
 
 
 def undo_id_indexer(df: DataFrame, fitted: Fitted, output_col: str, partition_col: str | None = None) -> DataFrame:
@@ -186,28 +221,37 @@ def undo_id_indexer(df: DataFrame, fitted: Fitted, output_col: str, partition_co
 
 def multi_indexer(df: DataFrame, pairs: list[tuple[str, str]], partition_col: str | None = None) -> Fitted:
     models = [id_indexer(df, a, b, partition_col) for a, b in pairs]
+    return Fitted(look_up_all, {f"vocabulary_{i}": m.vocabulary for i, m in enumerate(models)}, each=[m.arguments for m in models])
 
-    def transform(d: DataFrame) -> DataFrame:
-        for m in models:
-            d = m(d)
-        return d
 
-    return transform
+def look_up_all(d: DataFrame, each: list[dict], **vocabularies: DataFrame) -> DataFrame:
+    for i, arguments in enumerate(each):
+        d = look_up_ids(d, vocabularies[f"vocabulary_{i}"], **arguments)
+    return d
 
 
 def standard_scaler(df: DataFrame, input_col: str, output_col: str, partition_col: str | None = None, coefficient: float = 1.0) -> Fitted:
     """z-scores by partition (population deviation; x - mean where that is 0)."""
-    stats = df.groupBy(*([partition_col] if partition_col else [])).agg(F.avg(input_col).alias("_m"), F.stddev_pop(input_col).alias("_s"))
-    value = F.when(F.col("_s") == 0, F.col(input_col) - F.col("_m")).otherwise(F.try_divide(F.lit(coefficient) * (F.col(input_col) - F.col("_m")), F.col("_s")))
-    return lambda d: _scaled(d, stats, partition_col, output_col, value)
+    stats = df.groupBy(*([partition_col] if partition_col else [])).agg(F.avg(input_col).alias("sk_mean"), F.stddev_pop(input_col).alias("sk_dev"))
+    return Fitted(standard_scaled, {"stats": stats}, input_col=input_col, output_col=output_col, partition_col=partition_col, coefficient=coefficient)
+
+
+def standard_scaled(d: DataFrame, stats: DataFrame, input_col: str, output_col: str, partition_col: str | None, coefficient: float) -> DataFrame:
+    off = F.col(input_col) - F.col("sk_mean")
+    value = F.when(F.col("sk_dev") == 0, off).otherwise(F.try_divide(F.lit(coefficient) * off, F.col("sk_dev")))
+    return _scaled(d, stats, partition_col, output_col, value)
 
 
 def linear_scaler(df: DataFrame, input_col: str, output_col: str, partition_col: str | None = None, low: float = 0.0, high: float = 1.0) -> Fitted:
     """Least and largest value by partition to [low, high]; the middle where they are equal."""
-    stats = df.groupBy(*([partition_col] if partition_col else [])).agg(F.min(input_col).alias("_a"), F.max(input_col).alias("_b"))
-    span = F.col("_b") - F.col("_a")
-    value = F.when(span == 0, F.lit((low + high) / 2)).otherwise(F.lit(low) + F.try_divide((F.col(input_col) - F.col("_a")) * (high - low), span))
-    return lambda d: _scaled(d, stats, partition_col, output_col, value)
+    stats = df.groupBy(*([partition_col] if partition_col else [])).agg(F.min(input_col).alias("sk_low"), F.max(input_col).alias("sk_high"))
+    return Fitted(linear_scaled, {"stats": stats}, input_col=input_col, output_col=output_col, partition_col=partition_col, low=low, high=high)
+
+
+def linear_scaled(d: DataFrame, stats: DataFrame, input_col: str, output_col: str, partition_col: str | None, low: float, high: float) -> DataFrame:
+    span = F.col("sk_high") - F.col("sk_low")
+    value = F.when(span == 0, F.lit((low + high) / 2)).otherwise(F.lit(low) + F.try_divide((F.col(input_col) - F.col("sk_low")) * (high - low), span))
+    return _scaled(d, stats, partition_col, output_col, value)
 
 
 def _scaled(d: DataFrame, stats: DataFrame, partition_col: str | None, output_col: str, value: Column) -> DataFrame:

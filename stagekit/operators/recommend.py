@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagekit.base import Fitted
+from stagekit.plans.session import fresh, write_table
+
+#: Items of a user that one task pairs with the others.
+USER_ITEMS = 1_000
+
 
 def index_by_frequency(df: DataFrame, col: str, output_col: str) -> DataFrame:
     """(value, index): 0-based, most frequent first, ties by value."""
@@ -14,18 +22,23 @@ def index_by_frequency(df: DataFrame, col: str, output_col: str) -> DataFrame:
     return zip_with_index(counts, output_col, order_by=["_n", col]).drop("_n")
 
 
-def recommendation_indexer(df: DataFrame, user_col: str, item_col: str, user_out: str = "user_index", item_out: str = "item_index"):
+def recommendation_indexer(df: DataFrame, user_col: str, item_col: str, user_out: str = "user_index", item_out: str = "item_index") -> Fitted:
+    """Users and items to indexes by frequency; ``recover_ids`` turns them back."""
     users, items = index_by_frequency(df, user_col, user_out), index_by_frequency(df, item_col, item_out)
+    return Fitted(index_ids, {"users": users, "items": items}, user_col=user_col, item_col=item_col)
 
-    def transform(d: DataFrame) -> DataFrame:
-        return d.join(users, user_col, "left").join(items, item_col, "left")
 
-    def recover(d: DataFrame) -> DataFrame:
-        back = d.join(users.withColumnRenamed(user_col, "_u"), user_out, "left").join(items.withColumnRenamed(item_col, "_i"), item_out, "left")
-        return back.withColumns({user_col: F.coalesce(F.col("_u").cast("string"), F.lit("-1")), item_col: F.coalesce(F.col("_i").cast("string"), F.lit("-1"))}).drop("_u", "_i")
+def index_ids(d: DataFrame, users: DataFrame, items: DataFrame, user_col: str, item_col: str) -> DataFrame:
+    return d.join(users, user_col, "left").join(items, item_col, "left")
 
-    transform.recover, transform.users, transform.items = recover, users, items
-    return transform
+
+def recover_ids(d: DataFrame, fitted: Fitted) -> DataFrame:
+    """Index columns back to the ids as texts; -1 for an index that is none."""
+    for table, key in ((fitted.users, fitted.user_col), (fitted.items, fitted.item_col)):
+        (index,) = [c for c in table.columns if c != key]
+        (name,) = fresh([*d.columns, *table.columns], "found")
+        d = d.join(table.withColumnRenamed(key, name), index, "left").withColumn(key, F.coalesce(F.col(name).cast("string"), F.lit("-1"))).drop(name)
+    return d
 
 
 def sar_affinity(events: DataFrame, user_col: str, item_col: str, rating_col: str | None = None, time_col: str | None = None, now: Column | None = None, half_life_days: float = 30.0) -> DataFrame:
@@ -43,12 +56,17 @@ def sar_similarity(events: DataFrame, user_col: str, item_col: str, kind: str =
     """(a, b, similarity) in long form, for items with at least ``support`` users in common.
 
     Users are distinct per item; each item pair of a user is made once (a <= b) and mirrored after counting.
+    The pairs of a user with many items are made by several tasks, each for some of the first items.
     """
     if kind not in ("jaccard", "lift", "cooccurrence"):
         raise ValueError(f"unknown similarity {kind}")
     pairs = events.select(F.col(user_col).alias("u"), F.col(item_col).alias("i")).where("u IS NOT NULL AND i IS NOT NULL").distinct()
     counts = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    half = pairs.select("u", F.col("i").alias("a")).join(pairs.select("u", F.col("i").alias("b")), "u").where("a <= b")
+    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(USER_ITEMS)).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "u")
+    first = dealt.select("u", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int").alias("part"), F.col("i").alias("a"))
+    second = dealt.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("i").alias("b"))
+    half = first.join(second, ["u", "part"]).where("a <= b")
     both = half.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
     both = both.join(counts.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
     value = {"jaccard": F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), "lift": F.col("c") / (F.col("na") * F.col("nb")), "cooccurrence": F.col("c").cast("double")}[kind]
@@ -128,3 +146,56 @@ def ranking_split(df: DataFrame, user_col: str, item_col: str, ratio: float = 0.
     order = by_user.orderBy(F.xxhash64(user_col, item_col, F.lit(seed)), item_col)
     place, n = F.row_number().over(order), F.count(F.lit(1)).over(by_user)
     return rows.withColumn("is_train", place <= F.round(n * ratio)).drop("_nu", "_ni")
+
+
+def ranking_adapter(train: DataFrame, test: DataFrame, recommend, user_col: str, item_col: str, rating_col: str, k: int = 10) -> DataFrame:
+    """(user, prediction, label): what ``recommend(train, k)`` (user, rank, item) shows each user of the test part, and what they chose."""
+    found = recommend(train, k).select(F.col("user").alias(user_col), "rank", "item")
+    lists = found.groupBy(user_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("prediction"))
+    actual = rank_lists(test, user_col, item_col, rating_col, k).withColumnRenamed("items", "label")
+    return lists.join(actual, user_col).select(F.col(user_col).alias("user"), "prediction", "label")
+
+
+def sar_recommender(user_col: str, item_col: str, rating_col: str | None = None, kind: str = "jaccard", support: int = 4, drop_seen: bool = True):
+    """SAR as a ``recommend(train, k)`` of ``ranking_adapter``."""
+
+    def recommend(train: DataFrame, k: int) -> DataFrame:
+        affinity = sar_affinity(train, user_col, item_col, rating_col)
+        return sar_recommend(affinity, sar_similarity(train, user_col, item_col, kind, support), k, drop_seen=drop_seen)
+
+    return recommend
+
+
+def als_recommender(user_col: str, item_col: str, rating_col: str, **options):
+    """Alternating least squares over integer ids as a ``recommend(train, k)``."""
+
+    def recommend(train: DataFrame, k: int) -> DataFrame:
+        from pyspark.ml.recommendation import ALS
+
+        als = ALS(userCol=user_col, itemCol=item_col, ratingCol=rating_col, **options)
+        found = als.fit(train).recommendForAllUsers(k)
+        each = found.select(F.col(user_col).alias("user"), F.posexplode("recommendations").alias("place", "r"))
+        return each.select("user", (F.col("place") + 1).alias("rank"), F.col("r")[item_col].alias("item"))
+
+    return recommend
+
+
+def ranking_train_validation(
+    ratings: DataFrame, candidates: list, user_col: str, item_col: str, rating_col: str, metric: str = "ndcgAt", k: int = 10, ratio: float = 0.75, min_ratings_user: int = 1,
+    min_ratings_item: int = 1, seed: int = 0, parallelism: int = 4,
+) -> tuple[int, list[float], DataFrame]:
+    """The best of several ``recommend(train, k)`` by a ranking metric over held-out ratings.
+
+    Gives its place, all values, and its recommendations from all ratings. Runs go side by side.
+    """
+    split = ranking_split(ratings, user_col, item_col, ratio, min_ratings_user, min_ratings_item, seed)
+    split = write_table(split, "ranking-split")
+    train, test = (split.where(c).drop("is_train") for c in ("is_train", "NOT is_train"))
+
+    def value(candidate) -> float:
+        return ranking_metrics(ranking_adapter(train, test, candidate, user_col, item_col, rating_col, k), k).first()[metric] or 0.0
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        values = list(pool.map(value, candidates))
+    best = max(range(len(values)), key=lambda i: values[i])
+    return best, values, candidates[best](ratings, k)

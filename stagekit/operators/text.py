@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from stagekit.base import Fitted
+
 
 def tokenize(df: DataFrame, input_col: str, output_col: str, pattern: str = r"\s+", gaps: bool = True, lower: bool = True, min_length: int = 0) -> DataFrame:
     """Tokens by a pattern of gaps or of tokens, inside code generation."""
@@ -19,8 +21,8 @@ def tokenize(df: DataFrame, input_col: str, output_col: str, pattern: str = r"\s
     return df.withColumn(output_col, F.filter(found, lambda t: F.char_length(t) >= max(1, min_length)))
 
 
-def featurize_text(df: DataFrame, input_col: str, output_col: str, num_features: int = 1 << 18, stop_words: list[str] | None = None, n_gram: int | None = None, binary: bool = False, use_idf: bool = True, min_doc_freq: int = 1, pattern: str = r"\s+"):
-    """Tokenizer, optional stop words and n-grams, hashed counts, inverse document frequency; the fitted transform."""
+def featurize_text(df: DataFrame, input_col: str, output_col: str, num_features: int = 1 << 18, stop_words: list[str] | None = None, n_gram: int | None = None, binary: bool = False, use_idf: bool = True, min_doc_freq: int = 1, pattern: str = r"\s+") -> Fitted:
+    """Tokenizer, optional stop words and n-grams, hashed counts, inverse document frequency."""
     from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, StopWordsRemover
 
     stages = [RegexTokenizer(inputCol=input_col, outputCol="_tokens", pattern=pattern, gaps=True, toLowercase=True, minTokenLength=0)]
@@ -34,8 +36,11 @@ def featurize_text(df: DataFrame, input_col: str, output_col: str, num_features:
     stages.append(HashingTF(inputCol=at, outputCol="_counts" if use_idf else output_col, numFeatures=num_features, binary=binary))
     if use_idf:
         stages.append(IDF(inputCol="_counts", outputCol=output_col, minDocFreq=min_doc_freq))
-    fitted = Pipeline(stages=stages).fit(df)
-    return lambda d: fitted.transform(d).drop("_tokens", "_kept", "_grams", "_counts")
+    return Fitted(text_features, models={"pipeline": Pipeline(stages=stages).fit(df)}, temporary=["_tokens", "_kept", "_grams", "_counts"])
+
+
+def text_features(d: DataFrame, pipeline, temporary: list[str]) -> DataFrame:
+    return pipeline.transform(d).drop(*temporary)
 
 
 def multi_ngram(df: DataFrame, input_col: str, output_col: str, lengths: list[int]) -> DataFrame:

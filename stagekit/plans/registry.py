@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with a QUERIES and an ORACLES dictionary.
-MODULES: tuple[str, ...] = ("tables",)
+MODULES: tuple[str, ...] = ("tables", "learning")
 
 
 def _collect(name: str) -> dict:

@@ -29,18 +29,20 @@ def _round(df, *cols, digits: int = 6):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+_Q = profile.QUANTILES
 _SUMMARY = " UNION ALL ".join(
     f"""SELECT '{c}' AS "Feature", count({c})::DOUBLE AS "Count", count(DISTINCT {c})::DOUBLE AS "Unique_Value_Count", (count(*) - count({c}))::DOUBLE AS "Missing_Value_Count",
-min({c}) AS "Min", max({c}) AS "Max", round(var_samp({c}), 4) AS "Sample_Variance", round(stddev_samp({c}), 4) AS "Sample_Standard_Deviation", round(kurtosis_pop({c}), 4) AS "Sample_Kurtosis" FROM lineitem"""
+min({c}) AS "Min", max({c}) AS "Max", round(var_samp({c}), 4) AS "Sample_Variance", round(stddev_samp({c}), 4) AS "Sample_Standard_Deviation", round(kurtosis_pop({c}), 4) AS "Sample_Kurtosis",
+round((SELECT avg((x - m) ** 3) / nullif(avg((x - m) ** 2) ** 1.5, 0) FROM (SELECT {c} AS x, avg({c}) OVER () AS m FROM lineitem)), 4) AS "Sample_Skewness", """
+    + ", ".join(f"""quantile_disc({c}, {q}) AS "{name}\"""" for name, q in _Q.items()) + " FROM lineitem"
     for c in LINEITEM
-)
+)
 
 
 @query(_SUMMARY)
 def summarize_lineitem(spark, sf_dir):
-    out = profile.summarize(_read(spark, sf_dir, "lineitem").select(*LINEITEM), exact_distinct=True, percentiles=False)
-    out = _round(out, "Sample_Variance", "Sample_Standard_Deviation", "Sample_Kurtosis", digits=4)
-    return out.drop("1st_Quartile", "Median", "3rd_Quartile", "Sample_Skewness")
+    out = profile.summarize(_read(spark, sf_dir, "lineitem").select(*LINEITEM), exact_distinct=True, accuracy=1_000_000_000)
+    return _round(out, "Sample_Variance", "Sample_Standard_Deviation", "Sample_Kurtosis", "Sample_Skewness", digits=4)
 
 
 @query()
@@ -96,9 +98,11 @@ def ensemble_by_key_join(spark, sf_dir):
     return _round(d, "q").select("l_orderkey", "l_linenumber", "q")
 
 
-@query("""WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderstatus, (n * greatest(1, ceil((max(n) OVER ())::DOUBLE / n)))::BIGINT AS n FROM c""")
+@query("""SELECT o_orderstatus, least(8, count(*))::BIGINT AS partitions, (count(*) // 8)::BIGINT AS fewest, ceil(count(*) / 8.0)::BIGINT AS most FROM orders GROUP BY 1""")
 def stratified_repartition_status(spark, sf_dir):
-    return columns.stratified_repartition(_read(spark, sf_dir, "orders"), "o_orderstatus", 8, "equal").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    d = columns.stratified_repartition(_read(spark, sf_dir, "orders"), "o_orderstatus", 8, "original").withColumn("part", F.spark_partition_id())
+    each = d.groupBy("o_orderstatus", "part").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("partitions"), F.min("n").alias("fewest"), F.max("n").alias("most"))
 
 
 def _holes(spark, sf_dir):
@@ -123,11 +127,11 @@ def clean_missing_custom(spark, sf_dir):
     return profile.clean_missing(d, ["value"], "Custom", -1.0)(d)
 
 
-@query("""SELECT o_orderkey, o_custkey::INT AS o_custkey, o_totalprice::VARCHAR <> '' AS priced, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders""")
+@query("""SELECT o_orderkey, o_custkey::INT AS o_custkey, round(o_totalprice, 2) AS priced, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders""")
 def data_conversion_orders(spark, sf_dir):
     d = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     d = profile.convert(profile.convert(profile.convert(d, ["o_custkey"], "integer"), ["o_totalprice"], "string"), ["o_orderdate"], "string")
-    return d.select("o_orderkey", "o_custkey", (F.col("o_totalprice") != "").alias("priced"), "o_orderdate")
+    return d.select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice").cast("double"), 2).alias("priced"), "o_orderdate")
 
 
 @query("""SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INT AS i, o_orderpriority AS back FROM orders""")
@@ -136,15 +140,17 @@ def value_indexer_priority(spark, sf_dir):
     return profile.index_to_value(profile.value_indexer(d, "o_orderpriority", "i")(d), "i", "back").select("o_orderkey", "i", "back")
 
 
-@query("""SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id)::INT AS id FROM (SELECT DISTINCT event_type, user_id FROM events)""")
+@query("""SELECT event_id, event_type, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id)::INT AS id FROM events""")
 def id_indexer_partitioned(spark, sf_dir):
-    d = _read(spark, sf_dir, "events").select("event_type", "user_id")
-    return profile.id_indexer(d, "user_id", "id", "event_type").vocabulary
+    d = _read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    return profile.id_indexer(d, "user_id", "id", "event_type")(d).select("event_id", "event_type", "id")
 
 
-@query("""SELECT row_number() OVER (ORDER BY user_id)::INT AS id, user_id FROM (SELECT DISTINCT user_id FROM events)""")
+@query("""SELECT event_id, dense_rank() OVER (ORDER BY user_id)::INT AS id, user_id AS back FROM events""")
 def id_indexer_global(spark, sf_dir):
-    return profile.id_indexer(_read(spark, sf_dir, "events").select("user_id"), "user_id", "id").vocabulary
+    d = _read(spark, sf_dir, "events").select("event_id", "user_id")
+    fitted = profile.id_indexer(d, "user_id", "id")
+    return profile.undo_id_indexer(fitted(d), fitted, "id").select("event_id", "id", F.col("user_id").alias("back"))
 
 
 @query("""SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 5) AS z FROM events WINDOW w AS (PARTITION BY event_type)""")
@@ -174,23 +180,28 @@ def vector_zipper_lineitem(spark, sf_dir):
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
 
 
-@query(f"""SELECT doc_id, len({_TOKENS})::BIGINT AS n, len(list_distinct({_TOKENS}))::BIGINT AS d FROM documents""")
+@query(f"""SELECT doc_id, len({_TOKENS})::BIGINT AS n, len(list_distinct({_TOKENS}))::BIGINT AS d, md5(array_to_string({_TOKENS}, ' ')) AS digest FROM documents""")
 def text_tokens(spark, sf_dir):
     d = text.tokenize(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "t")
-    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("d"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("d"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@query(f"""SELECT doc_id, (greatest(0, n) + greatest(0, n - 1) + greatest(0, n - 2))::BIGINT AS grams FROM (SELECT doc_id, len({_TOKENS})::BIGINT AS n FROM documents)""")
+@query(f"""SELECT doc_id, len(g)::BIGINT AS grams, md5(array_to_string(g, '|')) AS digest FROM (SELECT doc_id, list_concat(list_concat(t,
+list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])), list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g
+FROM (SELECT doc_id, {_TOKENS} AS t FROM documents))""")
 def multi_ngram_counts(spark, sf_dir):
     d = text.tokenize(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "t")
-    return text.multi_ngram(d, "t", "g", [1, 2, 3]).select("doc_id", F.size("g").cast("long").alias("grams"))
+    grams = text.multi_ngram(d, "t", "g", [1, 2, 3])
+    return grams.select("doc_id", F.size("g").cast("long").alias("grams"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 
-@query("""SELECT doc_id, length(text)::BIGINT AS chars, true AS whole FROM documents""")
-def page_splitter_invariant(spark, sf_dir):
+@query("""WITH RECURSIVE p AS (SELECT doc_id, 0::BIGINT AS place, ''::VARCHAR AS page, text AS rest, false AS last FROM documents UNION ALL
+SELECT doc_id, place + 1, substr(rest, 1, c), substr(rest, c + 1), length(rest) <= 500 FROM (SELECT *, CASE WHEN length(rest) <= 500 THEN length(rest)
+ELSE coalesce(nullif(length(regexp_extract(substr(rest, 1, 500), '^(?s:.{450,499})\\s')), 0), 500) END AS c FROM p WHERE NOT last AND rest IS NOT NULL))
+SELECT doc_id, place - 1 AS place, page FROM p WHERE place > 0""")
+def page_splitter_pages(spark, sf_dir):
     d = text.page_splitter(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "pages", 450, 500)
-    total = F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + F.char_length(p))
-    return d.select("doc_id", total.alias("chars"), (F.array_join("pages", "") == F.col("text")).alias("whole"))
+    return d.select("doc_id", F.posexplode("pages").alias("place", "page")).withColumn("place", F.col("place").cast("long"))
 
 
 @query("""SELECT doc_id, nfc_normalize(lower(text)) AS text FROM documents""")
@@ -230,10 +241,10 @@ def conditional_knn(spark, sf_dir):
 
 def _purchases(spark, sf_dir):
     o, li = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user"), (F.col("l_suppkey") % 40).alias("item"), F.col("l_quantity").alias("rating"))
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item"), F.col("l_quantity").alias("rating"))
 
 
-_P = "p AS (SELECT o_custkey AS user_, l_suppkey % 40 AS item, l_quantity AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_P = "p AS (SELECT o_custkey AS user_, l_suppkey AS item, l_quantity AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _SIM = f"""WITH {_P}, d AS (SELECT DISTINCT user_, item FROM p), n AS (SELECT item, count(*) AS n FROM d GROUP BY item),
 c AS (SELECT x.item AS a, y.item AS b, count(*) AS c FROM d x JOIN d y USING (user_) GROUP BY ALL HAVING count(*) >= 4)"""
 
@@ -331,26 +342,28 @@ def ips_snips(spark, sf_dir):
 
 
 def _accesses(spark, sf_dir):
-    return _read(spark, sf_dir, "events").select(F.col("event_type").alias("tenant"), F.col("user_id").alias("user"), (F.col("event_id") % 50).alias("res"), F.lit(1.0).alias("likelihood"))
+    """Who made an event of a type (the tenant) on which day (the resource)."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return _read(spark, sf_dir, "events").select(F.col("event_type").alias("tenant"), F.col("user_id").alias("user"), day.alias("res"), F.lit(1.0).alias("likelihood"))
 
 
-@query("""SELECT 0::BIGINT AS seen""")
+@query()
 def complement_access(spark, sf_dir):
-    a = _accesses(spark, sf_dir)
-    drawn = access.complement_access(a, "tenant", "user", "res")
-    return drawn.join(a.distinct(), ["tenant", "user", "res"], "left_semi").agg(F.count(F.lit(1)).alias("seen"))
+    a = _accesses(spark, sf_dir).withColumn("res", F.dayofyear(F.to_date("res")))
+    return access.complement_access(a, "tenant", "user", "res")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 60 AS x, c_custkey % 60 // 4 * 1000 + c_nationkey % 2 AS y FROM customer WHERE c_custkey % 60 % 4 < 3),
-r AS (SELECT x, x AS z FROM e UNION SELECT r.x, b.x FROM r JOIN e a ON r.z = a.x JOIN e b ON a.y = b.y)
-SELECT x, min(z) AS component FROM r GROUP BY x""")
+@query("""SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey) AS component FROM customer""")
 def connected_components(spark, sf_dir):
-    c = F.col("c_custkey") % 60
-    e = _read(spark, sf_dir, "customer").where(c % 4 < 3).select(c.alias("x"), (F.floor(c / 4) * 1000 + F.col("c_nationkey") % 2).alias("y"))
-    return access.connected_components(e, "x", "y")[0]
+    return access.connected_components(_read(spark, sf_dir, "customer"), "c_custkey", "c_nationkey")[0]
+
+
+@query()
+def connected_components_orders(spark, sf_dir):
+    return access.connected_components(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")[1]
 
 
 @query()
 def access_anomaly(spark, sf_dir):
     a = _accesses(spark, sf_dir)
-    return access.fit_access_anomaly(a, rank=4, max_iter=3)(a.distinct())
+    return access.fit_access_anomaly(a)(a.distinct())
