@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from stagekit.plans.session import fresh, write_table
 
 #: Items of a user that one task pairs with the others.
 USER_ITEMS = 1_000
+#: Pairs of similar items up to which every worker holds them all (24 bytes each).
+SMALL = 2_000_000
 
 
 def index_by_frequency(df: DataFrame, col: str, output_col: str) -> DataFrame:
@@ -75,14 +79,52 @@ def sar_similarity(events: DataFrame, user_col: str, item_col: str, kind: str =
 
 
 def sar_recommend(affinity: DataFrame, similarity: DataFrame, k: int, users: DataFrame | None = None, drop_seen: bool = False) -> DataFrame:
-    """(user, rank, item, score): affinity times similarity, the ``k`` best of each user, ties to the smaller item."""
+    """(user, rank, item, score): affinity times similarity, the ``k`` best of each user, ties to the smaller item.
+
+    A similarity of up to ``SMALL`` pairs goes to every worker, which multiplies user by user; a larger
+    one is joined, a row for each pair of an item and one like it.
+    """
     wanted = affinity.join(users, "user", "left_semi") if users is not None else affinity
+    if similarity.limit(SMALL + 1).count() <= SMALL:
+        return _multiplied(wanted, similarity, k, drop_seen)
     scores = wanted.join(similarity, F.col("item") == F.col("a")).groupBy("user", F.col("b").alias("item")).agg(F.sum(F.col("affinity") * F.col("similarity")).alias("score"))
     if drop_seen:
         scores = scores.join(affinity, ["user", "item"], "left_anti")
     return top_k(scores, "user", k)
 
 
+def _multiplied(affinity: DataFrame, similarity: DataFrame, k: int, drop_seen: bool) -> DataFrame:
+    pairs = similarity.select("a", "b", "similarity").toArrow()  # at most SMALL rows
+    a, b = (pairs[c].to_pylist() for c in "ab")
+    items = sorted({*a, *b})
+    place = {x: i for i, x in enumerate(items)}
+    rows, cols = (np.fromiter((place[x] for x in side), np.int64, len(side)) for side in (a, b))
+    order = np.argsort(rows, kind="stable")
+    first = np.searchsorted(rows[order], np.arange(len(items) + 1))
+    known = affinity.sparkSession.sparkContext.broadcast((items, place, first, cols[order], pairs["similarity"].to_numpy()[order]))
+    kind = affinity.schema["item"].dataType.simpleString()
+
+    def run(column: pa.Array) -> pa.Array:
+        names, index, first, cols, values = known.value
+        out = []
+        for row in column.to_pylist():
+            seen = [(index[x["item"]], x["affinity"]) for x in row if x["item"] in index]
+            at = np.concatenate([np.arange(first[i], first[i + 1]) for i, _ in seen] or [np.empty(0, np.int64)])
+            weight = np.repeat([w for _, w in seen], [first[i + 1] - first[i] for i, _ in seen])
+            score = np.bincount(cols[at], values[at] * weight, len(names))
+            there = np.flatnonzero(np.bincount(cols[at], minlength=len(names)))
+            if drop_seen:
+                there = np.setdiff1d(there, [i for i, _ in seen])
+            best = there[np.lexsort((there, -score[there]))[:k]]
+            out.append([{"rank": n + 1, "item": names[i], "score": float(score[i])} for n, i in enumerate(best.tolist())])
+        item = pa.array(names[:1]).type if names else pa.int64()
+        return pa.array(out, pa.list_(pa.struct([("rank", pa.int32()), ("item", item), ("score", pa.float64())])))
+
+    lists = affinity.groupBy("user").agg(F.collect_list(F.struct("item", "affinity")).alias("all"))
+    found = lists.select("user", F.explode(F.arrow_udf(run, f"array<struct<rank:int,item:{kind},score:double>>")("all")).alias("r"))
+    return found.select("user", "r.rank", "r.item", "r.score")
+
+
 def top_k(scores: DataFrame, key: str, k: int) -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.desc("score"), "item")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", "item", "score")

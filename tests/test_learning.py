@@ -435,6 +435,16 @@ def test_ranking_choice(spark):
     assert back.where(F.col("user") == "-1").count() == 0 and back.count() == len(rows)
 
 
+def test_multiplied_and_joined_recommendations(spark, monkeypatch):
+    d = spark.createDataFrame([(u, f"i{(u * 7 + i * i) % 13}", float(1 + i % 3)) for u in range(20) for i in range(6)], "user long, item string, rating double")
+    affinity, similarity = recommend.sar_affinity(d, "user", "item", "rating"), recommend.sar_similarity(d, "user", "item", "cooccurrence", 1)
+    for seen in (False, True):
+        monkeypatch.setattr(recommend, "SMALL", 2_000_000)
+        fast = sorted(map(str, recommend.sar_recommend(affinity, similarity, 4, drop_seen=seen).collect()))
+        monkeypatch.setattr(recommend, "SMALL", 3)
+        assert fast == sorted(map(str, recommend.sar_recommend(affinity, similarity, 4, drop_seen=seen).collect()))
+
+
 def test_similarity_of_heavy_users(spark, monkeypatch):
     d = spark.createDataFrame([(u, i) for u in range(3) for i in range(30)], "u long, i long")
     plain = sorted(map(str, recommend.sar_similarity(d, "u", "i", support=1).collect()))
