@@ -29,8 +29,9 @@ BANDS = ((64, 0.0, 1.6), (128, 0.6, 2.0), (256, 0.8, 2.6), (512, 1.05, 3.0), (20
 #: Base64 reaches 1.12 at 300 bytes, 1.27 at 800, 1.35 at 4,096; random letters 1.68 at 4,096, hex 1.96
 #: at 50,000; prose and code start at 1.37 at 800, 1.77 at 4,096, 1.99 at 8,000.
 LEAST = ((128, 0.8), (200, 1.03), (300, 1.15), (500, 1.27), (800, 1.38), (1500, 1.55), (2048, 1.63), (4096, 1.76), (8000, 1.97), (16000, 2.05), (50000, 2.1))
-#: Hex reaches the ratio of prose below 8,000 bytes: it is told by its characters, so many of those that aren't blank.
-HEX_SHARE, HEX_LETTERS, HEX_LEAST = 0.9, 0.1, 128
+#: Hex reaches the ratio of prose below 8,000 bytes, and digits do at any size: they are told by their characters,
+#: so many of those that aren't blank, digits among them.
+HEX_SHARE, HEX_DIGITS, HEX_LEAST = 0.9, 0.1, 128
 LEVEL = 3
 CHUNK = 4096
 CHUNK_SLACK = 1.25
@@ -84,11 +85,11 @@ def band(data: bytes) -> tuple[float, float]:
 
 
 def encoded(data: bytes) -> bool:
-    """Whether nearly all characters are hex digits, letters among them."""
+    """Whether nearly all characters are digits or hex digits."""
     full = len(data) - sum(map(data.count, BLANK_BYTES))
-    letters = full and sum(map(data.count, b"abcdefABCDEF"))
-    digits = letters and sum(map(data.count, b"0123456789"))
-    return full >= HEX_LEAST and letters >= HEX_LETTERS * full and letters + digits >= HEX_SHARE * full
+    digits = full and sum(map(data.count, b"0123456789"))
+    letters = digits and sum(map(data.count, b"abcdefABCDEF"))
+    return full >= HEX_LEAST and digits >= HEX_DIGITS * full and letters + digits >= HEX_SHARE * full
 
 
 def fits(data: bytes, ratio: float, slack: float = 1.0) -> bool:

@@ -243,6 +243,26 @@ def test_shingles_are_those_of_the_sets():
     assert (lists[0] == lists[1]).all() and len(np.intersect1d(lists[2], lists[3])) == 1
 
 
+@pytest.mark.parametrize("size", [400, 3000, 30000])
+def test_bands_reject_both_sides(size):
+    import zstandard
+
+    packer, rng = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(size)
+
+    def text(alphabet):
+        out = ""
+        while len(out) < size:
+            out += "".join(rng.choice(alphabet) for _ in range(rng.randint(3, 9))) + " "
+        return out[:size].encode()
+
+    for alphabet in ("0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        assert not quality.compression(text(alphabet), packer)[2], alphabet
+    assert not quality.compression(("the same again " * size)[:size].encode(), packer)[2]
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "en", "is", "o", "ur")]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(400)] + ["the", "and", "of"] * 40
+    assert quality.compression(" ".join(rng.choice(words) for _ in range(size // 5))[:size].encode(), packer)[2]
+
+
 # awkward tables
 
 NAMES = "n_pieces ids decoded n_tokens n_known score base_score kept n_words spans shard slot lang_pred text_crc32 node row rest found".split()
