@@ -17,6 +17,8 @@ DEPTHS, SEEN, CELLS = 4, 4, 33
 MOST_BITS, LEAST_BITS, CHUNK_BITS = 22, 12, 12
 #: Steps of the mixed value in the tables of a scorer, and its bound.
 FINE, BOUND = 32, 12
+#: Bits that a step of the fit stands for, and steps at most.
+RUN, STEPS = 400_000, 100
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _VALUE = np.where(np.arange(256) < 32, np.arange(256), 32 * 2.0 ** ((np.arange(256) - 32) / 8))
 
@@ -44,6 +46,22 @@ def _lists() -> tuple[np.ndarray, np.ndarray]:
 _STRETCH, _SEEN = _lists()
 
 
+def _levels(step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of ``_STRETCH``, and the stretched chance of each: one for each pair of counts seen up to twice, then steps."""
+    grid = np.rint(_STRETCH / step).astype(np.int64)
+    rare = _SEEN < SEEN - 1
+    # times seen (up to 3), then the chance itself or its step
+    key = _SEEN.astype(np.int64) << 32 | np.where(rare, np.rint(_STRETCH * 1000).astype(np.int64), grid) + (1 << 16)
+    names, first, level = np.unique(key, return_index=True, return_inverse=True)
+    mid = np.where(rare[first], _STRETCH[first], grid[first] * step)
+    return level.astype(np.int32), np.stack([mid, _SEEN[first]], axis=1)
+
+
+#: Steps of the stretched chances that the weights are fitted on, by number of orders.
+STEP_OF = {3: 0.5, 4: 1.0}
+_LEVELS = {orders: _levels(step) for orders, step in STEP_OF.items()}
+
+
 def table_bits(events: float) -> int:
     """Slots an order, as a power of two, for this many bit events: two thirds full at most, within the bounds."""
     return int(np.clip(np.ceil(np.log2(max(events, 1) * 1.5)), LEAST_BITS, MOST_BITS))
@@ -78,9 +96,8 @@ class Mixer:
         self.cells = np.zeros((self.gates * CELLS, 2)) if cells is None else cells
         self.logs = None
 
-    def _mixed(self, slots, depth, out: np.ndarray | None):
-        left = 0 if out is None else (out.astype(np.int32) + 1) << 16  # each event is left out of its own counts
-        packed = [self.table[s].astype(np.int32) + left for s in slots]
+    def _mixed(self, slots, depth):
+        packed = [self.table[s].astype(np.int32) for s in slots]
         digits = _SEEN[packed[0]]
         for k in range(1, self.orders):
             digits += _SEEN[packed[k]] << (2 * k)
@@ -90,21 +107,58 @@ class Mixer:
         for i in range(self.orders):
             s += x[i] * self.weights[:, i][gate]
         np.clip(s, -BOUND, BOUND, out=s)
-        return x, gate, s
+        return gate, s
 
     @staticmethod
     def _cell(gate: np.ndarray, s: np.ndarray) -> np.ndarray:
         return gate.astype(np.int32) * CELLS + np.rint(np.clip(s, -8, 8) * 2).astype(np.int32) + 16
 
-    def learn(self, slots, depth, bit) -> None:
-        """One online step: weights move by the error of these bits, each left out of its own counts."""
-        x, gate, s = self._mixed(slots, depth, bit)
-        x.append(np.full(len(bit), 0.3, np.float32))
-        error = bit - 1 / (1 + np.exp(-s))
-        for i in range(self.orders + 1):
-            step = np.bincount(gate, error * x[i], self.gates) / (np.bincount(gate, x[i] * x[i], self.gates) * 0.25 + 20)
-            self.weights[:, i] += (0.3 * step).astype(np.float32)
-        self.cells += np.bincount(self._cell(gate, s) * 2 + bit, minlength=self.gates * CELLS * 2).reshape(-1, 2)
+    @property
+    def cases(self) -> int:
+        """Number of cases that ``case_of`` tells apart."""
+        return len(_LEVELS[self.orders][1]) ** self.orders * DEPTHS * 2
+
+    def case_of(self, slots, depth, bit) -> np.ndarray:
+        """All that the weights learn from a bit: the levels of its predictors without it, its depth and itself."""
+        level, mids = _LEVELS[self.orders]
+        left = (bit + 1) << 16  # each event is left out of its own counts
+        case = np.full(len(bit), 0, np.int32)
+        for s in slots:
+            case *= len(mids)
+            case += level[self.table[s] + left]
+        case *= DEPTHS * 2
+        case += bit
+        case += 2 * depth
+        return case
+
+    def fit(self, cases: np.ndarray, times: np.ndarray) -> None:
+        """Weights and refinement from how often each case occurs."""
+        mids = _LEVELS[self.orders][1]
+        rest, bit = np.divmod(cases.astype(np.int64), 2)
+        rest, depth = np.divmod(rest, DEPTHS)
+        x, digits = [np.full(len(rest), 0.3)], np.zeros(len(rest), np.int64)
+        for k in reversed(range(self.orders)):
+            rest, level = np.divmod(rest, len(mids))
+            x.append(mids[level, 0])
+            digits += mids[level, 1].astype(np.int64) << (2 * k)
+        x = np.array(x[:0:-1] + x[:1])
+        gate, times = self.gate_of[digits].astype(np.int64) + depth, times.astype(float)
+
+        def mixed():
+            return np.clip((self.weights[gate].T * x).sum(axis=0), -BOUND, BOUND)
+
+        def sums(v):
+            return np.bincount(gate, v, self.gates)
+
+        # a step for each run of so many bits, as if the weights followed them one run after another
+        steps = int(min(STEPS, np.ceil(times.sum() / RUN)))
+        square = np.stack([sums(times * v * v) for v in x], axis=1) * 0.25 + 20
+        for _ in range(steps):
+            error = times * (bit - 1 / (1 + np.exp(-mixed())))
+            self.weights += (0.3 * np.stack([sums(error * v) for v in x], axis=1) / square).astype(np.float32)
+        s = mixed()
+        cell = self._cell(gate, s) * 2 + bit
+        self.cells = np.bincount(cell, times, self.gates * CELLS * 2).reshape(-1, 2)
 
     def _chances(self) -> np.ndarray:
         """Chance of a one by gate and mixed value, in steps of 1 / FINE: half the mixed one, half the refined."""
@@ -121,7 +175,7 @@ class Mixer:
         if self.logs is None:
             p = self._chances()
             self.logs = np.log10(np.stack([1 - p, p], axis=1)).astype(np.float32).ravel()
-        _, gate, s = self._mixed(slots, depth, None)
+        gate, s = self._mixed(slots, depth)
         s += BOUND
         s *= FINE
         at = gate.astype(np.int32) * (2 * BOUND * FINE + 1)

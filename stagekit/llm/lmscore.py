@@ -1,4 +1,4 @@
-"""Language-model scores by online logistic context mixing.
+"""Language-model scores by logistic context mixing.
 
 A text is a sequence of words and one end (the empty word). Each token is a string of binary decisions:
 the ``CODED`` most frequent training words, and one escape, have a prefix code by their counts, so that a
@@ -11,8 +11,9 @@ place sum to one.
 Counts come from the whole training part: word counts by map-side combining, predictor tables as sums of
 each task's table, spelling from all words without a code, each once. Tables have about as many slots as
 there are bit events, up to 2^22 an order; the vocabulary may have any size. The mixing weights and the
-refinement, a few thousand numbers, are learned online, each bit left out of its own counts, on a bounded
-sample (``LEARN_TEXTS``, ``LEARN_WORDS``) that a hash draws, and averaged over the tasks.
+refinement, a few thousand numbers, are learned from every training bit too, each left out of its own
+counts: tasks count the bits by case (what the predictors say, in steps, and the bit), and the driver fits
+the summed cases, which depends neither on the tasks nor on the order of rows.
 
 ``base_score`` and ``n_known`` need exact counts of all words: those of the ``HEAD`` most frequent ones
 are broadcast with their spelling, other words of a document are spelled where they are met and joined by
@@ -42,9 +43,7 @@ HEAD, CODED = 500_000, 16_384
 FLUSH = 400_000
 #: Tokens of a task that counts and tasks at most, so that the tables on their way do not grow with the number of input files.
 TASK_TOKENS, TRAIN_TASKS = 4_000_000, 2_000
-#: Mixing weights and refinement, some thousand numbers, are fitted on about this many texts and words, in so many tasks.
-LEARN_TEXTS, LEARN_WORDS, LEARN_TASKS = 4_000, 200_000, 8
-#: Text bytes of one online step, words of a task that learns to spell.
+#: Text bytes that a worker learns from at a time, words of a task that learns to spell.
 STEP, TASK_WORDS = 1 << 20, 300_000
 
 
@@ -139,8 +138,8 @@ class Fit:
         return Mixer(self.orders, table, self.weights, self.cells)
 
 
-def _fit(data: DataFrame, sample: DataFrame, steps, orders: int, bits: int) -> Fit:
-    """Tables from all of ``data``, weights and refinement from ``sample``; ``steps(batches)`` yields runs of (slots, depth, bit)."""
+def _fit(data: DataFrame, steps, orders: int, bits: int) -> Fit:
+    """Tables, then weights and refinement, from all of ``data``; ``steps(batches)`` yields runs of (slots, depth, bit)."""
     sc = data.sparkSession.sparkContext
 
     def tally(batches):
@@ -157,32 +156,34 @@ def _fit(data: DataFrame, sample: DataFrame, steps, orders: int, bits: int) -> F
         table[r["chunk"] << bitmix.CHUNK_BITS : (r["chunk"] + 1) << bitmix.CHUNK_BITS] = np.frombuffer(bytes(r["counts"]), np.uint16)
     fit = Fit(orders, bits, sc.broadcast(zstandard.ZstdCompressor(level=3).compress(table.tobytes())))
 
-    def learn(batches):
+    def cases(batches):
         mixer, n = fit.mixer(), 0
+        seen = np.zeros(mixer.cases, np.uint32)
         for slots, depth, bit in steps(batches):
-            mixer.learn(slots, depth, bit)
+            np.add.at(seen, mixer.case_of(slots, depth, bit), np.uint32(1))
             n += len(bit)
-        if n:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n], pa.int64()), pa.array([mixer.weights.tobytes()], pa.binary()), pa.array([mixer.cells.astype(np.float32).tobytes()], pa.binary())],
-                names=["n", "weights", "cells"],
-            )
+            if n >= 1 << 31:
+                yield _nonzero(seen)
+                seen[:], n = 0, 0
+        yield _nonzero(seen)
 
-    # a row a task: weights averaged, refinement counts added
-    total, weights, cells = 0, 0.0, 0.0
-    for r in sample.mapInArrow(learn, "n long, weights binary, cells binary").sort("n", "weights").toLocalIterator():
-        weights = weights + r["n"] * np.frombuffer(bytes(r["weights"]), np.float32).reshape(-1, orders + 1).astype(float)
-        cells = cells + np.frombuffer(bytes(r["cells"]), np.float32).reshape(-1, 2).astype(float)
-        total += r["n"]
-    return Fit(orders, bits, fit.packed, weights / total, cells) if total else fit
+    # every training bit, summed by case: as many rows as there are cases, whatever the corpus
+    met = data.mapInArrow(cases, "case int, times long").groupBy("case").agg(F.sum("times").alias("times")).toArrow()
+    if not met.num_rows:
+        return fit
+    case, times = met["case"].to_numpy(), met["times"].to_numpy()
+    order = np.argsort(case)
+    mixer = Mixer(orders, table)
+    mixer.fit(case[order], times[order])
+    return Fit(orders, bits, fit.packed, mixer.weights, mixer.cells)
 
 
-def _sampled(df: DataFrame, col: str, share: float) -> DataFrame:
-    """About this share of the rows, by a hash of the column."""
-    return df.where(F.pmod(F.xxhash64(F.col(col), F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+def _nonzero(seen: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(seen)
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["case", "times"])
 
 
-def train_tokens_model(texts: DataFrame, words, bits: int, share: float) -> Fit:
+def train_tokens_model(texts: DataFrame, words, bits: int) -> Fit:
     def steps(batches):
         for batch in batches:
             for at, end in text_slices(batch.column(0), STEP):
@@ -190,7 +191,7 @@ def train_tokens_model(texts: DataFrame, words, bits: int, share: float) -> Fit:
                 for _, slots, depth, bit in words.value.walk(index, place, hashes, counts, bits):
                     yield slots, depth, bit
 
-    return _fit(texts, _sampled(texts, "text", share).coalesce(LEARN_TASKS), steps, bitmix.TOKEN_ORDERS, bits)
+    return _fit(texts, steps, bitmix.TOKEN_ORDERS, bits)
 
 
 def train_spelling(words: DataFrame, n_words: int) -> Fit:
@@ -202,8 +203,8 @@ def train_spelling(words: DataFrame, n_words: int) -> Fit:
                 data, place, _ = bitmix.flat_bytes([w.encode() for w in batch.column(0).slice(at, 10_000).to_pylist()])
                 yield from bitmix.byte_walk(data, place, bits)
 
-    dealt = words.repartition(max(1, -(-n_words // TASK_WORDS)), "word").sortWithinPartitions("word")
-    return _fit(dealt, _sampled(dealt, "word", LEARN_WORDS / max(1, n_words)).coalesce(LEARN_TASKS), steps, bitmix.BYTE_ORDERS, bits)
+    dealt = words.repartition(max(1, -(-n_words // TASK_WORDS)), "word")
+    return _fit(dealt, steps, bitmix.BYTE_ORDERS, bits)
 
 
 def spelled(words: list[str], mixer: Mixer, bits: int) -> np.ndarray:
@@ -279,11 +280,10 @@ def score_texts(docs: DataFrame, training: DataFrame, text_col: str = "text", he
     # at most CODED of them
     named = chosen.lookup.strings.filter(pa.array(chosen.coded)).to_pylist()
     uncoded = vocabulary.select("word").join(F.broadcast(spark.createDataFrame([(w,) for w in named], "word string")), "word", "left_anti").where("word <> ''")
-    n_texts = vocabulary.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     spelling = train_spelling(uncoded, max(0, size - len(named)))
     bits = bitmix.table_bits(chosen.events)
     dealt = texts.coalesce(int(min(TRAIN_TASKS, max(1, -(-n // TASK_TOKENS)))))
-    tokens_model = train_tokens_model(dealt, words, bits, LEARN_TEXTS / max(1, n_texts))
+    tokens_model = train_tokens_model(dealt, words, bits)
 
     def spell(batches):
         model = spelling.mixer()
