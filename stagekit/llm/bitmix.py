@@ -10,11 +10,15 @@ up to 31 and kept in eighths of a doubling beyond.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import numpy as np
 
 DEPTHS, SEEN, CELLS = 4, 4, 33
 #: Slots of an order, as a power of two, at most and at least; slots of a chunk on its way.
 MOST_BITS, LEAST_BITS, CHUNK_BITS = 22, 12, 12
+#: Counts of a tally that are carried over.
+CARRY = 1 << 15
 #: Steps of the mixed value in the tables of a scorer, and its bound.
 FINE, BOUND = 32, 12
 #: Bits that a step of the fit stands for, and steps at most.
@@ -82,6 +86,39 @@ def add(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> None:
         np.add.at(counts, each.astype(np.int64) * 2 + bit, np.uint32(1))
 
 
+class Tally:
+    """Zeros and ones seen in each slot, exactly: 15 bits each, and a list of what goes beyond them."""
+
+    def __init__(self, slots: int):
+        self.low, self.beyond = np.zeros(slots * 2, np.uint16), Counter()
+
+    def add(self, slots: np.ndarray, bit: np.ndarray) -> None:
+        for each in slots:
+            places = each.astype(np.int64) * 2 + bit
+            for at in range(0, len(places), CARRY):
+                run = places[at : at + CARRY]
+                np.add.at(self.low, run, np.uint16(1))
+                full = self.low[run] >= CARRY
+                if full.any():
+                    full = np.unique(run[full])
+                    for place, n in zip(full.tolist(), self.low[full].tolist()):
+                        self.beyond[place] += n
+                    self.low[full] = 0
+
+    def chunks(self):
+        """Number and counts of each run of ``CHUNK_BITS`` slots that has any, in 16 bits, or in 64 where some need more."""
+        beyond = defaultdict(list)
+        for place, n in self.beyond.items():
+            beyond[place >> CHUNK_BITS + 1].append((place & (2 << CHUNK_BITS) - 1, n))
+        for i, chunk in enumerate(self.low.reshape(-1, 2 << CHUNK_BITS)):
+            if i in beyond:
+                chunk = chunk.astype(np.int64)
+                for place, n in beyond[i]:
+                    chunk[place] += n
+            if chunk.any():
+                yield i, chunk
+
+
 class Mixer:
     """Packed counts of the predictors, weights a gate, and the adaptive refinement of the mixed chance."""
 

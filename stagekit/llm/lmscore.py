@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagekit.llm import bitmix
-from stagekit.llm.bitmix import Mixer
+from stagekit.llm.bitmix import Mixer, Tally
 from stagekit.llm.lookup import Lookup, counted, flat_words, hashes_of, text_slices
 from stagekit.llm.text import id_fold
 from stagekit.plans.session import fresh, write_table
@@ -43,7 +43,7 @@ HEAD, CODED = 500_000, 16_384
 FLUSH = 400_000
 #: Tokens of a task that counts and tasks at most, so that the tables on their way do not grow with the number of input files.
 TASK_TOKENS, TRAIN_TASKS = 4_000_000, 2_000
-#: Text bytes that a worker learns from at a time, words of a task that learns to spell.
+#: Text bytes that a worker learns from or scores at a time, words of a task that learns to spell.
 STEP, TASK_WORDS = 1 << 20, 300_000
 
 
@@ -108,34 +108,30 @@ class Words:
         return bitmix.code_walk(hashes[index], start, self.code[at], self.size[at], bits)
 
 
-def _emit(counts: np.ndarray):
-    """A task's table in chunks, empty ones left out; counts over 16 bits are brought down to them, ratios kept."""
+def _emit(counts: Tally):
+    """A task's table in chunks, empty ones left out; the size of a chunk tells its numbers' width."""
     pack = zstandard.ZstdCompressor(level=1)
-    for i, chunk in enumerate(counts.reshape(-1, 2 << bitmix.CHUNK_BITS)):
-        most = int(chunk.max())
-        if most > 65535:
-            pairs = chunk.reshape(-1, 2).astype(float)
-            chunk = np.ceil(pairs / np.maximum(pairs.max(axis=1, keepdims=True) / 65535.0, 1.0))
-        if most:
-            data = pack.compress(chunk.astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "counts"])
+    for i, chunk in counts.chunks():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack.compress(chunk.tobytes())], pa.binary())], names=["chunk", "counts"])
 
 
 def _sum_chunks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    total = sum(np.frombuffer(unpack.decompress(x), np.uint16).astype(np.int64) for b in batches for x in b.column("counts").to_pylist())
+    unpack, total = zstandard.ZstdDecompressor(), np.zeros(2 << bitmix.CHUNK_BITS, np.int64)
+    for b in batches:
+        for x in b.column("counts"):
+            data = unpack.decompress(x.as_buffer())
+            total += np.frombuffer(data, np.uint16 if len(data) == 2 * len(total) else np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bitmix.pack(total.reshape(-1, 2)).tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 class Fit:
-    """A fitted mixer on its way to the workers: the table is broadcast once, compressed."""
+    """A fitted mixer on its way to the workers: the table is broadcast once, and each worker holds it once."""
 
-    def __init__(self, orders: int, bits: int, packed, weights=None, cells=None):
-        self.orders, self.bits, self.packed, self.weights, self.cells = orders, bits, packed, weights, cells
+    def __init__(self, orders: int, bits: int, table, weights=None, cells=None):
+        self.orders, self.bits, self.table, self.weights, self.cells = orders, bits, table, weights, cells
 
     def mixer(self) -> Mixer:
-        table = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed.value), np.uint16)
-        return Mixer(self.orders, table, self.weights, self.cells)
+        return Mixer(self.orders, self.table.value, self.weights, self.cells)
 
 
 def _fit(data: DataFrame, steps, orders: int, bits: int) -> Fit:
@@ -143,9 +139,9 @@ def _fit(data: DataFrame, steps, orders: int, bits: int) -> Fit:
     sc = data.sparkSession.sparkContext
 
     def tally(batches):
-        counts = np.zeros((orders << bits) * 2, np.uint32)
+        counts = Tally(orders << bits)
         for slots, _, bit in steps(batches):
-            bitmix.add(counts, slots, bit)
+            counts.add(slots, bit)
         yield from _emit(counts)
 
     schema = "chunk int, counts binary"
@@ -154,7 +150,7 @@ def _fit(data: DataFrame, steps, orders: int, bits: int) -> Fit:
     table = np.zeros(orders << bits, np.uint16)
     for r in summed.toLocalIterator():
         table[r["chunk"] << bitmix.CHUNK_BITS : (r["chunk"] + 1) << bitmix.CHUNK_BITS] = np.frombuffer(bytes(r["counts"]), np.uint16)
-    fit = Fit(orders, bits, sc.broadcast(zstandard.ZstdCompressor(level=3).compress(table.tobytes())))
+    fit = Fit(orders, bits, sc.broadcast(table))
 
     def cases(batches):
         mixer, n = fit.mixer(), 0
@@ -175,7 +171,7 @@ def _fit(data: DataFrame, steps, orders: int, bits: int) -> Fit:
     order = np.argsort(case)
     mixer = Mixer(orders, table)
     mixer.fit(case[order], times[order])
-    return Fit(orders, bits, fit.packed, mixer.weights, mixer.cells)
+    return Fit(orders, bits, fit.table, mixer.weights, mixer.cells)
 
 
 def _nonzero(seen: np.ndarray) -> pa.RecordBatch:
@@ -302,7 +298,7 @@ def score_texts(docs: DataFrame, training: DataFrame, text_col: str = "text", he
         model = Scorer(words.value, tokens_model, spelling)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for at, end in text_slices(column):
+            for at, end in text_slices(column, STEP):
                 part = column.slice(at, end - at)
                 points, found, index, place, many = model.token_scores(part)
                 of = np.repeat(np.arange(len(many)), many)
