@@ -346,11 +346,40 @@ class Dictionary:
     def __init__(self, units: pa.Array, ids: pa.Array):
         self.lookup = Lookup(units)
         ids = ids.take(pa.array(self.lookup.order))
+        self.lookup.order = None
         offsets = ids.offsets.to_numpy()
         self.first, self.ids = offsets - offsets[0], ids.flatten().to_numpy().astype(np.int32)
 
 
-def head_ids(units: DataFrame, pieces: Pieces, kind: str, head: int) -> Dictionary:
+class Parts:
+    """A dictionary on its way: compressed parts, which the driver passes on as they are and each worker puts together once."""
+
+    def __init__(self, parts: list[bytes]):
+        self.parts, self.made = parts, None
+
+    def dictionary(self) -> Dictionary:
+        if self.made is None:
+            found = pa.Table.from_batches([b for p in self.parts for b in pa.ipc.open_stream(p)], HEAD_SCHEMA).combine_chunks()
+            self.parts = None
+            one = lambda name: pa.concat_arrays(found[name].chunks) if found[name].num_chunks else pa.array([], HEAD_SCHEMA.field(name).type)
+            self.made = Dictionary(one("unit"), one("ids"))
+            del found
+            pa.default_memory_pool().release_unused()
+        return self.made
+
+
+HEAD_SCHEMA = pa.schema([("unit", pa.string()), ("ids", pa.list_(pa.int32()))])
+
+
+def _packed(batches):
+    for b in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, HEAD_SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.list_(pa.int32()))], schema=HEAD_SCHEMA))
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part"])
+
+
+def head_ids(units: DataFrame, pieces: Pieces, kind: str, head: int) -> Parts:
     """Lattice ids of the units that occur most often, ``head`` at most: all above the least count that fits."""
     total, least = units.count(), 1
     if total > head:
@@ -361,9 +390,8 @@ def head_ids(units: DataFrame, pieces: Pieces, kind: str, head: int) -> Dictiona
             least, many = r["n"], many + r["count"]
         total = many
     top = units.where((F.col("n") >= least) & (F.char_length("unit") <= LONG)).select("unit")
-    found = lattice(top.repartition(max(1, -(-total // TASK_UNITS)), "unit"), pieces, kind).toArrow().combine_chunks()
-    one = lambda name, t: pa.concat_arrays(found[name].chunks) if found[name].num_chunks else pa.array([], t)
-    return Dictionary(one("unit", pa.string()).cast(pa.string()), one("ids", pa.list_(pa.int32())).cast(pa.list_(pa.int32())))
+    found = lattice(top.repartition(max(1, -(-total // TASK_UNITS)), "unit"), pieces, kind)
+    return Parts([bytes(r["part"]) for r in found.mapInArrow(_packed, "part binary").collect()])
 
 
 def encode(docs: DataFrame, model: str | Pieces, text_col: str = "text", kind: str = "bpe", head: int = HEAD, decoded: str | None = None) -> DataFrame:
@@ -382,7 +410,7 @@ def encode(docs: DataFrame, model: str | Pieces, text_col: str = "text", kind: s
     known = spark.sparkContext.broadcast(head_ids(units, pieces, kind, head))
 
     def run(batches):
-        words, folder = known.value, Folder(pieces, kind)
+        words, folder = known.value.dictionary(), Folder(pieces, kind)
         surfaces = pa.array(pieces.surfaces(), pa.binary())
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
