@@ -86,6 +86,11 @@ def add(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> None:
         np.add.at(counts, each.astype(np.int64) * 2 + bit, np.uint32(1))
 
 
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``values[places]``, of places that are all there, in a fraction of its time."""
+    return values.take(places, mode="clip")
+
+
 class Tally:
     """Zeros and ones seen in each slot, exactly: 15 bits each, and a list of what goes beyond them."""
 
@@ -98,7 +103,7 @@ class Tally:
             for at in range(0, len(places), CARRY):
                 run = places[at : at + CARRY]
                 np.add.at(self.low, run, np.uint16(1))
-                full = self.low[run] >= CARRY
+                full = _at(self.low, run) >= CARRY
                 if full.any():
                     full = np.unique(run[full])
                     for place, n in zip(full.tolist(), self.low[full].tolist()):
@@ -134,15 +139,19 @@ class Mixer:
         self.logs = None
 
     def _mixed(self, slots, depth):
-        packed = [self.table[s].astype(np.int32) for s in slots]
-        digits = _SEEN[packed[0]]
+        packed = [_at(self.table, s).astype(np.int64) for s in slots]
+        digits = _at(_SEEN, packed[0])
         for k in range(1, self.orders):
-            digits += _SEEN[packed[k]] << (2 * k)
-        gate = self.gate_of[digits] + np.int16(depth)
-        x = [_STRETCH[p] for p in packed]
-        s = 0.3 * self.weights[:, -1][gate]
+            digits += _at(_SEEN, packed[k]) << (2 * k)
+        gate = _at(self.gate_of, digits.astype(np.int64)).astype(np.int64)
+        gate += depth
+        columns = np.ascontiguousarray(self.weights.T)
+        s = _at(columns[-1], gate)
+        s *= np.float32(0.3)
         for i in range(self.orders):
-            s += x[i] * self.weights[:, i][gate]
+            x = _at(_STRETCH, packed[i])
+            x *= _at(columns[i], gate)
+            s += x
         np.clip(s, -BOUND, BOUND, out=s)
         return gate, s
 
@@ -158,11 +167,11 @@ class Mixer:
     def case_of(self, slots, depth, bit) -> np.ndarray:
         """All that the weights learn from a bit: the levels of its predictors without it, its depth and itself."""
         level, mids = _LEVELS[self.orders]
-        left = (bit + 1) << 16  # each event is left out of its own counts
-        case = np.full(len(bit), 0, np.int32)
+        left = (bit.astype(np.int64) + 1) << 16  # each event is left out of its own counts
+        case = np.zeros(len(bit), np.int32)
         for s in slots:
             case *= len(mids)
-            case += level[self.table[s] + left]
+            case += _at(level, _at(self.table, s) + left)
         case *= DEPTHS * 2
         case += bit
         case += 2 * depth
@@ -215,9 +224,11 @@ class Mixer:
         gate, s = self._mixed(slots, depth)
         s += BOUND
         s *= FINE
-        at = gate.astype(np.int32) * (2 * BOUND * FINE + 1)
-        at += np.rint(s).astype(np.int32)
-        return self.logs[at * 2 + bit]
+        gate *= 2 * BOUND * FINE + 1
+        gate += np.rint(s).astype(np.int32)
+        gate *= 2
+        gate += bit
+        return _at(self.logs, gate)
 
 
 #: Contexts of a token's code: none, the token before, and the two before.
@@ -242,9 +253,10 @@ def code_walk(hashes: np.ndarray, place: np.ndarray, code: np.ndarray, size: np.
     for b in range(int(size.max()) if len(size) else 0):
         stay = size > b
         if not stay.all():
-            live, ctx, code, size = live[stay], ctx[:, stay], code[stay], size[stay]
+            stay = np.flatnonzero(stay)
+            live, ctx, code, size = _at(live, stay), ctx.take(stay, axis=1, mode="clip"), _at(code, stay), _at(size, stay)
             if b % 4:
-                block, node = block[:, stay], node[stay]
+                block, node = block.take(stay, axis=1, mode="clip"), _at(node, stay)
         left = (size - b).astype(np.uint64)
         if b % 4 == 0:
             block, node = blocks_of(ctx, code >> left | np.uint64(1 << b), bits), np.ones(len(live), np.int32)
