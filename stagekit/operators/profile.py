@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,9 +157,16 @@ def index_to_value(df: DataFrame, input_col: str, output_col: str) -> DataFrame:
 
 
 def count_selector(df: DataFrame, input_col: str, output_col: str) -> Fitted:
-    """Keep the slots of a vector that are non-zero in any row."""
-    slots = df.select(F.posexplode(vector_to_array(input_col)).alias("i", "v")).where("v <> 0").select("i").distinct()
-    return Fitted(select_slots, input_col=input_col, output_col=output_col, indices=sorted(r.i for r in slots.collect()))  # as many as the vector has slots
+    """Keep the slots of a vector that are non-zero in any row.
+
+    Rows stay sparse: a task counts by slot, and the counts are added up.
+    """
+    from pyspark.ml.stat import Summarizer
+
+    vectors = df.select(input_col).where(F.col(input_col).isNotNull())
+    # one number a slot; Spark's summary of no rows is an error
+    counts = [] if vectors.isEmpty() else vectors.select(Summarizer.numNonZeros(F.col(input_col))).first()[0].toArray()
+    return Fitted(select_slots, input_col=input_col, output_col=output_col, indices=[i for i, n in enumerate(counts) if n])
 
 
 def select_slots(d: DataFrame, input_col: str, output_col: str, indices: list[int]) -> DataFrame:
