@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from stagekit.plans.session import fresh, write_table
 USER_ITEMS = 1_000
 #: Pairs of similar items up to which every worker holds them all (24 bytes each).
 SMALL = 2_000_000
+#: Pairs of items that a task counts at once.
+PAIRS = 4_000_000
+#: Affinities and pairs of similar items of a tile.
+ENTRIES, TILE = 2_000_000, 4_000_000
 
 
 def index_by_frequency(df: DataFrame, col: str, output_col: str) -> DataFrame:
@@ -59,38 +65,212 @@ def sar_affinity(events: DataFrame, user_col: str, item_col: str, rating_col: st
 def sar_similarity(events: DataFrame, user_col: str, item_col: str, kind: str = "jaccard", support: int = 4) -> DataFrame:
     """(a, b, similarity) in long form, for items with at least ``support`` users in common.
 
-    Users are distinct per item; each item pair of a user is made once (a <= b) and mirrored after counting.
-    The pairs of a user with many items are made by several tasks, each for some of the first items.
+    Users are distinct per item. Workers make the pairs of each user (a <= b) as numbers, add up equal ones
+    and hand on compressed counts, dealt by a hash of the pair so that no item gathers in one task; each pair
+    is mirrored after counting. Users lie in ranges of their ids: where neighbours share items, most pairs
+    are added up before they move. The pairs of a user with many items are made by several tasks, each for
+    some of the first items.
     """
     if kind not in ("jaccard", "lift", "cooccurrence"):
         raise ValueError(f"unknown similarity {kind}")
-    pairs = events.select(F.col(user_col).alias("u"), F.col(item_col).alias("i")).where("u IS NOT NULL AND i IS NOT NULL").distinct()
-    counts = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(USER_ITEMS)).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "u")
-    first = dealt.select("u", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int").alias("part"), F.col("i").alias("a"))
-    second = dealt.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("i").alias("b"))
-    half = first.join(second, ["u", "part"]).where("a <= b")
-    both = half.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
-    both = both.join(counts.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
+    from stagekit.operators.columns import zip_with_index
+
+    pairs = write_table(events.select(F.col(user_col).alias("u"), F.col(item_col).alias("i")).where("u IS NOT NULL AND i IS NOT NULL").distinct(), "sar-pairs")
+    # places in the order of the items
+    items = zip_with_index(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")), "x", order_by=["i"])
+    places = items.select("i", F.col("x").cast("int").alias("x"))
+    sizes = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("m"))
+    total, most, n_items = (x or 0 for x in sizes.agg(F.sum(F.expr("m * (m + 1) div 2")), F.max("m")).crossJoin(items.agg(F.count(F.lit(1)))).first())
+    dealt = pairs.join(places, "i").select("u", "x")
+    if most > USER_ITEMS:
+        heavy = sizes.where(F.col("m") > USER_ITEMS).select("u", F.ceil(F.col("m") / USER_ITEMS).cast("int").alias("parts"))
+        dealt = dealt.join(heavy, "u", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        dealt = dealt.select("u", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("own"))
+    else:
+        dealt = dealt.select("u", "x", F.lit(0).alias("part"), F.lit(0).alias("own"))
+    wide = max(2 * events.sparkSession.sparkContext.defaultParallelism, -(-total // (8 * PAIRS)))
+    first, second = F.collect_list(F.when(F.col("own") == F.col("part"), F.col("x"))), F.collect_list("x")
+    lists = dealt.repartitionByRange(wide, "u", "part").groupBy("u", "part").agg(F.sort_array(first).alias("a"), F.sort_array(second).alias("b"))
+    blocks = max(1, -(-2 * total // PAIRS))
+    counts = lists.select("a", "b").mapInArrow(_counting(n_items, blocks), "block int, codes binary, counts binary")
+    counts = counts.repartition(blocks, "block").groupBy("block").applyInArrow(_adding(n_items, support), "x int, y int, c long")
+    of = lambda x, i, n: items.select(F.col("x").cast("int").alias(x), F.col("i").alias(i), F.col("n").alias(n))
+    both = counts.join(of("x", "a", "na"), "x").join(of("y", "b", "nb"), "y")
     value = {"jaccard": F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), "lift": F.col("c") / (F.col("na") * F.col("nb")), "cooccurrence": F.col("c").cast("double")}[kind]
-    found = both.select("a", "b", value.alias("similarity"))
-    return found.unionByName(found.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    ways = F.when(F.col("x") == F.col("y"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+    return both.select(F.explode(ways).alias("p"), value.alias("similarity")).select("p.a", "p.b", "similarity")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers with their like bytes side by side, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order, with the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts[order]
+
+
+def _counting(n_items: int, blocks: int):
+    """Lists of first and of second items, ascending, to counts of their pairs: ``PAIRS`` of them at a time."""
+
+    def dealt(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        block = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        codes, counts = codes[order], counts[order]
+        bounds = np.searchsorted(block[order], np.arange(blocks + 1))
+        used = np.flatnonzero(np.diff(bounds))
+        parts = [slice(bounds[i], bounds[i + 1]) for i in used]
+        packed = [pa.array([_packed(x) for x in found], pa.binary()) for found in ((np.diff(codes[p], prepend=0) for p in parts), (counts[p] for p in parts))]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *packed], names=["block", "codes", "counts"])
+
+    def run(batches):
+        fresh_, n_fresh, known = [], 0, (np.empty(0, np.int64), np.empty(0, np.int64))
+        for batch in batches:
+            a, b = batch.column("a"), batch.column("b")
+            owner = np.repeat(np.arange(len(a)), a.value_lengths().to_numpy(zero_copy_only=False))
+            size = b.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size)
+            a, b = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+            # the second items of a row from the first item on
+            start = np.searchsorted(np.repeat(np.arange(len(size)), size) * n_items + b, owner * n_items + a)
+            many = ends[owner] - start
+            upto = np.cumsum(many)
+            at = 0
+            while at < len(a):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+                n = many[at:end]
+                place = np.arange(int(n.sum())) + np.repeat(start[at:end] - (np.cumsum(n) - n), n)
+                fresh_.append(np.repeat(a[at:end] * n_items, n) + b[place])
+                n_fresh, at = n_fresh + len(place), end
+                if n_fresh >= PAIRS:
+                    codes, counts = np.unique(np.concatenate(fresh_), return_counts=True)
+                    known = _added(np.concatenate([known[0], codes]), np.concatenate([known[1], counts]))
+                    fresh_, n_fresh = [], 0
+                    if len(known[0]) >= PAIRS // 2:
+                        yield dealt(*known)
+                        known = (np.empty(0, np.int64), np.empty(0, np.int64))
+        codes, counts = np.unique(np.concatenate([np.empty(0, np.int64), *fresh_]), return_counts=True)
+        known = _added(np.concatenate([known[0], codes]), np.concatenate([known[1], counts]))
+        if len(known[0]):
+            yield dealt(*known)
+
+    return run
+
+
+def _adding(n_items: int, support: int):
+    """All counts of some pairs to those with ``support``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        codes, counts = ([_unpacked(x) for x in table[c].to_pylist()] for c in ("codes", "counts"))
+        codes, counts = _added(np.concatenate([np.cumsum(x) for x in codes]), np.concatenate(counts))
+        codes, counts = codes[counts >= support], counts[counts >= support]
+        return pa.table({"x": pa.array(codes // n_items, pa.int32()), "y": pa.array(codes % n_items, pa.int32()), "c": pa.array(counts, pa.int64())})
+
+    return run
 
 
 def sar_recommend(affinity: DataFrame, similarity: DataFrame, k: int, users: DataFrame | None = None, drop_seen: bool = False) -> DataFrame:
     """(user, rank, item, score): affinity times similarity, the ``k`` best of each user, ties to the smaller item.
 
     A similarity of up to ``SMALL`` pairs goes to every worker, which multiplies user by user; a larger
-    one is joined, a row for each pair of an item and one like it.
+    one is multiplied in tiles.
     """
     wanted = affinity.join(users, "user", "left_semi") if users is not None else affinity
-    if similarity.limit(SMALL + 1).count() <= SMALL:
+    similarity = write_table(similarity.select("a", "b", "similarity"), "sar-similarity")
+    n_pairs = similarity.count()
+    if n_pairs <= SMALL:
         return _multiplied(wanted, similarity, k, drop_seen)
-    scores = wanted.join(similarity, F.col("item") == F.col("a")).groupBy("user", F.col("b").alias("item")).agg(F.sum(F.col("affinity") * F.col("similarity")).alias("score"))
-    if drop_seen:
-        scores = scores.join(affinity, ["user", "item"], "left_anti")
-    return top_k(scores, "user", k)
+    return top_k(_tiled(wanted, similarity, n_pairs, k, drop_seen), "user", k)
+
+
+def _tiled(affinity: DataFrame, similarity: DataFrame, n_pairs: int, k: int, drop_seen: bool) -> DataFrame:
+    """(user, item, score): the ``k`` best of each user among the items of each tile.
+
+    A tile is a range of users (``ENTRIES`` rows) by a range of items to show (``TILE`` pairs), so it has
+    whole sums of its users and items, and only the ``k`` best leave it. Users go to tiles that show one of
+    theirs something, pairs to tiles with users of their first item: no row is made for a user and a pair.
+    """
+    affinity = write_table(affinity.select("user", "item", F.coalesce("affinity", F.lit(0.0)).alias("affinity")), "sar-affinity")
+    n, wide = affinity.count(), 2 * affinity.sparkSession.sparkContext.defaultParallelism
+    # smaller groups than memory asks for, as long as tasks are fewer than cores
+    groups, ranges = max(1, -(-n // ENTRIES), min(wide, -(-8 * n // ENTRIES))), max(1, -(-n_pairs // TILE))
+    owned = F.sort_array(F.collect_list(F.struct("item", "affinity")))
+    owned = affinity.repartitionByRange(groups, "user").groupBy("user").agg(owned.alias("all"))
+    owned = write_table(owned.select("user", F.col("all")["item"].alias("items"), F.col("all")["affinity"].alias("weights"), F.spark_partition_id().alias("g")), "sar-users")
+    item, value = (similarity.schema[c].dataType.simpleString() for c in ("b", "similarity"))
+    shown = similarity.repartitionByRange(ranges, "b").withColumn("h", F.spark_partition_id())
+    shown = write_table(shown.mapInArrow(_rows_of_items, f"a {item}, h int, others array<{item}>, values array<{value}>"), "sar-rows")
+    has = owned.select("g", F.explode("items").alias("a")).distinct()
+    tiles = has.join(shown.select("a", "h"), "a").select(F.col("g").alias("tg"), F.col("h").alias("th")).distinct()
+    left = owned.join(tiles, F.col("g") == F.col("tg")).select("tg", "th", "user", "items", "weights")
+    right = has.join(shown, "a").select(F.col("g").alias("rg"), F.col("h").alias("rh"), "a", "others", "values")
+    user = affinity.schema["user"].dataType.simpleString()
+
+    def run(mine: pa.Table, rows: pa.Table) -> pa.Table:
+        mine, rows = mine.combine_chunks(), rows.combine_chunks()
+        column = lambda t, name: t[name].chunk(0) if t[name].num_chunks == 1 else t[name].combine_chunks()
+        empty = pa.table({"user": mine["user"].slice(0, 0), "item": column(rows, "others").flatten().slice(0, 0), "score": pa.array([], pa.float64())})
+        if not len(mine) or not len(rows):
+            return empty
+        others = column(rows, "others").flatten().dictionary_encode()
+        order = pc.sort_indices(others.dictionary)
+        names = others.dictionary.take(order)
+        turned = np.empty(len(order), np.int64)
+        turned[order.to_numpy()] = np.arange(len(order))
+        cols = turned[others.indices.to_numpy(zero_copy_only=False)]
+        values = column(rows, "values").flatten().to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(column(rows, "others").value_lengths().to_numpy(zero_copy_only=False))])
+        items, sizes = column(mine, "items").flatten(), column(mine, "items").value_lengths().to_numpy(zero_copy_only=False)
+        find = lambda where: pc.index_in(items, value_set=where).fill_null(-1).to_numpy(zero_copy_only=False)
+        row, seen = find(column(rows, "a")), find(names) if drop_seen else None
+        weights = column(mine, "weights").flatten().to_numpy(zero_copy_only=False)
+        ends, n = np.cumsum(sizes), len(names)
+        who, what, scores = [], [], []
+        for u, (begin, end) in enumerate(zip(ends - sizes, ends)):
+            known = row[begin:end] >= 0
+            i = row[begin:end][known]
+            many = first[i + 1] - first[i]
+            at = np.arange(int(many.sum())) + np.repeat(first[i] - (np.cumsum(many) - many), many)
+            there = np.bincount(cols[at], minlength=n) > 0
+            score = np.bincount(cols[at], values[at] * np.repeat(weights[begin:end][known], many), n)
+            if drop_seen:
+                there[seen[begin:end][seen[begin:end] >= 0]] = False
+            there = np.flatnonzero(there)
+            best = there[np.lexsort((there, -score[there]))[:k]]
+            who.append(np.full(len(best), u))
+            what.append(best)
+            scores.append(score[best])
+        who, what, scores = (np.concatenate(x) for x in (who, what, scores))
+        return pa.table({"user": mine["user"].take(pa.array(who)), "item": names.take(pa.array(what)), "score": pa.array(scores)})
+
+    dealt = max(wide, groups)
+    left, right = left.repartition(dealt, "tg", "th"), right.repartition(dealt, "rg", "rh")
+    return left.groupBy("tg", "th").cogroup(right.groupBy("rg", "rh")).applyInArrow(run, f"user {user}, item {item}, score double")
+
+
+def _rows_of_items(batches):
+    """Pairs of one range of second items to a row a first item, with the lists of those and their values."""
+    table = pa.Table.from_batches(held) if (held := list(batches)) else None
+    if table is None or not len(table):
+        return
+    table = table.sort_by([("a", "ascending"), ("b", "ascending")]).combine_chunks()
+    a = table["a"].chunk(0)
+    first = pa.concat_arrays([pa.array([True]), pc.not_equal(a.slice(1), a.slice(0, len(a) - 1))])
+    starts = np.flatnonzero(first.to_numpy(zero_copy_only=False))
+    offsets = pa.array(np.append(starts, len(a)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, table[c].chunk(0)) for c in ("b", "similarity")]
+    out = pa.RecordBatch.from_arrays([a.take(pa.array(starts)), table["h"].chunk(0).take(pa.array(starts)), *lists], names=["a", "h", "others", "values"])
+    for at in range(0, len(out), 1000):
+        yield out.slice(at, 1000)
 
 
 def _multiplied(affinity: DataFrame, similarity: DataFrame, k: int, drop_seen: bool) -> DataFrame:
@@ -149,6 +329,7 @@ def ranking_metrics(df: DataFrame, k: int = 10, n_items: int = -1) -> DataFrame:
     prediction (``recallAtKTrue``: over the label's); diversityAtK distinct recommended items over
     ``n_items``; mrr the mean reciprocal rank of the first hit; fcp the share of places that agree.
     """
+    df = write_table(df.select("prediction", "label"), "ranking-lists")  # read three times
     p, label = F.col("prediction"), F.col("label")
     gain = lambda i: F.lit(1.0) / F.log2(i + F.lit(2.0))
     zero = F.lit(0.0)

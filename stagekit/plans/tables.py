@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stagekit.operators import access, columns, metrics, neighbors, profile, recommend, text
+from stagekit.plans.session import write_table
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -282,7 +283,7 @@ def recommendation_indexer(spark, sf_dir):
 @query()
 def ranking_metrics_all(spark, sf_dir):
     p = _purchases(spark, sf_dir)
-    split = recommend.ranking_split(p, "user", "item")
+    split = write_table(recommend.ranking_split(p, "user", "item"), "ranking-split")
     train, test = split.where("is_train"), split.where("NOT is_train")
     rec = recommend.sar_recommend(recommend.sar_affinity(train, "user", "item", "rating"), recommend.sar_similarity(train, "user", "item"), 10)
     lists = rec.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("prediction"))

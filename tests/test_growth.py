@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagekit.operators import learn, profile
+from stagekit.operators import learn, profile, recommend
 
 
 def test_slots_are_found_without_dense_rows(spark):
@@ -24,3 +25,52 @@ def test_regression_on_texts_takes_few_slots(spark):
     fitted = learn.train_regressor(d, LinearRegression(), "y", ["words"])
     assert len(fitted.parts[0]["indices"]) <= 5
     assert all(abs(r.y - r.scores) < 1e-3 for r in fitted(d).collect())
+
+
+def _bought(spark):
+    return spark.createDataFrame([(u, f"i{(u * 7 + i * i) % 13:02}", float(1 + (u + i) % 3)) for u in range(40) for i in range(1 + u % 7)], "user long, item string, rating double").distinct()
+
+
+def test_tiles_give_what_a_join_gives(spark, monkeypatch):
+    """A larger similarity makes no row for a user and a pair."""
+    rows = [tuple(r) for r in _bought(spark).collect()]
+    users, affinity = {}, {}
+    for u, i, r in rows:
+        users.setdefault(u, set()).add(i)
+        affinity[u, i] = affinity.get((u, i), 0.0) + r
+    names = sorted({i for _, i, _ in rows})
+    both = {(a, b): sum(a in x and b in x for x in users.values()) for a in names for b in names}
+    both = {p: float(n) for p, n in both.items() if n >= 2}
+    d = _bought(spark)
+    similarity = recommend.sar_similarity(d, "user", "item", "cooccurrence", 2)
+    assert {(r.a, r.b): r.similarity for r in similarity.collect()} == both
+    for name, n in (("SMALL", 3), ("ENTRIES", 20), ("TILE", 30)):
+        monkeypatch.setattr(recommend, name, n)
+    made = []
+    monkeypatch.setattr(recommend, "top_k", lambda scores, key, k, f=recommend.top_k: (made.append(scores.count()), f(scores, key, k))[1])
+    for seen in (False, True):
+        found = recommend.sar_recommend(recommend.sar_affinity(d, "user", "item", "rating"), similarity, 3, drop_seen=seen)
+        wanted = set()
+        for u in users:
+            score = {}
+            for i in users[u]:
+                for (a, b), n in both.items():
+                    if a == i:
+                        score[b] = score.get(b, 0.0) + affinity[u, i] * n
+            best = sorted((-s, b) for b, s in score.items() if not (seen and b in users[u]))[:3]
+            wanted |= {(u, n + 1, b, -s) for n, (s, b) in enumerate(best)}
+        assert {tuple(r) for r in found.collect()} == wanted
+        assert made.pop() < 40 * 13
+
+
+def test_pairs_are_added_up_before_they_move(spark, monkeypatch):
+    """Users next to each other that share their items: a count for a pair and a task leaves, not a row for a pair of a user."""
+    monkeypatch.setattr(recommend, "USER_ITEMS", 6)
+    n_items, sent = 10, []
+    run = recommend._counting(n_items, 3)
+    import pyarrow as pa
+
+    lists = pa.array([[0, 2, 5]] * 500, pa.list_(pa.int32()))
+    for b in run([pa.RecordBatch.from_arrays([lists, lists], names=["a", "b"])]):
+        sent += [(np.cumsum(recommend._unpacked(c)).tolist(), recommend._unpacked(n).tolist()) for c, n in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist())]
+    assert sorted((c, n) for codes, counts in sent for c, n in zip(codes, counts)) == [(c, 500) for c in (0, 2, 5, 22, 25, 55)]
