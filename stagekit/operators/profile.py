@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagekit.base import Fitted
-from stagekit.plans.session import fresh
+from stagekit.plans.session import fresh, write_table
 
 QUANTILES = {"P0_5": 0.005, "P1": 0.01, "P5": 0.05, "1st_Quartile": 0.25, "Median": 0.5, "3rd_Quartile": 0.75, "P95": 0.95, "P99": 0.99, "P99_5": 0.995}
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
@@ -16,12 +19,48 @@ def _is_nan(df: DataFrame, c: str) -> Column:
     return F.isnan(c) if df.schema[c].dataType.typeName() in ("float", "double") else F.lit(False)
 
 
+#: Accuracy from which quantiles are exact: a sketch that fine keeps every row.
+EXACT = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, col: str, wanted: list[float], output_type: str | None = None) -> tuple[list, int]:
+    """The values of rank ceil(q n) among those that are neither null nor NaN, and how many distinct values there are.
+
+    Values are counted, and the counts lie in range blocks: sums run within a block, on top of the sums of the
+    blocks below, of which there is one row each. No task holds the distinct values.
+    """
+    x = F.when(~_is_nan(df, col), F.col(f"`{col}`"))
+    counts = df.select(x.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = write_table(counts.repartitionByRange("v").withColumn("block", F.spark_partition_id()), "value-counts")
+    blocks = sorted(counts.groupBy("block").agg(F.min("v").alias("v"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect(), key=lambda r: r.v)  # a row a block
+    total, distinct = sum(r.n for r in blocks), sum(r.d for r in blocks)
+    if not total:
+        return [None] * len(wanted), 0
+    # as written, 0.95 is 95 / 100
+    if not wanted:
+        return [], distinct
+    ranks = [max(1, math.ceil(Fraction(str(q)) * total)) for q in wanted]
+    places, ahead = {}, 0
+    for r in blocks:
+        for k in {k for k in ranks if ahead < k <= ahead + r.n}:
+            places[k] = (r.block, k - ahead)
+        ahead += r.n
+    upto = F.sum("n").over(Window.partitionBy("block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    near = counts.where(F.col("block").isin(sorted({b for b, _ in places.values()}))).withColumn("upto", upto)
+    at = lambda block, rank: (F.col("block") == block) & (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
+    hits = F.array_compact(F.array(*[F.when(at(*place), F.lit(k).cast("bigint")) for k, place in places.items()]))
+    value = F.col("v").cast(output_type) if output_type else F.col("v")
+    found = {r.k: r.v for r in near.select(F.explode(hits).alias("k"), value.alias("v")).collect()}  # a row a rank
+    return [found[k] for k in ranks], distinct
+
+
 def summarize(df: DataFrame, cols: list[str] | None = None, counts: bool = True, basic: bool = True, sample: bool = True, percentiles: bool = True, exact_distinct: bool = False, accuracy: int = 10_000) -> DataFrame:
     """One row for each column, from one pass over the table.
 
     Every statistic of every column is one aggregate of one job; the single row is then turned into rows.
-    Quantiles are ``percentile_approx`` with the given accuracy; distinct values are estimated unless
-    ``exact_distinct``. Statistics of columns that aren't numbers are null. NaN and null count as missing.
+    Quantiles are ``percentile_approx`` with the given accuracy, from ``EXACT`` on exact ones; distinct values
+    are estimated unless ``exact_distinct``. What is exact comes from counted values, a job a column.
+    Statistics of columns that aren't numbers are null. NaN and null count as missing.
     """
     cols = cols or df.columns
     aggs, layout = [], {}
@@ -30,13 +69,20 @@ def summarize(df: DataFrame, cols: list[str] | None = None, counts: bool = True,
         layout.setdefault(name, {})[c] = f"s{len(aggs)}"
         aggs.append(value.cast("double").alias(f"s{len(aggs)}"))
 
+    def known(value) -> Column:
+        return F.max(F.lit(value).cast("double"))
+
+    wanted = [q for q in QUANTILES if (basic if q in ("1st_Quartile", "Median", "3rd_Quartile") else percentiles)]
     for c in cols:
         number = df.schema[c].dataType.typeName() in NUMERIC
         fine = F.when(~_is_nan(df, c), F.col(f"`{c}`"))
         x = fine.cast("double") if number else F.lit(None).cast("double")
+        exact = number and accuracy >= EXACT and bool(wanted)
+        if exact or (counts and exact_distinct):
+            quantiles, distinct = exact_quantiles(df, c, [QUANTILES[q] for q in wanted] if exact else [], "double" if exact else None)
         if counts:
             stat(c, "Count", F.count(fine))
-            stat(c, "Unique_Value_Count", F.count_distinct(fine) if exact_distinct else F.approx_count_distinct(fine))
+            stat(c, "Unique_Value_Count", F.coalesce(known(distinct), F.lit(0)) if exact_distinct else F.approx_count_distinct(fine))
             stat(c, "Missing_Value_Count", F.sum(F.when(fine.isNull(), 1).otherwise(0)))
         if basic:
             stat(c, "Min", F.min(x))
@@ -46,11 +92,10 @@ def summarize(df: DataFrame, cols: list[str] | None = None, counts: bool = True,
             stat(c, "Sample_Standard_Deviation", F.stddev(x))
             stat(c, "Sample_Skewness", F.skewness(x))
             stat(c, "Sample_Kurtosis", F.kurtosis(x))
-        wanted = [q for q in QUANTILES if (basic if q in ("1st_Quartile", "Median", "3rd_Quartile") else percentiles)]
         if wanted:
-            all_q = F.percentile_approx(x, [QUANTILES[q] for q in wanted], accuracy)
+            all_q = None if exact else F.percentile_approx(x, [QUANTILES[q] for q in wanted], accuracy)
             for i, q in enumerate(wanted):
-                stat(c, q, F.get(all_q, i))
+                stat(c, q, known(quantiles[i]) if exact else F.get(all_q, i))
     one = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("Feature"), *[F.col(by[c]).alias(name) for name, by in layout.items()]) for c in cols])
     return one.select(F.explode(rows).alias("r")).select("r.*")
@@ -63,8 +108,11 @@ def clean_missing(df: DataFrame, cols: list[str], mode: str = "Mean", custom=Non
         fill = {c: custom for c in cols}
     elif mode in ("Mean", "Median"):
         x = {c: F.when(~_is_nan(df, c), F.col(c)) for c in cols}
-        median = (lambda v: F.get(F.percentile_approx(v, [0.5], 1_000_000_000 if exact else 10_000), 0))
-        fill = df.agg(*[(F.avg(x[c]) if mode == "Mean" else median(x[c])).alias(c) for c in cols]).first().asDict()
+        if mode == "Median" and exact:
+            fill = {c: exact_quantiles(df, c, [0.5])[0][0] for c in cols}
+        else:
+            median = (lambda v: F.get(F.percentile_approx(v, [0.5], 10_000), 0))
+            fill = df.agg(*[(F.avg(x[c]) if mode == "Mean" else median(x[c])).alias(c) for c in cols]).first().asDict()
     else:
         raise ValueError(f"unknown mode {mode}")
 

@@ -74,3 +74,23 @@ def test_pairs_are_added_up_before_they_move(spark, monkeypatch):
     for b in run([pa.RecordBatch.from_arrays([lists, lists], names=["a", "b"])]):
         sent += [(np.cumsum(recommend._unpacked(c)).tolist(), recommend._unpacked(n).tolist()) for c, n in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist())]
     assert sorted((c, n) for codes, counts in sent for c, n in zip(codes, counts)) == [(c, 500) for c in (0, 2, 5, 22, 25, 55)]
+
+
+def test_exact_quantiles_keep_no_sketch_of_all_rows(spark, monkeypatch):
+    values = [None, float("nan"), *[float(i * i % 101) / 4 for i in range(400)], *[7.25] * 300]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "k long, x double")
+    fine = sorted(x for x in values if x is not None and x == x)
+    wanted = [0.005, 0.05, 0.25, 0.5, 0.95, 0.995, 1.0]
+    plain = [fine[max(1, -(-int(q * 1000) * len(fine) // 1000)) - 1] for q in wanted]
+    assert profile.exact_quantiles(d, "x", wanted) == (plain, len(set(fine)))
+    assert profile.exact_quantiles(d.where("x IS NULL"), "x", [0.5]) == ([None], 0)
+
+    def sketch(*_):
+        raise AssertionError("a sketch that keeps all rows")
+
+    monkeypatch.setattr(profile.F, "percentile_approx", sketch)
+    row = profile.summarize(d.select("x"), exact_distinct=True, accuracy=1_000_000_000).first()
+    assert (row["Count"], row["Unique_Value_Count"], row["Missing_Value_Count"], row["Median"]) == (700.0, len(set(fine)), 2.0, plain[3])
+    assert profile.clean_missing(d, ["x"], "Median", exact=True).arguments["fill"] == {"x": plain[3]}
+    empty = profile.summarize(d.where("k < 0").select("x"), exact_distinct=True, accuracy=1_000_000_000).first()
+    assert (empty["Count"], empty["Unique_Value_Count"], empty["Median"]) == (0.0, 0.0, None)
