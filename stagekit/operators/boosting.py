@@ -121,6 +121,44 @@ def ranking_gradients(s: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarr
     return g, h
 
 
+#: Rows of a query up to which queries of a size are taken together, and pairs of rows at once.
+TOGETHER, AT_ONCE = 64, 1_000_000
+
+
+def grouped_gradients(s: np.ndarray, y: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``ranking_gradients`` of many queries, whose rows follow one another; those of one size as one array."""
+    g, h = np.zeros(len(y)), np.zeros(len(y))
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes):
+        first = starts[sizes == n]
+        if n > TOGETHER:
+            for at in first:
+                g[at : at + n], h[at : at + n] = ranking_gradients(s[at : at + n], y[at : at + n], most)
+            continue
+        step = max(1, AT_ONCE // max(1, int(n) ** 2))
+        for begin in range(0, len(first) if n > 1 else 0, step):
+            at = first[begin : begin + step, None] + np.arange(n)
+            score, label = s[at], y[at]
+            gain = 2.0**label - 1
+            ideal = (np.sort(gain, axis=1)[:, ::-1][:, :most] / np.log2(np.arange(2, min(n, most) + 2))).sum(axis=1)
+            place = np.argsort(np.argsort(-score, axis=1, kind="stable"), axis=1, kind="stable")
+            discount = 1 / np.log2(place + 2.0)
+            # of each pair the higher place first
+            pair = (place[:, :, None] < place[:, None, :]) & (place[:, :, None] < most) & (label[:, :, None] != label[:, None, :]) & (ideal > 0)[:, None, None]
+            q, i, j = np.nonzero(pair)
+            up = np.where(label[q, i] > label[q, j], 1.0, -1.0)
+            change = np.abs(gain[q, i] - gain[q, j]) * np.abs(discount[q, i] - discount[q, j]) / ideal[q]
+            chance = sigmoid(-up * (score[q, i] - score[q, j]))
+            one, two = up * change * chance, np.maximum(change * chance * (1 - chance), 1e-16)
+            top, other = at[q, i], at[q, j]
+            low = int(at[0, 0])
+            size = int(at[-1, -1]) + 1 - low
+            part = slice(low, low + size)
+            g[part] += np.bincount(other - low, one, size) - np.bincount(top - low, one, size)
+            h[part] += np.bincount(other - low, two, size) + np.bincount(top - low, two, size)
+    return g, h
+
+
 def loss_of(p: Params, s: np.ndarray, y: np.ndarray) -> np.ndarray:
     """What validation adds up, by row; smaller is better."""
     if p.objective == "multiclass":
@@ -199,6 +237,23 @@ def _bin_limits(df: DataFrame, width: int, max_bin: int) -> list[list[float]]:
     return [sorted(set(row[f"q{i}"] or [])) for i in range(width)]
 
 
+def _bytes_of(column: pa.Array) -> bytes:
+    """The values of a binary column one after another."""
+    if not len(column):
+        return b""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    return data.slice(int(at[column.offset]), int(at[column.offset + len(column)] - at[column.offset])).to_pybytes()
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row of an array as a value."""
+    data = np.ascontiguousarray(rows)
+    wide = data.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    offsets = (np.arange(len(data) + 1) * wide).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 class _Rows:
     """A batch of the written table as arrays; the rows of a ranking's groups one after another."""
 
@@ -206,9 +261,9 @@ class _Rows:
         col = lambda name: batch.column(batch.schema.get_field_index(name))
         flat = (lambda c: c.flatten()) if ranked else (lambda c: c)
         self.sizes = col("y").value_lengths().to_numpy(zero_copy_only=False) if ranked else None
-        self.bins = np.frombuffer(b"".join(flat(col("bins")).to_pylist()), np.uint8).reshape(-1, width)
+        self.bins = np.frombuffer(_bytes_of(flat(col("bins"))), np.uint8).reshape(-1, width)
         self.y, self.w = (flat(col(c)).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "w"))
-        self.score = np.frombuffer(b"".join(flat(col("score")).to_pylist()), np.float64).reshape(-1, k)
+        self.score = np.frombuffer(_bytes_of(flat(col("score"))), np.float64).reshape(-1, k)
         self.valid = flat(col("valid")).to_numpy(zero_copy_only=False).astype(bool)
         self.id = flat(col("id")).to_numpy(zero_copy_only=False)
 
@@ -217,9 +272,7 @@ class _Rows:
             g, h = fobj(score, self.y)
             g, h = np.reshape(g, score.shape), np.reshape(h, score.shape)
         elif p.objective == "lambdarank":
-            ends = np.cumsum(self.sizes)
-            parts = [ranking_gradients(score[e - n : e, 0], self.y[e - n : e], p.max_position) for n, e in zip(self.sizes, ends)]
-            g, h = (np.concatenate([x[i] for x in parts])[:, None] if parts else np.empty((0, 1)) for i in (0, 1))
+            g, h = (x[:, None] for x in grouped_gradients(score[:, 0], self.y, self.sizes, p.max_position))
         else:
             g, h = gradients(p, score, self.y)
         return g * self.w[:, None], h * self.w[:, None]
@@ -292,6 +345,9 @@ def fit_boosted(
     zero = start.tobytes()
 
     def binned(column: pa.Array) -> pa.Array:
+        if (column.value_lengths().to_numpy(zero_copy_only=False) == width).all():
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            return _binary(np.stack([np.where(np.isnan(v), 0, 1 + np.searchsorted(e, v)) for v, e in zip(x.T, edges)], axis=1).astype(np.uint8))
         out = []
         for row in column.to_pylist():
             v = np.array([np.nan if a is None else a for a in row], float)
@@ -399,9 +455,8 @@ def fit_boosted(
         def run(batches):
             for batch in batches:
                 r = _Rows(batch, ranked, width, k)
-                s = [row.tobytes() for row in _added(r.score, r.bins, since)]
+                column = _binary(_added(r.score, r.bins, since))
                 at = batch.schema.get_field_index("score")
-                column = pa.array(s, pa.binary())
                 if ranked:
                     column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(r.sizes)]), pa.int32()), column)
                 yield batch.set_column(at, "score", column)
@@ -507,24 +562,24 @@ def score_boosted(df: DataFrame, features_col: str, params: dict, start: list[fl
     kind = "struct<" + ",".join(f"{n}:array<double>" for n in fields) + ">"
 
     def run(column: pa.Array) -> pa.Array:
-        rows = column.to_pylist()
-        fine = [i for i, r in enumerate(rows) if r is not None]
-        found, (all_trees, base) = [None] * len(rows), model.value
-        if fine:
-            x = np.array([[math.nan if v is None else v for v in rows[i]] for i in fine], float)
-            raw = raw_scores(all_trees, base, x)
-            leaf = np.stack([raw_leaves(t, x) for _, t in all_trees], axis=1) if leaf_col and all_trees else np.empty((len(x), 0))
-            for j, i in enumerate(fine):
-                found[i] = {"raw": raw[j].tolist(), "chance": softmax(raw[j : j + 1])[0].tolist()}
-                if leaf_col:
-                    found[i]["leaf"] = leaf[j].astype(float).tolist()
-                if shap_col:
-                    parts = np.zeros((len(base), width + 1))
-                    parts[:, width] = base
-                    for which, t in all_trees:
-                        parts[which] += contributions(t, x[j], width)
-                    found[i]["shap"] = parts.ravel().tolist()
-        return pa.array(found, pa.struct([(n, pa.list_(pa.float64())) for n in fields]))
+        sizes, (all_trees, base) = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False), model.value
+        fine = sizes >= 0
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(int(fine.sum()), -1) if fine.any() else np.empty((0, width))
+        raw = raw_scores(all_trees, base, x)
+        found = {"raw": raw, "chance": softmax(raw) if len(raw) else raw}
+        if leaf_col:
+            found["leaf"] = np.stack([raw_leaves(t, x) for _, t in all_trees], axis=1).astype(float) if all_trees else np.empty((len(x), 0))
+        if shap_col:
+            found["shap"] = np.empty((len(x), len(base) * (width + 1)))
+            for j in range(len(x)):
+                parts = np.zeros((len(base), width + 1))
+                parts[:, width] = base
+                for which, t in all_trees:
+                    parts[which] += contributions(t, x[j], width)
+                found["shap"][j] = parts.ravel()
+        before = np.concatenate([[0], np.cumsum(fine)])
+        lists = [pa.ListArray.from_arrays(pa.array(before * found[n].shape[1], pa.int32()), pa.array(found[n].ravel(), pa.float64())) for n in fields]
+        return pa.StructArray.from_arrays(lists, names=fields, mask=pa.array(~fine))
 
     vector = F.col(f"`{features_col}`")
     x = vector_values(vector) if df.schema[features_col].dataType.typeName() == "vector" else vector.cast("array<double>")

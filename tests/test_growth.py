@@ -7,7 +7,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagekit.operators import learn, profile, recommend
+from stagekit.operators import boosting, learn, profile, recommend
 
 
 def test_slots_are_found_without_dense_rows(spark):
@@ -94,3 +94,31 @@ def test_exact_quantiles_keep_no_sketch_of_all_rows(spark, monkeypatch):
     assert profile.clean_missing(d, ["x"], "Median", exact=True).arguments["fill"] == {"x": plain[3]}
     empty = profile.summarize(d.where("k < 0").select("x"), exact_distinct=True, accuracy=1_000_000_000).first()
     assert (empty["Count"], empty["Unique_Value_Count"], empty["Median"]) == (0.0, 0.0, None)
+
+
+def test_gradients_of_many_queries_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 3, 2, 70, 5, 3, 0, 30, 5])
+    s, y = rng.integers(0, 4, sizes.sum()) / 2.0, rng.integers(0, 4, sizes.sum()).astype(float)
+    y[1:4] = 0  # nothing to rank
+    ends = np.cumsum(sizes)
+    plain = [boosting.ranking_gradients(s[e - n : e], y[e - n : e], 20) for n, e in zip(sizes, ends)]
+    calls = []
+    monkeypatch.setattr(boosting, "ranking_gradients", lambda *a, f=boosting.ranking_gradients: (calls.append(1), f(*a))[1])
+    for got, wanted in zip(boosting.grouped_gradients(s, y, sizes, 20), zip(*plain)):
+        assert np.allclose(got, np.concatenate(wanted), rtol=1e-12, atol=1e-14)
+    assert len(calls) == 1  # only the query of 70 rows
+
+
+def test_boosted_scores_of_rows_without_features(spark):
+    d = spark.createDataFrame([(i, None if i % 9 == 0 else [float(i % 10), None if i % 4 == 0 else float(i % 3)], float(i % 10 > 4)) for i in range(300)], "id long, features array<double>, label double")
+    model = boosting.fit_boosted(d, objective="binary", n_iterations=3, num_leaves=4)
+    rows = boosting.score_boosted(d, **model.arguments, leaf_col="leaf", shap_col="shap").collect()
+    for r in rows:
+        if r.features is None:
+            assert r.rawPrediction is None and r.prediction is None and r.leaf is None and r.shap is None
+        else:
+            x = np.array([[np.nan if v is None else v for v in r.features]])
+            raw = boosting.raw_scores(model.trees, model.start, x)[0, 0]
+            assert abs(r.rawPrediction[1] - raw) < 1e-12 and abs(sum(r.shap) - raw) < 1e-9 and len(r.leaf) == 3
+            assert r.prediction == r.label
