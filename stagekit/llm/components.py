@@ -1,41 +1,7 @@
-"""Connected components of an edge table by alternating stars; nothing is gathered on the driver."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from stagekit.functions.components import connected_components
 
-from stagekit.plans.session import write_table
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(u long, v long) to (node, component): the smallest node reachable, for nodes with an edge.
-
-    Each round links every neighbour to the smallest node known around it, first on the side of larger
-    nodes, then of smaller ones, until nothing changes; rounds grow with the logarithm of the longest
-    path. A hub's minimum is combined before the shuffle. Edges from a node to itself are ignored.
-    """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = write_table(e, "edges")
-    state = _state(e)
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # a node without larger neighbours keeps its way to its minimum
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        e = write_table(small, "edges")
-        now = _state(e)
-        if now == state:
-            break
-        state = now
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["connected_components"]

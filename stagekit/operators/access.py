@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagekit.base import Fitted
+from stagekit.functions.components import connected_components as _components
 from stagekit.plans.session import write_table
 
 
@@ -28,19 +29,24 @@ def complement_access(df: DataFrame, tenant_col: str, user_col: str, res_col: st
 def connected_components(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     """(a, component) and (b, component) of a bipartite graph: smallest label that reaches a node.
 
-    Both sides take the least label around them in turn until nothing changes; each round's table is
-    written to the shared folder, so lineage stays short.
+    Edges are contracted before they go round: each node of one side becomes the least label beside it, then
+    each of the other side the least of those, then once more the first. What is left, a few links between such
+    labels, is a graph for alternating stars. Every edge is dealt a fixed number of times, whatever the rounds.
     """
     e = write_table(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct(), "access-edges")
-    left = e.groupBy("x").agg(F.min("x").alias("component"))
-    last = None
-    while True:
-        right = e.join(left, "x").groupBy("y").agg(F.min("component").alias("component"))
-        left = write_table(e.join(right, "y").groupBy("x").agg(F.min("component").alias("component")), "access-labels")
-        now = left.agg(F.sum(F.xxhash64("x", "component").cast("decimal(38,0)"))).first()[0]
-        if now == last:
-            return left.withColumnRenamed("x", a), right.withColumnRenamed("y", b)
-        last = now
+    right = write_table(e.groupBy("y").agg(F.min("x").alias("m")), "access-labels")
+    e = write_table(e.join(right, "y").select("x", "m"), "access-edges")
+    left = e.groupBy("x").agg(F.min("m").alias("least"))
+    e = write_table(e.join(left, "x").where("m <> least").select("m", "least").distinct(), "access-edges")
+    lower = e.groupBy("m").agg(F.min("least").alias("v"))
+    links = e.join(lower, "m").where("least <> v").select(F.col("least").alias("u"), "v").unionByName(lower.select(F.col("m").alias("u"), "v"))
+    reached = write_table(_components(links), "access-components")
+
+    def labelled(table: DataFrame, key: str, label: str, name: str) -> DataFrame:
+        found = table.join(reached.withColumnRenamed("node", label), label, "left")
+        return found.select(F.col(key).alias(name), F.coalesce("component", label).alias("component"))
+
+    return labelled(left, "x", "least", a), labelled(right, "y", "m", b)
 
 
 def normalized_vectors(scored: DataFrame, users: DataFrame, resources: DataFrame, tenant_col: str) -> tuple[DataFrame, DataFrame]:

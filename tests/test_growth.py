@@ -7,7 +7,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagekit.operators import boosting, learn, profile, recommend
+from stagekit.operators import access, boosting, learn, neighbors, profile, recommend
 
 
 def test_slots_are_found_without_dense_rows(spark):
@@ -122,3 +122,63 @@ def test_boosted_scores_of_rows_without_features(spark):
             raw = boosting.raw_scores(model.trees, model.start, x)[0, 0]
             assert abs(r.rawPrediction[1] - raw) < 1e-12 and abs(sum(r.shap) - raw) < 1e-9 and len(r.leaf) == 3
             assert r.prediction == r.label
+
+
+def _block(n, m, seed=3):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    vec = rng.integers(-2, 3, (n + m, 8)).astype(float)  # many ties
+    label = [str(i % 3) for i in range(n)] + [""] * m
+    wanted = [[]] * n + [["1", "9"] if i % 2 else ["0", "2"] for i in range(m)]
+    mixed = rng.permutation(n + m)
+    take = lambda x: [x[i] for i in mixed]
+    t = {"id": take([*range(n), *range(m)]), "vec": take(list(vec)), "label": take(label), "wanted": take(wanted), "kind": take([1] * n + [0] * m)}
+    return vec[:n], vec[n:], pa.table(t, schema=pa.schema({"id": pa.int64(), "vec": pa.list_(pa.float64()), "label": pa.string(), "wanted": pa.list_(pa.string()), "kind": pa.int32()}))
+
+
+def test_a_block_of_neighbours_holds_few_scores(monkeypatch):
+    import tracemalloc
+
+    rows, asked, table = _block(500, 40)
+    for conditioned in (False, True):
+        for scores in (1, 1_000, 1_000_000):
+            monkeypatch.setattr(neighbors, "SCORES", scores)
+            got = {}
+            for r in neighbors.nearest_in_block(table, 5, conditioned).to_pylist():
+                got.setdefault(r["query_id"], []).append((-r["distance"], -r["id"]))
+            for i, v in enumerate(asked):
+                fine = [j for j in range(len(rows)) if not conditioned or str(j % 3) in (["1"] if i % 2 else ["0", "2"])]
+                assert sorted(got[i]) == sorted((-float(rows[j] @ v), -j) for j in fine)[:5]
+    monkeypatch.undo()
+    table = _block(20_000, 1_000)[2]
+    tracemalloc.start()
+    neighbors.nearest_in_block(table, 5, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all products at once are 160 MB
+
+
+def test_components_deal_every_edge_a_few_times(spark, monkeypatch):
+    """A path of 200 nodes: rounds grow with its logarithm, and stars, cycles and single edges are right."""
+    rng = np.random.default_rng(8)
+    path = [(i, f"p{i:03}") for i in range(1000, 1100)] + [(i + 1, f"p{i:03}") for i in range(1000, 1099)]
+    edges = [*path, *[(int(x), f"r{y}") for x, y in rng.integers(0, 60, (70, 2))], (500, "one"), (501, "two"), (502, "two"), *[(600 + i, "hub") for i in range(30)]]
+    parent = {}
+
+    def root(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for x, y in edges:
+        parent[root(x)] = root(y)
+    least = {}
+    for x, _ in edges:
+        least[root(x)] = min(x, least.get(root(x), x))
+    written = []
+    monkeypatch.setattr(access, "write_table", lambda df, label, f=access.write_table: (written.append(label), f(df, label))[1])
+    left, right = access.connected_components(spark.createDataFrame([*edges, (None, "none"), (7_000, None)], "x long, y string"), "x", "y")
+    assert {tuple(r) for r in left.collect()} == {(x, least[root(x)]) for x, _ in edges}
+    assert {tuple(r) for r in right.collect()} == {(y, least[root(y)]) for _, y in edges}
+    assert left.columns == ["x", "component"] and right.columns == ["y", "component"] and len(written) < 10
