@@ -6,6 +6,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from stagekit.plans.session import fresh, write_table
 
 #: Blocks of the index and of the queries; a task holds one of each.
 BLOCK_ROWS, BLOCK_ASKS = 20_000, 2_000
+#: Products of a query and a row that a task holds at once.
+SCORES = 1_000_000
 #: Rows of a ball tree, which one machine holds.
 TREE_ROWS = 2_000_000
 
@@ -36,58 +39,51 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", ve
     asked = asked.withColumn("block", F.col("block") * halves + F.pmod(F.xxhash64("id"), F.lit(halves)).cast("int"))
     both = rows.unionByName(asked).where(F.col("vec").isNotNull())
 
-    def search(key, batches):
-        q, ids, wanted, best = [], [], [], None
-        for b in batches:
-            t = b.to_pydict()
-            x = np.array(t["vec"], float).reshape(b.num_rows, -1)
-            kind = np.array(t["kind"])
-            if (kind == 0).any():
-                at = np.flatnonzero(kind == 0)
-                q.append(x[at])
-                ids += [t["id"][i] for i in at]
-                wanted += [set(t["wanted"][i]) for i in at]
-            at = np.flatnonzero(kind == 1)
-            if not len(at) or not ids:
-                continue
-            if len(q) > 1:
-                q = [np.concatenate(q)]
-            score = np.einsum("qd,nd->qn", q[0], x[at])
-            labels = np.array([t["label"][i] for i in at], object)
-            if conditioner_col:
-                score = np.where([[v in w for v in labels] for w in wanted], score, -np.inf)
-            node = np.broadcast_to(np.array([t["id"][i] for i in at]), score.shape)
-            names = np.broadcast_to(labels, score.shape)
-            if best is not None:
-                score, node, names = (np.concatenate([a, c], axis=1) for a, c in zip(best, (score, node, names)))
-            order = np.lexsort((-node, -score), axis=1)[:, :k]
-            best = tuple(np.take_along_axis(a, order, 1) for a in (score, node, names))
-        if best is not None:
-            score, node, names = best
-            keep = np.isfinite(score).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, score.shape[1])[keep]), pa.array(node.ravel()[keep]), pa.array(score.ravel()[keep]), pa.array(names.ravel()[keep], pa.string())],
-                names=["query_id", "id", "distance", "label"],
-            )
+    def search(table: pa.Table) -> pa.Table:
+        return nearest_in_block(table, k, conditioner_col is not None)
 
     schema = "query_id long, id long, distance double, label string"
-    parts = both.repartition(blocks * halves, "block").sortWithinPartitions("block", "kind")
-    found = parts.groupBy("block").applyInArrow(_sorted(search), schema)
+    found = both.repartition(blocks * halves, "block").groupBy("block").applyInArrow(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("distance"), F.desc("id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "distance", *(["label"] if labelled else []))
 
 
-def _sorted(search):
-    """The group's queries first, whatever order the batches came in."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = list(search(None, table.sort_by("kind").to_batches()))
-        names = ["query_id", "id", "distance", "label"]
-        empty = pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.string()))})
-        return pa.Table.from_batches(parts) if parts else empty
+def nearest_in_block(table: pa.Table, k: int, conditioned: bool) -> pa.Table:
+    """(query_id, id, distance, label): the ``k`` best rows (kind 1) of a block for each of its queries (kind 0).
 
-    return run
+    Vectors are read as one array, and ``SCORES`` products are held at a time.
+    """
+    names = ["query_id", "id", "distance", "label"]
+    asked, rows = (table.filter(pc.equal(table["kind"], kind)).combine_chunks() for kind in (0, 1))
+    if not len(asked) or not len(rows):
+        return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.string()))})
+    # the larger id first: a stable order by score then keeps ties as they are
+    rows = rows.take(pc.sort_indices(rows["id"], sort_keys=[("", "descending")]))
+    vectors = lambda t: pa.concat_arrays([c.flatten() for c in t["vec"].chunks]).to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+    q, x = vectors(asked), vectors(rows)
+    if conditioned:
+        labels = rows["label"].to_pylist()
+        place = {v: i for i, v in enumerate(dict.fromkeys(labels))}
+        codes = np.array([place[v] for v in labels])
+        allowed = np.zeros((len(q), len(place)), bool)
+        for i, wanted in enumerate(asked["wanted"].to_pylist()):
+            allowed[i, [place[v] for v in wanted if v in place]] = True
+    best, at = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+    step = max(k, SCORES // len(q))
+    for begin in range(0, len(x), step):
+        score = np.einsum("qd,nd->qn", q, x[begin : begin + step])
+        if conditioned:
+            score[~allowed[:, codes[begin : begin + step]]] = -np.inf
+        here = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        best = np.concatenate([best, np.take_along_axis(score, here, 1)], axis=1)
+        at = np.concatenate([at, here + begin], axis=1)
+        order = np.argsort(-best, axis=1, kind="stable")[:, :k]
+        best, at = np.take_along_axis(best, order, 1), np.take_along_axis(at, order, 1)
+    keep = np.isfinite(best)
+    hits = rows.take(pa.array(at[keep]))
+    ids = asked["id"].take(pa.array(np.nonzero(keep)[0]))
+    return pa.table([ids, hits["id"], pa.array(best[keep]), hits["label"]], names=names)
 
 
 def fit_knn(index: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "features", value_col: str | None = None, label_col: str | None = None) -> Fitted:
